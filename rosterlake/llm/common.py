@@ -37,8 +37,7 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, how: str, salt_by:
         return left.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = right.withColumnRenamed(key, "_key").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    on = (F.col("_salt") == F.col("_s")) & (F.coalesce(key, F.lit("\0")) == F.coalesce("_key", F.lit("\0")))
-    return left.join(right, on, how).drop("_key", "_s", "_salt")
+    return left.join(right, (F.col("_salt") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_key")), how).drop("_key", "_s", "_salt")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
