@@ -103,10 +103,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the runs of non-space bytes."""
+#: Bytes outside words of letters and digits; bytes of non-ASCII characters are inside.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def word_spans(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the runs of bytes that are not ``between`` words."""
     gap = np.ones(len(data) + 2, dtype=bool)
-    gap[1:-1] = _SPACE[data]
+    gap[1:-1] = between[data]
     turn = np.flatnonzero(gap[1:] != gap[:-1])
     return turn[0::2], turn[1::2]
 
