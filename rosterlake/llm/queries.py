@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import ann, chat, mixing, secrets, toxicity, url_filter
+from rosterlake.llm import ann, chat, html_extract, mixing, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,3 +104,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by the CRF's marginals, with the offending offsets."""
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by the CRF over its leaf blocks."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
