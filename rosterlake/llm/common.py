@@ -126,18 +126,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
+def ngrams(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of ``k`` words, in order; fewer words than k give none."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    up, _ = _powers(k + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            out += words[i : n + i] * up[i + 1]
+        return mix(out + np.uint64(k))
+
+
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
-    """Distinct, sorted 64-bit hashes of the runs of ``k`` words; a shorter text is one shingle, no words give none."""
-    n = len(words)
-    if n == 0:
+    """Distinct, sorted hashes of the runs of ``k`` words; a shorter text is one shingle, no words give none."""
+    if not len(words):
         return words
-    _powers(k + 1)
-    with np.errstate(over="ignore"):
-        width = min(k, n)
-        out = np.zeros(n - width + 1, dtype=np.uint64)
-        for i in range(width):
-            out += words[i : n - width + 1 + i] * _UP[i + 1]
-        out = mix(out + np.uint64(width))
+    out = ngrams(words, min(k, len(words)))
     out.sort()
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
