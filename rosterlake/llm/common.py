@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,3 +152,35 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
 
 def lowered(text: str | None) -> np.ndarray:
     return _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+
+
+def stream_groups(keys: list[str], each: Callable[[tuple, dict[str, list]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over partitions sorted by ``keys``: calls ``each`` with a key and its rows' columns, one group at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def done():
+            rows = pa.Table.from_batches(parts)
+            out = each(now, {n: rows.column(n).to_pylist() for n in rows.schema.names if n not in keys})
+            return [] if out is None or not out.num_rows else [out]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_pylist() for k in keys]
+            rows = list(zip(*columns, strict=True))
+            start = 0
+            for i in range(1, len(rows) + 1):
+                if i < len(rows) and rows[i] == rows[start]:
+                    continue
+                if rows[start] != now:
+                    if parts:
+                        yield from done()
+                    now, parts = rows[start], []
+                parts.append(batch.slice(start, i - start))
+                start = i
+        if parts:
+            yield from done()
+
+    return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import ann, chat, decontam, html_extract, mixing, secrets, toxicity, url_filter
+from rosterlake.llm import ann, chat, decontam, html_extract, jaccard, mixing, secrets, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -116,3 +116,9 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item of which it covers the threshold by tiles."""
     return decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle-set size and near-duplicate component."""
+    return jaccard.join(_table(spark, sf_dir, "documents"))
