@@ -1 +1,77 @@
-"""placeholder"""
+"""The corpus pipeline: five stages over ``documents``, each one operator of ``rosterlake.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
+writes as Parquet to the shared checkpoint folder and reads again for the next
+stage.  All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rosterlake.llm import decontam, jaccard, line_dedup, mixing, toxicity
+from rosterlake.llm.common import cut, ensure_checkpoint_dir, join_counted
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5; the CRF learns from labels outside the held-out fold."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    tag = toxicity.scorer(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdict = next(tag(iter([batch.select(["text"])]))).column("predicted").to_numpy()
+            yield batch.filter(pa.array(verdict == 0))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One occurrence of each line; documents of which no text is left go, n_chars follows the text."""
+    out = line_dedup.deduplicate(docs)
+    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    return out.filter(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; rows that repeat that id stay."""
+    groups = jaccard.join(docs)
+    gone = cut(groups.filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("gone")).distinct())
+    return join_counted(docs, gone, "doc_id", "left", F.col("text")).filter("gone is null").drop("gone")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item's passage."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All sources at the same weight, replicated and shuffled."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix),
+]
+
+#: The chain, SimHashes and tilings have no SQL form; the tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+    return docs

@@ -86,7 +86,7 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _UP = _DOWN = np.ones(1, dtype=np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of _BASE and of its inverse, modulo 2^64."""
     global _UP, _DOWN
     if len(_UP) < n:
@@ -122,7 +122,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        up, down = _powers(len(data) + 1)
+        up, down = powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_PLUS_ONE[data] * up[: len(data)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
@@ -133,7 +133,7 @@ def ngrams(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, _ = _powers(k + 1)
+    up, _ = powers(k + 1)
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
@@ -150,8 +150,10 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
-def lowered(text: str | None) -> np.ndarray:
-    return _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+def lowered(text: str | bytes | None) -> np.ndarray:
+    """The text's UTF-8 bytes, A-Z in lower case."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return _LOWER[np.frombuffer(raw, dtype=np.uint8)]
 
 
 def stream_groups(keys: list[str], each: Callable[[tuple, dict[str, list]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
