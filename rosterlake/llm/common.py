@@ -186,3 +186,37 @@ def stream_groups(keys: list[str], each: Callable[[tuple, dict[str, list]], pa.R
             yield from done()
 
     return run
+
+
+#: Bits of a bitmap of wanted keys: 2 MB to broadcast, whatever the number of keys.
+BITMAP = 1 << 24
+
+
+def bit_of(hashes: np.ndarray) -> np.ndarray:
+    """Each 64-bit hash's place in a bitmap."""
+    return (hashes.view(np.uint64) >> np.uint64(40)).astype(np.int64)
+
+
+def bitmap(hashes: DataFrame) -> bytes:
+    """The bitmap of a column of 64-bit hashes. It lets all of them through and few others; a join must drop those."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BITMAP, dtype=bool)
+        for batch in batches:
+            seen[bit_of(batch.column(0).to_numpy())] = True
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros(BITMAP // 8, dtype=np.uint8)
+        for batch in batches:
+            for bits in batch.column("bits").to_pylist():
+                both |= np.frombuffer(bits, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([both.tobytes()], pa.binary())], ["bits"])
+
+    marked = hashes.coalesce(64).mapInArrow(mark, "bits binary")
+    return marked.coalesce(1).mapInArrow(either, "bits binary").first()["bits"]
+
+
+def unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).astype(bool)

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import components, cut, join_counted, lowered, mix, shingle_hashes, stream_groups, word_hashes, word_spans
+from rosterlake.llm.common import bit_of, bitmap, components, cut, join_counted, lowered, mix, shingle_hashes, stream_groups, unpacked, word_hashes, word_spans
 
 #: Numerator and denominator of the similarity, in hundreds: intersection * 100 >= 80 * union.
 NEED = 80
@@ -185,37 +185,47 @@ def _size_block(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(STEP))).cast("int")
 
 
+def _with_partner(index: DataFrame, need: int) -> DataFrame:
+    """Entries that may have a partner in their list: the next larger or smaller set is near enough, given the position."""
+    order = Window.partitionBy("shingle").orderBy("n", "set")
+    up, down = F.lead("n").over(order), F.lag("n").over(order)
+    above = (100 + need) * (F.col("n") - F.col("at")) >= need * (F.col("n") + up)
+    below = 100 * down >= need * F.col("n")
+    return index.withColumn("keep", F.coalesce(above, F.lit(False)) | F.coalesce(below, F.lit(False))).filter("keep").drop("keep")
+
+
 def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, need: int) -> DataFrame | None:
     """Links (a, b) between sets: a forest's worth of every component, or more; None if there are none."""
-    from pyspark.sql import Window
-
     by_shingle = Window.partitionBy("shingle")
-    index = cut(postings(docs, levels, width, need).withColumn("lo", F.min("set").over(by_shingle)).withColumn("hi", F.max("set").over(by_shingle)).filter("lo <> hi").select("shingle", "set", "n", "at"))
+    index = cut(_with_partner(postings(docs, levels, width, need), need))
+    # Sets that several tasks emitted once are each other's neighbours; without them, once more.
+    index = cut(_with_partner(index.dropDuplicates(["shingle", "set"]), need))
     if index.isEmpty():
         return None
     # Answer level: every set's pivot is the set of least rank in its lists.
     rank = F.struct(F.xxhash64("set").alias("r"), F.col("set").alias("pivot"))
     heads = index.groupBy("shingle").agg(F.min(rank).alias("head"))
     pivots = cut(index.join(heads, "shingle").groupBy("set").agg(F.min("head")["pivot"].alias("pivot"), F.first("n").alias("n")))
+    groups = pivots.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = cut(pivots.join(groups, "pivot").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int")))
     # The sets' shingles, read again from one document of each.
     one = members.join(pivots.select("set"), "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    one = cut(one)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(one.select(F.xxhash64("doc_id").alias("k"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, seen = unpacked(shared.value), set()
         for batch in batches:
+            hit = np.flatnonzero(wanted[bit_of(batch.column("k").to_numpy())])
             ids, data = [], []
-            for sid, text in zip(batch.column("set").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for text in batch.column("text").take(pa.array(hit)).to_pylist():
                 own = shingles(text, width)
-                if len(own) and set_id(own) == sid:
+                if len(own) and (sid := set_id(own)) not in seen:
+                    seen.add(sid)
                     ids.append(sid)
                     data.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["set", "data"])
 
-    wanted = join_counted(docs.select("doc_id", "text"), one, "doc_id", "inner", F.col("text"))
-    data = wanted.select("set", "text").mapInArrow(read, "set long, data binary")
-    groups = pivots.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = pivots.join(groups, "pivot").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int"))
+    data = docs.select(F.xxhash64("doc_id").alias("k"), "text").mapInArrow(read, "set long, data binary")
     full = cut(placed.join(data, "set"))
     # A pivot's sets against its first block; the first block's rows go to every cell.
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
