@@ -173,6 +173,9 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["place"]], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("found", lambda s, i=i: s["place"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
+    def count(place):
+        return F.size(F.filter("found", lambda s: s["place"] == place)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(rules[:base])]
     ours = F.filter("found", lambda s: s["place"] < base)
     return scanned.select("doc_id", *counts, F.sha2(listed(ours), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
