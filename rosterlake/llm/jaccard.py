@@ -4,9 +4,10 @@ Equal sets are one set.  Shingles are put into one global order, rare ones
 first (by a count sketch of fixed size), and a set is indexed by its prefix: two
 sets that link share a prefix shingle.  Then two kinds of work are skipped:
 
-* Index level.  An index list is cut into blocks by set size; a set at position
-  p of a list probes only the blocks whose sizes can still reach the threshold
-  with the shingles that remain after p, on either side.
+* Index level.  An index list is cut into blocks by set size; a set probes only
+  the blocks whose sizes can reach the threshold, skips entries at positions
+  from which they can't, and keeps a pair only if the shared part of its
+  prefixes, with all that is behind them, can still reach it.
 * Answer level.  Sets that meet in lists get a common pivot (the least rank of
   their lists).  A pivot's sets are compared block by block: with the pivot's
   block first, whose answers also answer for every set that joins their
@@ -24,6 +25,7 @@ columns are dropped.  Shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ from rosterlake.llm.common import bit_of, bitmap, components, cut, join_counted,
 
 #: Numerator and denominator of the similarity, in hundreds: intersection * 100 >= 80 * union.
 NEED = 80
-#: Counters of the sketch that orders shingles: 4 MB for a task, 2 MB broadcast.
-SKETCH = 1 << 20
+#: Counters of the sketch that orders shingles: 32 MB for a task, 8 MB broadcast.
+SKETCH = 1 << 22
 SKETCH_PARTS = 16
 #: Sets and shingles of a block in the comparison of a pivot's sets.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
@@ -89,7 +91,7 @@ def members_and_sketch(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
             parts = counts.reshape(SKETCH_PARTS, size)
             none = pa.nulls(SKETCH_PARTS)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(batch.schema.field("doc_id").type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                [none.cast(batch.schema.field("doc_id").type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
                 ["doc_id", "n", "set", "part", "counts"],
             )
 
@@ -97,14 +99,14 @@ def members_and_sketch(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                now = np.frombuffer(counts, dtype=np.int64)
+                now = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
                 sums[part] = sums[part] + now if part in sums else now
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], ["part", "counts"])
 
     both = cut(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, set long, part int, counts binary"))
     sketch = np.zeros((SKETCH_PARTS, size), dtype=np.int64)
     for row in both.filter("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
-        sketch[row["part"]] = np.frombuffer(row["counts"], dtype=np.int64)
+        sketch[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
     return both.filter("part is null").select("doc_id", "n", "set"), (16 * np.log2(1.0 + sketch.ravel())).astype(np.uint16)
 
 
@@ -186,10 +188,10 @@ def _size_block(n: Column) -> Column:
 
 
 def _with_partner(index: DataFrame, need: int) -> DataFrame:
-    """Entries that may have a partner in their list: the next larger or smaller set is near enough, given the position."""
+    """Entries that may have a partner in their list: the next larger or smaller set is near enough in size."""
     order = Window.partitionBy("shingle").orderBy("n", "set")
     up, down = F.lead("n").over(order), F.lag("n").over(order)
-    above = (100 + need) * (F.col("n") - F.col("at")) >= need * (F.col("n") + up)
+    above = 100 * F.col("n") >= need * up
     below = 100 * down >= need * F.col("n")
     return index.withColumn("keep", F.coalesce(above, F.lit(False)) | F.coalesce(below, F.lit(False))).filter("keep").drop("keep")
 
@@ -248,14 +250,19 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
     named = index.join(pivots.select("set", "pivot"), "set").join(tree.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed = named.withColumn("lo", F.min("component").over(by_shingle)).withColumn("hi", F.max("component").over(by_shingle)).withColumn("p", F.min("pivot").over(by_shingle)).withColumn("q", F.max("pivot").over(by_shingle))
     mixed = cut(mixed.filter("lo <> hi and p <> q").select("shingle", "set", "n", "at", "pivot", "component"))
-    # With n - at shingles left, a partner of n2 >= n needs (n + n2) * need / (100 + need) <= n - at.
-    most = F.floor((100.0 + need) / need * (F.col("n") - F.col("at")) - F.col("n") + 1e-6)
-    probe = mixed.filter(most >= F.col("n")).select("shingle", F.explode(F.sequence(_size_block(F.col("n")), _size_block(most))).alias("size"), *(F.col(c).alias(f"{c}1") for c in ("set", "n", "at", "pivot", "component")))
+    # A set probes the blocks of sizes from its own to the largest that can link.
+    most = F.floor(F.col("n") * 100 / need)
+    probe = mixed.select("shingle", F.explode(F.sequence(_size_block(F.col("n")), _size_block(most))).alias("size"), *(F.col(c).alias(f"{c}1") for c in ("set", "n", "at", "pivot", "component")))
     lists = mixed.select("shingle", _size_block(F.col("n")).alias("size"), "set", "n", "at", "pivot", "component")
-    enough = F.least(F.col("n1") - F.col("at1"), F.col("n") - F.col("at")) * (100 + need) >= need * (F.col("n1") + F.col("n"))
+    # Positions: before and after a shared shingle no more can be shared than the shorter side has.
+    reach = F.least("at1", "at") + F.least(F.col("n1") - F.col("at1"), F.col("n") - F.col("at"))
+    enough = (reach * (100 + need) >= need * (F.col("n1") + F.col("n"))) & (F.col("n") <= F.floor(F.col("n1") * 100 / need))
     later = (F.col("n1") < F.col("n")) | ((F.col("n1") == F.col("n")) & (F.col("set1") < F.col("set")))
     met = probe.join(lists, (probe["shingle"] == lists["shingle"]) & (probe["size"] == lists["size"]) & later & (F.col("pivot1") != F.col("pivot")) & (F.col("component1") != F.col("component")) & enough)
-    pairs = met.select(F.col("set1").alias("a"), F.col("set").alias("b")).distinct()
+    # Of the set whose prefix ends first all shared prefix shingles are seen; what is behind it can be shared at most.
+    rest = F.greatest(*(F.ceil(F.col(c) * need / 100) - 1 for c in ("n1", "n")))
+    counted = met.groupBy("set1", "set", "n1", "n").agg(F.count("*").alias("seen"))
+    pairs = counted.filter((F.col("seen") + rest) * (100 + need) >= need * (F.col("n1") + F.col("n"))).select(F.col("set1").alias("a"), F.col("set").alias("b"))
     arrays = full.select("set", "data")
     two = pairs.join(arrays.withColumnRenamed("set", "a").withColumnRenamed("data", "x"), "a").join(arrays.withColumnRenamed("set", "b").withColumnRenamed("data", "y"), "b")
 
