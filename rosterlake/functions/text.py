@@ -55,7 +55,7 @@ def number(c: Column) -> Column:
 
 def check_digit_ok(npi: Column) -> Column:
     """Ten digits that pass Luhn with the 80840 prefix."""
-    return F.coalesce(F.rlike(npi, F.lit(r"^\d{10}$")) & F.luhn_check(F.concat(F.lit("80840"), npi)), F.lit(False))
+    return F.coalesce(F.rlike(npi, F.lit(r"^\d{10}$")) & F.call_function("luhn_check", F.concat(F.lit("80840"), npi)), F.lit(False))
 
 
 def registry_id(c: Column) -> Column:
