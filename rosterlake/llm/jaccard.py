@@ -1,8 +1,11 @@
 """N-gram Jaccard join by set-relation skipping: exact links of at least 80 % between shingle sets.
 
 Equal sets are one set.  Shingles are put into one global order, rare ones
-first (by a count sketch of fixed size), and a set is indexed by its prefix: two
-sets that link share a prefix shingle.  Then two kinds of work are skipped:
+first (by a count sketch of fixed size), and a set is indexed by its prefix, a
+twentieth of the set longer than it must be: two sets that link share at least
+as many prefix shingles as the smaller one has extra ones, and one more.  A set
+with fewer shared entries has no link and goes before any set is fetched.  Then
+two kinds of work are skipped:
 
 * Index level.  An index list is cut into blocks by set size; a set probes only
   the blocks whose sizes can reach the threshold, skips entries at positions
@@ -42,6 +45,8 @@ SKETCH = 1 << 22
 SKETCH_PARTS = 16
 #: Sets and shingles of a block in the comparison of a pivot's sets.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
+#: A prefix is longer by one shingle for every EXTRA shingles of the set.
+EXTRA = 20
 #: Size blocks of an index list: sizes of one block differ by 5 % at most.
 STEP = 1.05
 
@@ -59,7 +64,12 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def prefix_length(n: int, need: int = NEED) -> int:
-    return n - -(-need * n // 100) + 1
+    return min(n, n - -(-need * n // 100) + 1 + n // EXTRA)
+
+
+def entries_needed(n: Column, need: int) -> Column:
+    """Prefix shingles that a set of size n shares with each set it links with: the smallest of those has n * need / 100."""
+    return 1 + F.floor(F.ceil(n * need / 100) / EXTRA)
 
 
 def overlap_needed(a, b, need: int = NEED):
@@ -188,8 +198,9 @@ def _size_block(n: Column) -> Column:
 
 
 def _with_partner(index: DataFrame, need: int) -> DataFrame:
-    """Entries that may have a partner in their list: the next larger or smaller set is near enough in size."""
+    """Entries, each once, that may have a partner in their list: the next larger or smaller set is near enough in size."""
     order = Window.partitionBy("shingle").orderBy("n", "set")
+    index = index.withColumn("was", F.lag("set").over(order)).filter("was is null or was <> set").drop("was")
     up, down = F.lead("n").over(order), F.lag("n").over(order)
     above = 100 * F.col("n") >= need * up
     below = 100 * down >= need * F.col("n")
@@ -199,15 +210,14 @@ def _with_partner(index: DataFrame, need: int) -> DataFrame:
 def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, need: int) -> DataFrame | None:
     """Links (a, b) between sets: a forest's worth of every component, or more; None if there are none."""
     by_shingle = Window.partitionBy("shingle")
-    index = cut(_with_partner(postings(docs, levels, width, need), need))
-    # Sets that several tasks emitted once are each other's neighbours; without them, once more.
-    index = cut(_with_partner(index.dropDuplicates(["shingle", "set"]), need))
-    if index.isEmpty():
-        return None
+    near = cut(_with_partner(postings(docs, levels, width, need), need))
+    index = near.withColumn("met", F.count("*").over(Window.partitionBy("set"))).filter(F.col("met") >= entries_needed(F.col("n"), need)).drop("met")
     # Answer level: every set's pivot is the set of least rank in its lists.
     rank = F.struct(F.xxhash64("set").alias("r"), F.col("set").alias("pivot"))
-    heads = index.groupBy("shingle").agg(F.min(rank).alias("head"))
-    pivots = cut(index.join(heads, "shingle").groupBy("set").agg(F.min("head")["pivot"].alias("pivot"), F.first("n").alias("n")))
+    index = cut(index.withColumn("head", F.min(rank).over(by_shingle)))
+    if index.isEmpty():
+        return None
+    pivots = cut(index.groupBy("set").agg(F.min("head")["pivot"].alias("pivot"), F.first("n").alias("n")))
     groups = pivots.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = cut(pivots.join(groups, "pivot").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int")))
     # The sets' shingles, read again from one document of each.
@@ -232,8 +242,8 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
     # A pivot's sets against its first block; the first block's rows go to every cell.
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     found = cut(_compare(full.withColumn("one", F.explode(to)).withColumn("two", F.lit(0)), need))
-    large = groups.filter("blocks > 1")
-    if not large.isEmpty():
+    many = full.filter("blocks > 1")
+    if not groups.filter("blocks > 1").isEmpty():
         # Sets outside their group's largest component, against all blocks.
         tree = components(found)
         named = placed.filter("blocks > 1").join(tree, placed["set"] == tree["id"], "left").select("pivot", "set", "block", "blocks", F.coalesce("component", "set").alias("component"))
@@ -242,12 +252,12 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
         rest = named.join(largest, "pivot").filter("component <> largest").select("pivot", "set", "blocks")
         count = rest.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("shares"))
         rest = rest.join(count, "pivot").withColumn("share", F.pmod(F.xxhash64(F.lit(8), "set"), F.col("shares")).cast("int"))
-        left = rest.select("pivot", "set", F.col("share").alias("one"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("two")).join(full.select("set", "data"), "set")
-        right = full.join(count, "pivot").select("pivot", "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("one"), F.col("block").alias("two"), "data")
+        left = rest.select("pivot", "set", F.col("share").alias("one"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("two")).join(many.select("set", "data"), "set")
+        right = many.join(count, "pivot").select("pivot", "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("one"), F.col("block").alias("two"), "data")
         found = cut(found.unionByName(_compare(left.select("pivot", "one", "two", "set", "data").unionByName(right.select("pivot", "one", "two", "set", "data")), need)))
     # Index level: lists with sets of several pivots, in size blocks.
     tree = components(found)
-    named = index.join(pivots.select("set", "pivot"), "set").join(tree.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    named = index.drop("head").join(pivots.select("set", "pivot"), "set").join(tree.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed = named.withColumn("lo", F.min("component").over(by_shingle)).withColumn("hi", F.max("component").over(by_shingle)).withColumn("p", F.min("pivot").over(by_shingle)).withColumn("q", F.max("pivot").over(by_shingle))
     mixed = cut(mixed.filter("lo <> hi and p <> q").select("shingle", "set", "n", "at", "pivot", "component"))
     # A set probes the blocks of sizes from its own to the largest that can link.
@@ -260,10 +270,19 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
     later = (F.col("n1") < F.col("n")) | ((F.col("n1") == F.col("n")) & (F.col("set1") < F.col("set")))
     met = probe.join(lists, (probe["shingle"] == lists["shingle"]) & (probe["size"] == lists["size"]) & later & (F.col("pivot1") != F.col("pivot")) & (F.col("component1") != F.col("component")) & enough)
     # Of the set whose prefix ends first all shared prefix shingles are seen; what is behind it can be shared at most.
-    rest = F.greatest(*(F.ceil(F.col(c) * need / 100) - 1 for c in ("n1", "n")))
+    rest = F.greatest(*(F.ceil(F.col(c) * need / 100) - 1 - F.floor(F.col(c) / EXTRA) for c in ("n1", "n")), F.lit(0))
     counted = met.groupBy("set1", "set", "n1", "n").agg(F.count("*").alias("seen"))
-    pairs = counted.filter((F.col("seen") + rest) * (100 + need) >= need * (F.col("n1") + F.col("n"))).select(F.col("set1").alias("a"), F.col("set").alias("b"))
-    arrays = full.select("set", "data")
+    pairs = cut(counted.filter((F.col("seen") + rest) * (100 + need) >= need * (F.col("n1") + F.col("n"))).select(F.col("set1").alias("a"), F.col("set").alias("b")))
+    if pairs.isEmpty():
+        return found
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("set"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = unpacked(asked.value)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[bit_of(batch.column("set").to_numpy())]))
+
+    arrays = full.select("set", "data").mapInArrow(pick, "set long, data binary")
     two = pairs.join(arrays.withColumnRenamed("set", "a").withColumnRenamed("data", "x"), "a").join(arrays.withColumnRenamed("set", "b").withColumnRenamed("data", "y"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
