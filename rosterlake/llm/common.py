@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 10_000
 
 
+#: Edges of a partition, where they are read again.
+EDGES = 100_000
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's ``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
@@ -46,23 +50,27 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (id, component), component = the smallest id.
 
     Alternating large-star and small-star steps: each halves path lengths, so
-    the rounds grow with the logarithm of a component's diameter.  A hub's
-    edges are only summed (min per node) before they are shuffled; each round
-    is cut by a checkpoint.
+    the rounds grow with the logarithm of a component's diameter; edges that are
+    stars to their smallest id already take one.  A hub's edges are only summed
+    (min per node) before they are shuffled; each round is cut by a checkpoint.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+
+    def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = cut(df)
+        state = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return df.coalesce(max(1, -(-state[0] // EDGES))), state
+
+    now, before = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(floor.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
-        now = cut(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now, state = settle(small)
         if state == before:
             break
         before = state

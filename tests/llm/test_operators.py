@@ -130,6 +130,42 @@ def test_line_dedup_odd_tables(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in line_dedup.deduplicate(rows).collect()) == [("1", "a b"), ("1", "a b"), ("None", "")]
 
 
+def test_edit_distance_matches_the_table():
+    rnd = np.random.default_rng(8)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice(list("abé😀"), rnd.integers(0, 12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (c != d))
+        assert line_dedup.edit_distance(a, b) == row[-1]
+        assert (line_dedup.edit_distance(a, b, 3) <= 3) == (row[-1] <= 3)
+
+
+def test_distance_bound_is_an_upper_bound():
+    rnd = np.random.default_rng(12)
+    for _ in range(300):
+        a = sentence(rnd, 12).split()
+        b = [w for w in a if rnd.random() > 0.1]
+        for _ in range(rnd.integers(0, 3)):
+            b.insert(int(rnd.integers(0, len(b) + 1)), str(rnd.choice(["x", "new", a[0]])))
+        a, b = " ".join(a), " ".join(b)
+        assert line_dedup.distance_bound(a, b, 30) >= min(31, line_dedup.edit_distance(a, b))
+        assert line_dedup.similar_texts(a, b) == (line_dedup.edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
+
+
+@pytest.mark.parametrize("wide", [256, 8])
+def test_near_rows_of_sorted_keys(monkeypatch, wide):
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
+    rnd = np.random.default_rng(6)
+    keys = np.sort(rnd.integers(0, 40, 400))
+    sims = rnd.integers(0, 1 << 9, 400).astype(np.uint64) * np.uint64(0x7F)
+    want = [any(i != j and keys[i] == keys[j] and (int(sims[i]) ^ int(sims[j])).bit_count() <= 3 for j in range(400)) for i in range(400)]
+    assert line_dedup.near_in_runs(keys, sims).tolist() == want
+    assert line_dedup.near_in_runs(keys[:0], sims[:0]).tolist() == []
+
+
 def test_simhash_lanes_match_a_plain_count():
     rnd = np.random.default_rng(1)
     words = rnd.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, 40_000, dtype=np.uint64)
