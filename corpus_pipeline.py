@@ -25,8 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdict = next(tag(iter([batch.select(["text"])]))).column("predicted").to_numpy()
-            yield batch.filter(pa.array(verdict == 0))
+            at = 0
+            for told in tag(iter([batch.select(["text"])])):
+                yield batch.slice(at, told.num_rows).filter(pa.array(told.column("predicted").to_numpy() == 0))
+                at += told.num_rows
 
     return docs.mapInArrow(keep, docs.schema)
 

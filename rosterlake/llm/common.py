@@ -164,6 +164,18 @@ def lowered(text: str | bytes | None) -> np.ndarray:
     return _LOWER[np.frombuffer(raw, dtype=np.uint8)]
 
 
+def groups_of(texts: list[str | None], most: int = 1 << 18) -> Iterator[tuple[int, list[str | None]]]:
+    """Consecutive texts of about ``most`` characters, with the first one's place."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "") + 1
+        if size >= most:
+            yield start, texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts[start:]
+
+
 def stream_groups(keys: list[str], each: Callable[[tuple, dict[str, list]], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over partitions sorted by ``keys``: calls ``each`` with a key and its rows' columns, one group at a time."""
 

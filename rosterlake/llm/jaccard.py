@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import bit_of, bitmap, components, cut, join_counted, lowered, mix, shingle_hashes, stream_groups, unpacked, word_hashes, word_spans
+from rosterlake.llm.common import bit_of, bitmap, components, cut, groups_of, join_counted, lowered, mix, shingle_hashes, stream_groups, unpacked, word_hashes, word_spans
 
 #: Numerator and denominator of the similarity, in hundreds: intersection * 100 >= 80 * union.
 NEED = 80
@@ -88,8 +88,9 @@ def members_and_sketch(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        for batch, start, texts in ((b, at, t) for b in batches for at, t in groups_of(b.column("text").to_pylist(), 1 << 23)):
+            batch = batch.slice(start, len(texts))
+            sets = [shingles(t, width) for t in texts]
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount((flat % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             n = len(sets)
