@@ -506,3 +506,39 @@ def test_nearest_matches_brute_force(spark, monkeypatch):
         assert [i for i, _ in got[q]] == [i for _, i in want]
         assert np.allclose([s for _, s in got[q]], [-s for s, _ in want], rtol=1e-12)
     assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
+
+
+# --- the pipeline -----------------------------------------------------------------------------------------------------
+
+
+def test_each_stage_matches_brute_force_on_its_own_input(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(21)
+    toxic, labels = toxic_corpus()
+    item = sentence(rnd, 30)
+    texts = toxic[:120] + line_texts() + near_texts() + [sentence(rnd, 60) + " " + item, None, ""]
+    folder = str(tmp_path)
+    docs_of(spark, texts).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in enumerate(labels[:120])], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    told = toxicity.score(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = {r["doc_id"]: texts[r["doc_id"]] for r in told.collect() if not r["predicted"]}
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        if n == 1:
+            left = brute_lines(sorted(want.items()))
+            want = {i: t for i, t in left.items() if t == want[i] or t.strip()}
+        elif n == 2:
+            ids = sorted(want)
+            groups = brute_jaccard([want[i] for i in ids])
+            want = {i: want[i] for k, i in enumerate(ids) if groups[k][1] == k}
+        elif n == 3:
+            want = {i: t for i, t in want.items() if item not in (t or "")}
+        stage(spark, docs, folder).write.parquet(f"{folder}/{n}")
+        docs = spark.read.parquet(f"{folder}/{n}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert {r["doc_id"]: r["text"] for r in docs.collect()} == want, n
+    mixed = corpus_pipeline.STAGES[4][1](spark, docs, folder)
+    assert {r["doc_id"] for r in mixed.collect()} <= set(want)
+    assert corpus_pipeline.run(spark, folder).count() == mixed.count()
