@@ -126,8 +126,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's lines, dropped lines and digest of the text that is left."""
-    kept = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document's lines, dropped lines and digest of the text that is left; edit similarity alone links lines."""
+    kept = line_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"), bits=None)
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

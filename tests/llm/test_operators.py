@@ -124,6 +124,53 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(len(t or "") for t in want.values()) < sum(len(t or "") for t in texts) / 2
 
 
+def edited_lines():
+    """Groups of a line of 5 to 100 words and copies with one word or up to a sixth of its words replaced, dropped or added."""
+    rnd = np.random.default_rng(17)
+    groups = []
+    for n in (5, 6, 8, 10, 13, 14, 15, 20, 25, 30, 39, 41, 50, 75, 100):
+        for _ in range(8):
+            base = sentence(rnd, n).split()
+            one, more, fewer = list(base), list(base), list(base)
+            one[int(rnd.integers(n))] = sentence(rnd, 1)
+            for k in rnd.choice(n, max(1, n // 6), replace=False):
+                more[int(k)] = sentence(rnd, 1)
+            del fewer[int(rnd.integers(n))]
+            groups.append((n, [" ".join(w) for w in (base, one, more, fewer, [*base, "added"])]))
+    return groups
+
+
+def test_line_dedup_by_edit_similarity_alone(spark):
+    groups = edited_lines()
+    lines = [t for _, g in groups for t in g]
+    close, n = [], [len(t) for t in lines]
+    for i, a in enumerate(lines):
+        for j in range(i):
+            far = int(max(n[i], n[j]) * 0.2 + 1e-9)
+            if abs(n[i] - n[j]) <= far and i // 5 == j // 5 and line_dedup.edit_distance(a, lines[j]) <= far:
+                close.append((j, i))
+    par = list(range(len(lines)))
+
+    def root(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for j, i in close:
+        a, b = sorted((root(j), root(i)))
+        par[b] = a
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs_of(spark, lines), bits=None).collect()}
+    want = {i: t if root(i) == i else "" for i, t in enumerate(lines)}
+    missed = [i for i in want if got[i] and not want[i]]
+    assert not [i for i in want if want[i] and not got[i]]  # none goes without an earlier copy
+    assert not missed, (len(missed), len(lines))
+    assert sum(not t for t in want.values()) > len(lines) / 2
+    old = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs_of(spark, lines)).collect()}
+    assert sum(not t for t in old.values()) < sum(not t for t in want.values())
+    with pytest.raises(ValueError):
+        line_dedup.deduplicate(docs_of(spark, []), bits=5)
+
+
 def test_line_dedup_odd_tables(spark):
     assert line_dedup.deduplicate(docs_of(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b", 1), (1, "a b", 2), (1, "a b", 3)], "doc_id long, text string, other int")
