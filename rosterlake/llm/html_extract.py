@@ -30,7 +30,9 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\shidden(?=[\s/=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+_MAY_HIDE = re.compile(r"hidden|display", re.IGNORECASE)
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.IGNORECASE)
 _CUT = re.compile(r"</?[a-zA-Z]")
 
 # Names of HTML elements.
@@ -39,7 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head button select option svg math canvas object audio video datalist".split())
+DROPPED = frozenset("head button select option svg datalist".split())
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
@@ -47,6 +49,17 @@ HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 Block = tuple[tuple[str, ...], str]
 
 
+def _hides(attrs: str) -> bool:
+    """Whether the attributes hidden, style or aria-hidden, by their own names and values, hide an element."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), entities.unescape("".join(values))
+        if name == "hidden" or (name == "style" and _NO_DISPLAY.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return True
+    return False
+
+
 def _text_features(text: str, linked: int) -> tuple[str, ...]:
     words = text.count(" ") + 1
     share = linked / len(text)
@@ -143,7 +156,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if attrs and not attrs.isspace():
             named = {w for g in _NAMED.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w}
             features = (*features, *sorted(f"name:{w}" for w in named))
-            dropped = dropped or bool(_HIDDEN.search(attrs))
+            dropped = dropped or _hides(attrs)
         if name in BLOCK:
             features = (*features, f"in:{name}")
         if not attrs.endswith("/") or name in BLOCK:

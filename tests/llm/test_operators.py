@@ -441,6 +441,19 @@ def test_extraction_on_held_out_generated_pages():
     assert right / total > 0.97
 
 
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        ('<p title="a hidden gem">Text.</p>', True), ("<article data-name='the hidden valley'><p>Text.</p></article>", True), ('<p title="display: none">Text.</p>', True),
+        ('<p data-note="x aria-hidden=true">Text.</p>', True), ("<p hidden-label=a>Text.</p>", True), ('<p aria-hidden="false">Text.</p>', True), ("<article><p><math>Text.</math></p></article>", True),
+        ("<object>Text.</object>", True), ("<canvas>Text.</canvas>", True), ("<audio>Text.</audio>", True), ("<video>Text.</video>", True),
+        ("<p hidden>Text.</p>", False), ('<p class="a" HIDDEN="">Text.</p>', False), ("<p style='color: red; display : none'>Text.</p>", False), ("<p aria-hidden=true>Text.</p>", False), ("<svg>Text.</svg>", False),
+    ],
+)
+def test_only_attributes_that_hide_drop_an_element(page, kept):
+    assert [t for _, t in html_extract.leaf_blocks(page)] == ["Text."] * kept
+
+
 def test_extraction_of_odd_pages(spark):
     pages = [
         (1, "u", None), (2, None, ""), (None, "u", "no markup at all, just a long sentence that somebody wrote."),
