@@ -145,14 +145,12 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         seen.update(np.unique(d).tolist())
     model = Model(vocabulary=np.array(sorted(f for f, k in seen.items() if k >= 3), dtype=np.uint64))
     size = len(model.vocabulary) + 1
-    # Chains of whole texts; of those without a toxic word every fourth is enough.
+    # Chains of whole texts, all of them.
     parts = []
     for d, t in zip(docs, truth, strict=True):
         mark = np.isin(d, bad).any(axis=1) & t
         at = model.index(d)
-        for k, low in enumerate(range(0, len(d), CHAIN)):
-            if mark[low : low + CHAIN].any() or k % 4 == 0:
-                parts.append((at[low : low + CHAIN], mark[low : low + CHAIN]))
+        parts += [(at[low : low + CHAIN], mark[low : low + CHAIN]) for low in range(0, len(d), CHAIN)]
     if not parts:
         return Model(level=float(np.log(n1 / n0)))
     labels, mask, word = np.zeros((len(parts), CHAIN), int), np.zeros((len(parts), CHAIN), bool), np.zeros((len(parts), CHAIN, 3), int)

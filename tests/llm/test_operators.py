@@ -399,6 +399,15 @@ def test_toxicity_held_out_accuracy_and_offsets(spark):
     assert got[302]["spans"] == "2:7,8:12"
 
 
+def test_toxicity_is_fitted_on_every_chain(monkeypatch):
+    rnd = np.random.default_rng(4)
+    texts = [sentence(rnd, 4 * toxicity.CHAIN + 3) + " idiot" * (i % 2) for i in range(12)]
+    fitted, fit = [], crf.fit
+    monkeypatch.setattr(crf, "fit", lambda features, rows, n, labels, mask, *a, **b: fitted.append(mask) or fit(features, rows, n, labels, mask, *a, **b))
+    toxicity.fit(texts, [i % 2 for i in range(12)])
+    assert fitted[0].sum() == sum(len(t.split()) for t in texts)
+
+
 def test_toxicity_without_labels(spark):
     table = docs_of(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
