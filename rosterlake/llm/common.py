@@ -19,9 +19,11 @@ EDGES = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local folder only where it is unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; a local folder only where it is unset and the master is local (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="rosterlake-checkpoint-"))
 
 
@@ -51,8 +53,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each halves path lengths, so
     the rounds grow with the logarithm of a component's diameter; edges that are
-    stars to their smallest id already take one.  A hub's edges are only summed
-    (min per node) before they are shuffled; each round is cut by a checkpoint.
+    stars to their smallest id already take one.  Where a node's least neighbour
+    goes back to its edges, nodes of many edges are broadcast and their edges
+    stay where they are: fewer than BROADCAST_ROWS nodes can have more than
+    2 n / BROADCAST_ROWS of n edges.  Each round is cut by a checkpoint.
     """
 
     def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
@@ -60,14 +64,22 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         state = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         return df.coalesce(max(1, -(-state[0] // EDGES))), state
 
+    def with_least(pairs: DataFrame, least: DataFrame, many: int) -> DataFrame:
+        hubs = least.filter(F.col("k") > many).select("u", "m")
+        marked = pairs.join(F.broadcast(hubs), "u", "left")
+        return marked.filter("m is not null").unionByName(marked.filter("m is null").drop("m").join(least.filter(F.col("k") <= many).select("u", "m"), "u"))
+
     now, before = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     for _ in range(most):
+        if not before[0]:
+            break
+        many = max(64, -(-2 * before[0] // BROADCAST_ROWS))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = with_least(both, least, many).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
         small = (
-            large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            with_least(large, floor, many).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(floor.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
         now, state = settle(small)

@@ -12,11 +12,12 @@ two kinds of work are skipped:
   from which they can't, and keeps a pair only if the shared part of its
   prefixes, with all that is behind them, can still reach it.
 * Answer level.  Sets that meet in lists get a common pivot (the least rank of
-  their lists).  A pivot's sets are compared block by block: with the pivot's
-  block first, whose answers also answer for every set that joins their
-  component; only sets outside the group's largest component are compared with
-  the rest.  Pairs in lists across pivots are verified one by one, unless they
-  are connected already.
+  their lists).  A pivot's sets are compared block by block.  In a block one
+  set's answers (its shared shingles with every other) are counted, and the
+  answers of sets like it are derived from them by what differs.  The first
+  block's answers also answer for every set that joins their component; only
+  sets outside the group's largest component are compared with the rest.  Pairs
+  in lists across pivots are verified one by one, unless they are connected.
 
 Links are kept as trees: sets of one component need not all be paired.
 
@@ -40,9 +41,11 @@ from rosterlake.llm.common import bit_of, bitmap, components, cut, groups_of, jo
 
 #: Numerator and denominator of the similarity, in hundreds: intersection * 100 >= 80 * union.
 NEED = 80
-#: Counters of the sketch that orders shingles: 32 MB for a task, 8 MB broadcast.
+#: Counters of the sketch that orders shingles: 32 MB for a task; its levels, 4 MB, go to the driver and are broadcast.
 SKETCH = 1 << 22
 SKETCH_PARTS = 16
+#: Steps of the order for each doubling of a count; a counter's level is a byte.
+LEVELS = 6
 #: Sets and shingles of a block in the comparison of a pivot's sets.
 BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 19
 #: A prefix is longer by one shingle for every EXTRA shingles of the set.
@@ -112,13 +115,14 @@ def members_and_sketch(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
             for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 now = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
                 sums[part] = sums[part] + now if part in sums else now
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())], ["part", "counts"])
+        levels = [np.minimum(LEVELS * np.log2(1.0 + s), 255).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
 
     both = cut(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n long, set long, part int, counts binary"))
-    sketch = np.zeros((SKETCH_PARTS, size), dtype=np.int64)
-    for row in both.filter("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary").collect():
-        sketch[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
-    return both.filter("part is null").select("doc_id", "n", "set"), (16 * np.log2(1.0 + sketch.ravel())).astype(np.uint16)
+    levels = np.zeros((SKETCH_PARTS, size), dtype=np.uint8)
+    for row in both.filter("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, levels binary").toLocalIterator():
+        levels[row["part"]] = np.frombuffer(row["levels"], dtype=np.uint8)
+    return both.filter("part is null").select("doc_id", "n", "set"), levels.ravel()
 
 
 def postings(docs: DataFrame, levels: np.ndarray, width: int, need: int) -> DataFrame:
@@ -134,7 +138,7 @@ def postings(docs: DataFrame, levels: np.ndarray, width: int, need: int) -> Data
                 if not len(own) or (sid := set_id(own)) in seen:
                     continue
                 seen.add(sid)
-                key = (rank[(own % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (own >> np.uint64(16))
+                key = (rank[(own % np.uint64(SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
                 p = prefix_length(len(own), need)
                 first = np.sort(np.partition(key, p - 1)[:p] if p < len(key) else key)
                 keys.append(first)
@@ -147,28 +151,61 @@ def postings(docs: DataFrame, levels: np.ndarray, width: int, need: int) -> Data
     return docs.select("text").mapInArrow(read, "shingle long, set long, n int, at int")
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of each two sets: the first set's answers are counted, and those of sets like it derived from them.
+
+    The lists hold the sets of each shingle.  The first set's row is the sum of
+    its shingles' lists.  Where a set differs from it in fewer shingles than it
+    has, its row is that row, plus the lists of the shingles that only it has,
+    less the lists of those that only the first has; any other set's row is
+    summed from its own lists.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), sizes)
+    lists, begin = row[np.argsort(where, kind="stable")], np.cumsum(counts) - counts
+    head = where[: sizes[0]]
+    in_head = np.zeros(len(values), dtype=bool)
+    in_head[head] = True
+    base = np.bincount(row[in_head[where]], minlength=m)
+    like = sizes[0] < 2 * base
+    own = ~(like[row] & in_head[where])
+    x, v, sign = [row[own]], [where[own]], [np.ones(int(own.sum()), np.float32)]
+    place = np.cumsum(in_head) - 1
+    derived = np.flatnonzero(like)
+    slab = max(1, (1 << 24) // max(1, len(head)))
+    for low in range(0, len(derived), slab):  # bounded memory
+        part = derived[low : low + slab]
+        at = np.full(m, -1)
+        at[part] = np.arange(len(part))
+        has = np.zeros((len(part), len(head)), dtype=bool)
+        hit = (at[row] >= 0) & in_head[where]
+        has[at[row[hit]], place[where[hit]]] = True
+        i, j = np.nonzero(~has)
+        x.append(part[i])
+        v.append(np.flatnonzero(in_head)[j])
+        sign.append(np.full(len(i), -1, np.float32))
+    x, v, sign = np.concatenate(x), np.concatenate(v), np.concatenate(sign)
+    shared = np.where(like[:, None], base[None, :], 0).astype(np.float64).ravel()
+    done = np.cumsum(counts[v])
+    low = 0
+    while low < len(v):
+        high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + (1 << 21), "right")))
+        long = counts[v[low:high]]
+        inside = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+        other = lists[np.repeat(begin[v[low:high]], long) + inside]
+        shared += np.bincount(np.repeat(x[low:high], long) * m + other, np.repeat(sign[low:high], long), m * m)
+        low = high
+    return np.rint(shared).astype(np.int64).reshape(m, m)
+
+
 def block_links(ids: list[int], sets: list[np.ndarray], need: int = NEED) -> list[tuple[int, int]]:
     """Links among a block's sets, as stars: (set, first set of its component in the block)."""
     once = dict(zip(ids, sets, strict=True))
     ids = sorted(once)
     sets = [once[i] for i in ids]
     m, sizes = len(ids), np.array([len(once[i]) for i in ids], dtype=np.int64)
-    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = counts >= 2
-    column = np.cumsum(common) - 1
-    row = np.repeat(np.arange(m), sizes)
-    keep = common[where]
-    row, column = row[keep], column[where[keep]]
-    width = int(common.sum())
-    shared = np.zeros((m, m), dtype=np.float64)
-    slab = max(1, (1 << 22) // m)
-    for low in range(0, width, slab):  # bounded memory; sums below 2**24 are exact
-        inside = (column >= low) & (column < low + slab)
-        x = np.zeros((m, min(slab, width - low)), dtype=np.float32)
-        x[row[inside], column[inside] - low] = 1
-        shared += x @ x.T
-    shared = np.rint(shared).astype(np.int64)
-    near = linked(shared, sizes[:, None], sizes[None, :], need)
+    near = linked(shared_counts(sets), sizes[:, None], sizes[None, :], need)
     np.fill_diagonal(near, False)
     left, out = np.ones(m, bool), []
     for i in range(m):
@@ -208,8 +245,8 @@ def _with_partner(index: DataFrame, need: int) -> DataFrame:
     return index.withColumn("keep", F.coalesce(above, F.lit(False)) | F.coalesce(below, F.lit(False))).filter("keep").drop("keep")
 
 
-def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, need: int) -> DataFrame | None:
-    """Links (a, b) between sets: a forest's worth of every component, or more; None if there are none."""
+def labels(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, need: int) -> DataFrame | None:
+    """(set, component) of the sets that link with others; None if there are none."""
     by_shingle = Window.partitionBy("shingle")
     near = cut(_with_partner(postings(docs, levels, width, need), need))
     index = near.withColumn("met", F.count("*").over(Window.partitionBy("set"))).filter(F.col("met") >= entries_needed(F.col("n"), need)).drop("met")
@@ -219,8 +256,11 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
     if index.isEmpty():
         return None
     pivots = cut(index.groupBy("set").agg(F.min("head")["pivot"].alias("pivot"), F.first("n").alias("n")))
-    groups = pivots.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = cut(pivots.join(groups, "pivot").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int")))
+    # Groups of more than one block; a hot group's sets are dealt over salts where the groups are joined.
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = cut(pivots.groupBy("pivot").agg(blocks.alias("blocks")).filter("blocks > 1"))
+    placed = join_counted(pivots, large, "pivot", "left", F.col("set")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int"))
     # The sets' shingles, read again from one document of each.
     one = members.join(pivots.select("set"), "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(one.select(F.xxhash64("doc_id").alias("k"))))
@@ -243,22 +283,49 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
     # A pivot's sets against its first block; the first block's rows go to every cell.
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     found = cut(_compare(full.withColumn("one", F.explode(to)).withColumn("two", F.lit(0)), need))
-    many = full.filter("blocks > 1")
-    if not groups.filter("blocks > 1").isEmpty():
+    if large.isEmpty():
+        tree = _stars(found)
+    else:
+        # Only links of groups of several blocks need their components sought; a single block's are stars already.
+        several = full.filter("blocks > 1")
+        several_sets = several.select("set")
+        inner = found.join(several_sets, found["b"] == several_sets["set"], "left_semi")
+        tree = cut(components(inner))
+        named = several.select("pivot", "set", "block", "blocks").join(tree.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
         # Sets outside their group's largest component, against all blocks.
-        tree = components(found)
-        named = placed.filter("blocks > 1").join(tree, placed["set"] == tree["id"], "left").select("pivot", "set", "block", "blocks", F.coalesce("component", "set").alias("component"))
         sizes = named.groupBy("pivot", "component").agg(F.count("*").alias("k"))
-        largest = sizes.groupBy("pivot").agg(F.max(F.struct("k", "component"))["component"].alias("largest"))
-        rest = named.join(largest, "pivot").filter("component <> largest").select("pivot", "set", "blocks")
-        count = rest.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("shares"))
-        rest = rest.join(count, "pivot").withColumn("share", F.pmod(F.xxhash64(F.lit(8), "set"), F.col("shares")).cast("int"))
-        left = rest.select("pivot", "set", F.col("share").alias("one"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("two")).join(many.select("set", "data"), "set")
-        right = many.join(count, "pivot").select("pivot", "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("one"), F.col("block").alias("two"), "data")
-        found = cut(found.unionByName(_compare(left.select("pivot", "one", "two", "set", "data").unionByName(right.select("pivot", "one", "two", "set", "data")), need)))
-    # Index level: lists with sets of several pivots, in size blocks.
-    tree = components(found)
-    named = index.drop("head").join(pivots.select("set", "pivot"), "set").join(tree.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+        largest = sizes.groupBy("pivot").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.ceil((F.sum("k") - F.max("k")) / BLOCK_SETS).cast("int").alias("shares"))
+        largest = cut(largest.filter("shares > 0"))
+        rest = join_counted(named, largest, "pivot", "inner", F.col("set")).filter("component <> largest").select("pivot", "set", "blocks", "shares")
+        rest = rest.withColumn("share", F.pmod(F.xxhash64(F.lit(8), "set"), F.col("shares")).cast("int"))
+        left = rest.select("pivot", "set", F.col("share").alias("one"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("two")).join(several.select("set", "data"), "set")
+        right = join_counted(several.select("pivot", "set", "block", "data"), largest, "pivot", "inner", F.col("set"))
+        right = right.select("pivot", "set", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("one"), F.col("block").alias("two"), "data")
+        more = cut(_compare(left.select("pivot", "one", "two", "set", "data").unionByName(right), need))
+        if not more.isEmpty():
+            tree = components(tree.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        tree = cut(_stars(found.join(several_sets, found["b"] == several_sets["set"], "left_anti")).unionByName(tree.select(F.col("id").alias("set"), "component")))
+    more = _across(index.drop("head").join(pivots.select("set", "pivot"), "set"), tree, full, need)
+    if more is None:
+        return tree
+    # The links between components, contracted to them.
+    ends = more.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    every = cut(tree.unionByName(ends.join(tree, "set", "left_anti").select("set", F.col("set").alias("component"))))
+    own = every.select("set", F.col("component").alias("own"))
+    edges = more.join(own.withColumnsRenamed({"set": "a", "own": "x"}), "a").join(own.withColumnsRenamed({"set": "b", "own": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    top = cut(components(edges)).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return join_counted(every, top, "component", "left", F.col("set")).select("set", F.coalesce("top", "component").alias("component"))
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    """(set, component) of links that are stars (set, centre)."""
+    return found.select(F.col("a").alias("set"), F.col("b").alias("component")).unionByName(found.select(F.col("b").alias("set"), F.col("b").alias("component"))).distinct()
+
+
+def _across(index: DataFrame, tree: DataFrame, full: DataFrame, need: int) -> DataFrame | None:
+    """Links (a, b) between sets of several pivots and components that meet in lists of (shingle, set, n, at, pivot); None if there are none."""
+    by_shingle = Window.partitionBy("shingle")
+    named = index.join(tree, "set", "left").withColumn("component", F.coalesce("component", "set"))
     mixed = named.withColumn("lo", F.min("component").over(by_shingle)).withColumn("hi", F.max("component").over(by_shingle)).withColumn("p", F.min("pivot").over(by_shingle)).withColumn("q", F.max("pivot").over(by_shingle))
     mixed = cut(mixed.filter("lo <> hi and p <> q").select("shingle", "set", "n", "at", "pivot", "component"))
     # A set probes the blocks of sizes from its own to the largest that can link.
@@ -275,8 +342,8 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
     counted = met.groupBy("set1", "set", "n1", "n").agg(F.count("*").alias("seen"))
     pairs = cut(counted.filter((F.col("seen") + rest) * (100 + need) >= need * (F.col("n1") + F.col("n"))).select(F.col("set1").alias("a"), F.col("set").alias("b")))
     if pairs.isEmpty():
-        return found
-    asked = docs.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("set"))))
+        return None
+    asked = full.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("set"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = unpacked(asked.value)
@@ -296,18 +363,18 @@ def links(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, n
                 keep.append(bool(linked(int((b[at] == a).sum()), len(a), len(b), need)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(found.unionByName(two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")))
+    more = cut(two.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    return None if more.isEmpty() else more
 
 
 def join(docs: DataFrame, width: int = 5, need: int = NEED) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``; component_id is the smallest doc_id that links reach."""
     members, levels = members_and_sketch(docs, width)
-    found = links(docs, members, levels, width, need)
+    tree = labels(docs, members, levels, width, need)
     sets = members.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("k"))
-    if found is None:
+    if tree is None:
         named = sets.filter("k > 1").select("set", F.col("least").alias("component_id"))
     else:
-        tree = components(found).withColumnRenamed("id", "set")
         both = sets.join(tree, "set", "left").filter("k > 1 or component is not null").withColumn("component", F.coalesce("component", "set"))
         least = both.groupBy("component").agg(F.min("least").alias("component_id"))
         named = both.select("set", "component").join(least, "component").select("set", "component_id")

@@ -611,3 +611,29 @@ def test_each_stage_matches_brute_force_on_its_own_input(spark, tmp_path):
     mixed = corpus_pipeline.STAGES[4][1](spark, docs, folder)
     assert {r["doc_id"] for r in mixed.collect()} <= set(want)
     assert corpus_pipeline.run(spark, folder).count() == mixed.count()
+
+
+@pytest.mark.parametrize("close", [True, False])
+def test_derived_answers_match_a_plain_count(close):
+    rnd = np.random.default_rng(13)
+    first = rnd.integers(0, 1 << 60, 80, dtype=np.uint64)
+    sets = []
+    for n in range(40):
+        own = first[rnd.random(80) > (0.1 if close and n % 4 else 0.7)]
+        sets.append(np.unique(np.concatenate([own, rnd.integers(0, 60, 9, dtype=np.uint64)])))
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    assert jaccard.shared_counts(sets).tolist() == want
+
+
+def test_jaccard_of_one_large_group_of_near_copies(spark):
+    rnd = np.random.default_rng(14)
+    words = sentence(rnd, 60).split()
+    texts = []
+    for n in range(2000):
+        own = list(words)
+        own[n % 60] = f"edit{n}"
+        if n >= 1900:  # in the group's lists, but not near
+            own[10:40] = sentence(rnd, 30).split()
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs_of(spark, texts)).collect()}
+    assert got == {i: g for i, (_, g) in brute_jaccard(texts).items()}
