@@ -262,7 +262,7 @@ def labels(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int,
     placed = join_counted(pivots, large, "pivot", "left", F.col("set")).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "set"), F.col("blocks")).cast("int"))
     # The sets' shingles, read again from one document of each.
-    one = members.join(pivots.select("set"), "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    one = members.groupBy("set").agg(F.min("doc_id").alias("doc_id")).join(pivots.select("set"), "set")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(one.select(F.xxhash64("doc_id").alias("k"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
