@@ -1,14 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a seed (a run of five words) are
-tiled: Karp-Rabin window hashes find the common runs of unmarked words, the
-longest is marked in both, and so on until no run of five words is left.  The
-share of the item's words that tiles cover shows passages even if they are
-reordered.  A document that covers ``threshold`` of an item is contaminated.
-
-The benchmark is read in chunks of at most CHUNK_CHARS characters; each chunk's
-seed index is broadcast and each document meets it in its own task, so that
-documents are never shuffled.  A larger benchmark takes more passes.
+Seeds are runs of five words (of a shorter item, the whole item).  The seeds of
+the benchmark go into a bitmap of fixed size; each document's seeds in it are
+joined with the benchmark's, which gives the pairs of a document and an item and
+how many of the item's positions are reached.  Pairs that can't reach the
+threshold go; the others meet with their texts and are tiled: running Karp-Rabin
+hashes of the windows of unmarked words find the longest common run, all runs of
+that length are marked where they don't overlap, and so on with the longest of
+what is left until no run of five words is.  The share of the item's words that
+tiles cover shows passages even if they are reordered.  A document that covers
+``threshold`` of an item is contaminated.
 
 Words are runs of ASCII letters and digits and of other characters, ASCII case
 folded; punctuation does not count.  Defined cases: null texts and items count
@@ -20,20 +21,18 @@ each; null ids stay; other columns are dropped by ``find`` and kept by ``clean``
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rosterlake.llm.common import NOT_ALNUM, lowered, ngrams, word_hashes, word_spans
+from rosterlake.llm.common import NOT_ALNUM, bit_of, bitmap, cut, join_counted, lowered, mix, ngrams, powers, unpacked, word_hashes, word_spans
 
 #: Words of the shortest tile.
 SEED = 5
 #: Share of an item's words that makes a document contaminated.
 THRESHOLD = 0.6
-#: Characters of the benchmark that one broadcast index holds, at most (a longer item is a chunk of its own).
-CHUNK_CHARS = 4_000_000
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -41,126 +40,171 @@ def words_of(text: str | None) -> np.ndarray:
     return word_hashes(data, *word_spans(data, NOT_ALNUM))
 
 
-def tile(doc: np.ndarray, item: np.ndarray, pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+class Windows:
+    """Karp-Rabin hashes of the windows of unmarked words, for any width."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.used = words, np.zeros(len(words), dtype=bool)
+        up, self.down = powers(len(words) + 1)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)])])
+
+    def free(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows without a marked word."""
+        n = len(self.words) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        marked = np.concatenate([[0], np.cumsum(self.used)])
+        at = np.flatnonzero(marked[width:] == marked[:n])
+        with np.errstate(over="ignore"):
+            return at, mix((self.sums[at + width] - self.sums[at]) * self.down[at])
+
+    def open(self, at: int, width: int) -> bool:
+        """Of a window free before tiles of its own width were marked: whether it still is (only its ends can lie in one)."""
+        return not (self.used[at] or self.used[at + width - 1])
+
+
+def _within_seeds(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The document's words that lie in a window of ``least`` words that the item has, each run of them behind one word that is in no item; and their places."""
+    hit = np.flatnonzero(np.isin(ngrams(doc, least), ngrams(item, least)))
+    if not len(hit):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    reach = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(reach, hit, 1)
+    np.add.at(reach, hit + least, -1)
+    inside = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
+    gap = np.flatnonzero(np.diff(inside) > 1) + 1
+    return np.insert(doc[inside], gap, np.uint64(0)), np.insert(inside, gap, -1)
+
+
+def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (doc position, item position, length) of non-overlapping common runs of ``least`` words or more, longest first.
 
-    ``pairs``: positions whose windows of ``least`` words have equal hashes.
-    Ties go to the first item position, then the first document position.
+    Ties go to the first item position, then the first document position.  Memory
+    is linear in the texts; each length takes a logarithmic number of passes.
     """
-    used_d, used_i = np.zeros(len(doc) + 1, bool), np.zeros(len(item) + 1, bool)
-    live, tiles = set(pairs), []
-    while live:
-        runs = []
-        for d, i in live:
-            if (d - 1, i - 1) in live and not (used_d[d - 1] or used_i[i - 1]):
-                continue  # inside a longer run
-            most = min(len(doc) - d, len(item) - i)
-            bad = (doc[d : d + most] != item[i : i + most]) | used_d[d : d + most] | used_i[i : i + most]
-            n = int(bad.argmax()) if bad.any() else most
-            if n >= least:
-                runs.append((-n, i, d))
-        if not runs:
-            break
-        for n, i, d in sorted(runs):
-            n = -n
-            if not (used_d[d : d + n].any() or used_i[i : i + n].any()):
-                used_d[d : d + n] = used_i[i : i + n] = True
-                tiles.append((d, i, n))
-        live = {(d, i) for d, i in live if not (used_d[d : d + least].any() or used_i[i : i + least].any())}
+    short, places = _within_seeds(doc, item, least)
+    a, b = Windows(short), Windows(item)
+    a.used = places < 0
+    most, tiles = min(len(short), len(item)), []
+
+    def common(width: int) -> bool:
+        return bool(np.isin(b.free(width)[1], a.free(width)[1]).any())
+
+    while most >= least and common(least):
+        low, high = least, most  # the longest common run of unmarked words
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if common(middle) else (low, middle - 1)
+        at, hashes = a.free(low)
+        order = np.argsort(hashes, kind="stable")
+        at, hashes = at[order], hashes[order]
+        here, sought = b.free(low)
+        begin, end = np.searchsorted(hashes, sought, "left"), np.searchsorted(hashes, sought, "right")
+        next_of: dict[int, int] = {}  # by a hash's first place: the next one to try
+        for i, x, y in zip(here.tolist(), begin.tolist(), end.tolist(), strict=True):
+            if x == y or not b.open(i, low):
+                continue
+            k = next_of.get(x, x)
+            while k < y and not a.open(int(at[k]), low):
+                k += 1
+            next_of[x] = k
+            if k < y and np.array_equal(short[(d := int(at[k])) : d + low], item[i : i + low]):
+                a.used[d : d + low] = b.used[i : i + low] = True
+                tiles.append((int(places[d]), i, low))
+        most = low - 1
     return tiles
 
 
-@dataclass
-class Index:
-    """Seeds of a chunk of the benchmark: for each width, sorted hashes and their (item, position) postings."""
-
-    ids: list
-    items: list[np.ndarray]
-
-    def __post_init__(self):
-        self.widths = {}
-        for width in sorted({min(SEED, len(t)) for t in self.items if len(t)}):
-            own = [(h, n, p) for n, t in enumerate(self.items) if min(SEED, len(t)) == width for p, h in enumerate(ngrams(t, width).tolist())]
-            hashes = np.array([o[0] for o in own], dtype=np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            maybe = np.zeros(1 << 18, dtype=bool)
-            maybe[(hashes & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-            self.widths[width] = hashes[order], np.array([o[1:] for o in own])[order], maybe
-
-    def seeds(self, doc: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """item -> (document position, item position) of the shared seeds."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for width, (hashes, where, maybe) in self.widths.items():
-            if len(doc) < width:
-                continue
-            own = ngrams(doc, width)
-            near = np.flatnonzero(maybe[(own & np.uint64((1 << 18) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, own[near], "left"), np.searchsorted(hashes, own[near], "right")
-            for d, a, b in zip(near[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for n, p in where[a:b].tolist():
-                    found.setdefault(n, []).append((d, p))
-        return found
-
-    def leaks(self, text: str | None, threshold: float) -> list[tuple]:
-        """(item_id, item words, covered words, tiles) of the items of which the text covers the threshold."""
-        doc, out = words_of(text), []
-        for n, pairs in sorted(self.seeds(doc).items()):
-            item = self.items[n]
-            least = min(SEED, len(item))
-            reach = np.zeros(len(item) + 1, int)
-            for _, p in set(pairs):
-                reach[p] += 1
-                reach[p + least] -= 1
-            if (np.cumsum(reach)[:-1] > 0).sum() < threshold * len(item):
-                continue  # even all seeds together cover too little
-            tiles = tile(doc, item, pairs, least)
-            covered = sum(t[2] for t in tiles)
-            if covered >= threshold * len(item):
-                out.append((self.ids[n], len(item), covered, len(tiles)))
-        return out
-
-
-def chunks(benchmark: DataFrame, most: int = CHUNK_CHARS) -> Iterator[Index]:
-    ids, items, size = [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        text = row["text"] or ""
-        if items and size + len(text) > most:
-            yield Index(ids, items)
-            ids, items, size = [], [], 0
-        ids.append(row["item_id"])
-        items.append(words_of(text))
-        size += len(text)
-    if items:
-        yield Index(ids, items)
+def _seeds(benchmark: DataFrame) -> DataFrame:
+    """(seed, item, words, width): a row for each position of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                width = min(SEED, len(words))
+                if width:
+                    found = ngrams(words, width).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.full(len(found), x, np.int64)) for x in (item, len(words), width))], ["seed", "item", "words", "width"])
+
+    return benchmark.select("item", "text").mapInArrow(run, "seed long, item long, words long, width long")
+
+
+def pairs(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(row, item) of the documents (row, text) and items (item, text) whose shared seeds can cover the threshold."""
+    seeds = cut(_seeds(benchmark.dropDuplicates(["item"])))
+    widths = sorted(r[0] for r in seeds.select("width").distinct().collect())  # SEED numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(seeds.select("seed")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = unpacked(shared.value)
+        for batch in batches:
+            rows, found = [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                for width in widths:
+                    own = ngrams(words, width)
+                    own = np.unique(own[wanted[bit_of(own)]]) if len(own) else own
+                    if len(own):
+                        rows.append(np.full(len(own), row, np.int64))
+                        found.append(own)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64))], ["row", "seed"])
+
+    hits = docs.select("row", "text").mapInArrow(run, "row long, seed long").distinct()
+    met = join_counted(hits, seeds, "seed", "inner", F.col("row")).groupBy("row", "item").agg(F.count("*").alias("met"), F.first("words").alias("words"), F.first("width").alias("width"))
+    return met.filter(F.col("met") * F.col("width") >= threshold * F.col("words")).select("row", "item")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(row, item_id, item_words, covered_words, tiles): of the documents (row, text), each distinct row once, the items (item_id, item, text) of which it covers the threshold."""
+    found = cut(pairs(docs, benchmark, threshold))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("row")))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = unpacked(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(wanted[bit_of(batch.column("row").to_numpy())]))
+
+    texts = docs.select("row", "text").mapInArrow(pick, "row long, text string").groupBy("row").agg(F.first("text").alias("text"))
+    met = found.join(texts, "row")
+    items = cut(benchmark.select("item", "item_id", F.col("text").alias("item_text")))
+    met = join_counted(met, items, "item", "inner", F.col("row"))
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, out = [], []
+            for k, (text, item_text) in enumerate(zip(batch.column("text").to_pylist(), batch.column("item_text").to_pylist(), strict=True)):
+                item = words_of(item_text)
+                tiles = tile(words_of(text), item, min(SEED, len(item)))
+                covered = sum(t[2] for t in tiles)
+                if covered >= threshold * len(item):
+                    keep.append(k)
+                    out.append((len(item), covered, len(tiles)))
+            chosen = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([chosen.column("row"), chosen.column("item_id"), *(pa.array([o[c] for o in out], pa.int64()) for c in range(3))], ["row", "item_id", "item_words", "covered_words", "tiles"])
+
+    return met.select("row", "item_id", "text", "item_text").mapInArrow(run, f"row long, item_id {kind}, item_words long, covered_words long, tiles long")
+
+
+def _keyed(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    row, item = (F.xxhash64(c, F.coalesce("text", F.lit(""))) for c in ("doc_id", "item_id"))
+    return docs.select("doc_id", "text", row.alias("row")), benchmark.select("item_id", "text", item.alias("item"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, tiles, coverage: a row for each document row and item of which it covers the threshold."""
-    spark = docs.sparkSession
-    kinds = [x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (benchmark, "item_id"))]
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words long, covered_words long, tiles long, coverage double"
-    out = spark.createDataFrame([], schema)
-    for index in chunks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(doc, *leak, leak[2] / leak[1]) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for leak in shared.value.leaks(text, threshold)]
-                columns = list(zip(*found, strict=True)) if found else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.field("doc_id").type, pa.int64() if kinds[1] in ("bigint", "int") else pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "item_words", "covered_words", "tiles", "coverage"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema.replace(f"item_id {kinds[1]}", "item_id " + ("long" if kinds[1] in ("bigint", "int") else kinds[1]))).selectExpr("doc_id", f"cast(item_id as {kinds[1]}) item_id", "item_words", "covered_words", "tiles", "coverage"))
-    return out
+    base, items = _keyed(docs, benchmark)
+    found = cut(leaks(base, items, threshold))
+    out = join_counted(base.select("doc_id", "row"), found, "row", "inner", F.spark_partition_id())
+    return out.select("doc_id", "item_id", "item_words", "covered_words", "tiles", (F.col("covered_words") / F.col("item_words")).alias("coverage"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    for index in chunks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not shared.value.leaks(t, threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    base, items = _keyed(docs, benchmark)
+    gone = cut(leaks(base, items, threshold).select("row").distinct().withColumn("gone", F.lit(True)))
+    given = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
+    return join_counted(given, gone, "row", "left", F.spark_partition_id()).filter("gone is null").select("given.*")
