@@ -4,12 +4,14 @@ Documents carry labels, tokens do not: tokens are labelled by contrast.  A word
 of a toxic document is toxic if it, or its stem, is far more frequent among the
 toxic sample documents than among the clean ones and explains documents that
 other such words don't.  The chain is fitted on these
-tokens of a bounded, hash-ordered sample of labelled rows, and a logistic curve
-over the sum of a document's marginals is fitted on the same rows.
+tokens of a hash-ordered sample of labelled documents, bounded in number and in
+characters, and a logistic curve over the sum of a document's marginals is fitted
+on the same documents.  A whole text is one chain, in the fit as in the score.
 
 Defined cases: null text counts as empty; empty texts get the score of no toxic
 token; without labels of both classes every score is the labelled toxic share
-(0 without labels); a document with several label rows is toxic if one says so;
+(0 without labels); a document with several label rows is toxic if one says so,
+and is sampled with its shortest text if it has several;
 null labels are unlabelled; rows that repeat a doc_id are scored each; a null
 doc_id counts as the empty text in the fold; other columns are dropped.
 """
@@ -22,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.llm import crf
@@ -30,8 +32,8 @@ from rosterlake.llm.common import NOT_ALNUM, groups_of, lowered, word_hashes, wo
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 1000
-#: Tokens of a chain; longer texts are several chains, one after the other.
-CHAIN = 64
+#: Characters of the labelled documents that the model is fitted on, half for each class, at most: what the driver holds.
+SAMPLE_CHARS = 3_000_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -68,18 +70,9 @@ class Model:
         starts = ends - sizes
         emit = self.bias + self.own[at].sum(axis=1)
         place = np.arange(len(at)) - np.repeat(starts, sizes)
-        column = place % CHAIN
-        emit[1:] += np.where(column[1:] > 0, self.left[at[:-1, 0]], 0.0)
-        emit[:-1] += np.where(column[1:] > 0, self.right[at[1:, 0]], 0.0)
-        row = np.cumsum(column == 0) - 1
-        out = np.zeros(len(at))
-        for low in range(0, int(row[-1]) + 1, 4096):  # bounded memory
-            part = slice(np.searchsorted(row, low), np.searchsorted(row, low + 4096))
-            r, c = row[part] - low, column[part]
-            grid, mask = np.zeros((int(r[-1]) + 1, CHAIN)), np.zeros((int(r[-1]) + 1, CHAIN), bool)
-            grid[r, c], mask[r, c] = emit[part], True
-            out[part] = crf.forward_backward(grid, mask, self.trans)[0][r, c]
-        return np.split(out, ends[:-1])
+        emit[1:] += np.where(place[1:] > 0, self.left[at[:-1, 0]], 0.0)
+        emit[:-1] += np.where(place[1:] > 0, self.right[at[1:, 0]], 0.0)
+        return np.split(crf.chain_forward_backward(emit, sizes, self.trans)[0], ends[:-1])
 
     def score(self, total: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.level + self.slope * np.log1p(total), -30, 30)))
@@ -145,21 +138,19 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         seen.update(np.unique(d).tolist())
     model = Model(vocabulary=np.array(sorted(f for f, k in seen.items() if k >= 3), dtype=np.uint64))
     size = len(model.vocabulary) + 1
-    # Chains of whole texts, all of them.
-    parts = []
-    for d, t in zip(docs, truth, strict=True):
-        mark = np.isin(d, bad).any(axis=1) & t
-        at = model.index(d)
-        parts += [(at[low : low + CHAIN], mark[low : low + CHAIN]) for low in range(0, len(d), CHAIN)]
-    if not parts:
+    # A chain for each whole text, laid end to end.
+    sizes = np.array([len(d) for d in docs])
+    if not sizes.sum():
         return Model(level=float(np.log(n1 / n0)))
-    labels, mask, word = np.zeros((len(parts), CHAIN), int), np.zeros((len(parts), CHAIN), bool), np.zeros((len(parts), CHAIN, 3), int)
-    for r, (at, mark) in enumerate(parts):
-        labels[r, : len(mark)], mask[r, : len(mark)], word[r, : len(at)] = mark, True, at
-    flat, inner = np.arange(mask.size).reshape(mask.shape), mask[:, 1:]
-    features = np.concatenate([*(word[:, :, i][mask] for i in range(3)), size + word[:, :-1, 0][inner], 2 * size + word[:, 1:, 0][inner], np.full(int(mask.sum()), 3 * size)])
-    rows = np.concatenate([*[flat[mask]] * 3, flat[:, 1:][inner], flat[:, :-1][inner], flat[mask]])
-    chain = crf.fit(features, rows, 3 * size + 1, labels, mask)
+    word = np.concatenate([model.index(d) for d in docs]).astype(np.int32)
+    mark = np.concatenate([np.isin(d, bad).any(axis=1) & t for d, t in zip(docs, truth, strict=True)])
+    place = np.arange(len(word), dtype=np.int32)
+    inner = np.ones(len(word), dtype=bool)
+    inner[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+    inner = place[inner]  # places with a word before them
+    features = np.concatenate([*(word[:, i] for i in range(3)), size + word[inner - 1, 0], 2 * size + word[inner, 0], np.full(len(word), 3 * size, np.int32)])
+    rows = np.concatenate([place, place, place, inner, inner - 1, place])
+    chain = crf.fit_chains(features, rows, 3 * size + 1, mark.astype(np.int64), sizes)
     model.own, model.left, model.right = (chain.weights[i * size : (i + 1) * size] for i in range(3))
     model.bias, model.trans = float(chain.weights[-1]), chain.trans
     total = np.array([m.sum() for m in model.marginals(docs)])
@@ -176,16 +167,20 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic): up to ``sample`` labelled documents of each class outside the held-out fold, in hash order."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(doc_id, text, toxic): labelled documents outside the held-out fold, in hash order, as many of each class as ``sample`` and half of ``chars`` allow."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # 2 x sample rows
+    size = F.length(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 x sample rows
+    rows = rows.filter(size <= chars // 2).groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(size, "text")).alias("text"))
+    so_far = F.sum(size).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))  # 2 x sample rows
+    return rows.withColumn("so_far", so_far).filter(F.col("so_far") <= chars // 2).select("doc_id", "text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = sorted(training_rows(docs, labels, sample).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    rows = sorted(training_rows(docs, labels, sample, chars).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
