@@ -8,8 +8,10 @@ labelled pages that a seeded generator writes (see ``labelled_pages``).
 Defined cases: null or empty html gives the empty text; text in head, scripts,
 styles, comments and controls is never a block; a tag that the page's end cuts
 off is dropped, as are unmatched end tags; character references are decoded as
-HTML5 has it; repeated rows are extracted each; null ids and urls stay; very
-long pages are held one batch at a time.
+HTML5 has it; a > inside quotes doesn't end a tag, but behind a tag whose quotes
+never close it does; repeated rows are extracted each; null ids and urls stay.
+A page takes time in proportion to its length; about a million characters of
+pages are held at a time, or one page.
 """
 
 from __future__ import annotations
@@ -17,23 +19,23 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rosterlake.llm import crf
+from rosterlake.llm.common import groups_of
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
-    re.DOTALL,
-)
+_MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _MAY_HIDE = re.compile(r"hidden|display", re.IGNORECASE)
 _NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.IGNORECASE)
-_CUT = re.compile(r"</?[a-zA-Z]")
 
 # Names of HTML elements.
 RAW = frozenset("script style title textarea noscript iframe template xmp noembed noframes".split())
@@ -71,96 +73,119 @@ def _text_features(text: str, linked: int) -> tuple[str, ...]:
     )
 
 
+def markup(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of comments and declarations (no name) and tags, in page order; a name that starts raw text takes it along.
+
+    A tag that the page's end cuts off ends the walk, as (start, -1, ...).
+    """
+    at, end, quotes = 0, len(page), True
+    while m := _MARKUP.search(page, at):
+        comment, cdata, other, slash, name = m.groups()
+        if not name:
+            mark = "-->" if comment else "]]>" if cdata else ">"
+            stop = page.find(mark, m.end())
+            at = end if stop < 0 else stop + len(mark)
+            yield m.start(), at, False, "", ""
+            continue
+        found = _ATTRS.match(page, m.end()) if quotes else None
+        if found:
+            at = found.end()
+        else:
+            quotes = False
+            at = page.find(">", m.end()) + 1
+            if not at:
+                yield m.start(), -1, False, "", ""
+                return
+        attrs, name = page[m.end() : at - 1], name.lower()
+        if name in RAW and not slash:
+            stop = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(page, at)
+            close = page.find(">", stop.start()) if stop else -1
+            at = end if close < 0 else close + 1
+        yield m.start(), at, bool(slash), name, attrs
+
+
+class _Open:
+    """The open elements: tag, features, dropped, inside a link; and how often each tag is open."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+        self.count: Counter[str] = Counter()
+
+    def push(self, *element) -> None:
+        self.stack.append(element)
+        self.count[element[0]] += 1
+
+    def close(self, names: tuple[str, ...], stops) -> None:
+        """Close the innermost element of ``names`` and all inside it, unless an element of ``stops`` is nearer."""
+        if not any(self.count[n] for n in names):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[k][0]
+            if tag in names:
+                self.count.subtract(e[0] for e in self.stack[k:])
+                del self.stack[k:]
+                return
+            if tag in stops:
+                return
+
+    def block(self) -> str:
+        return next((e[0] for e in reversed(self.stack) if e[0] in BLOCK), "")
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """(features, text) of each leaf block in page order."""
     page = page or ""
     out: list[Block] = []
-    # An open element: tag, features so far, dropped, inside a link.
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+    opened = _Open()
     pieces: list[str] = []
-    owner, owner_stack, owner_is_set, linked, at, end = stack[0], list(stack), False, 0, 0, len(page)
+    owner, owner_block, owner_is_set, linked, at = opened.stack[0], "", False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                block = next((e[0] for e in reversed(owner_stack) if e[0] in BLOCK), "")
-                out.append(((f"tag:{block}", *owner[1], *_text_features(text, linked)), text))
+                out.append(((f"tag:{owner_block}", *owner[1], *_text_features(text, linked)), text))
             pieces.clear()
             linked = 0
 
-    while at < end:
-        m = _TAG.search(page, at)
-        until = m.start() if m else end
-        if until > at:
-            raw = page[at:until]
-            if m is None and (c := _CUT.search(raw)):
-                raw = raw[: c.start()]
-            top = stack[-1]
-            if not top[2] and raw:
-                if not pieces or not owner_is_set:  # the first text that isn't white space says where the block is
-                    owner, owner_stack, owner_is_set = top, list(stack), not raw.isspace()
-                text = entities.unescape(raw) if "&" in raw else raw
-                pieces.append(text)
-                if top[3]:
-                    linked += len(text.strip())
-        if m is None:
+    for start, stop, closing, name, attrs in chain(markup(page), [(len(page), -1, False, "", "")]):
+        if start > at and not opened.stack[-1][2]:
+            raw, top = page[at:start], opened.stack[-1]
+            if not pieces or not owner_is_set:  # the first text that isn't white space says where the block is
+                owner, owner_block, owner_is_set = top, opened.block(), not raw.isspace()
+            pieces.append(entities.unescape(raw) if "&" in raw else raw)
+            if top[3]:
+                linked += len(pieces[-1].strip())
+        if stop < 0:
             break
-        at = m.end()
-        closing, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        at = stop
         if not name:
             continue
-        name = name.lower()
         if name in BLOCK:
             flush()
         elif name == "br" and pieces:
             pieces.append(" ")
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK and name not in BLOCK:
-                    break
+            opened.close((name,), () if name in BLOCK else BLOCK)
             continue
-        if name in RAW:
-            stop = re.compile(rf"</{name}[\s/>]", re.IGNORECASE).search(page, at)
-            if stop is None:
-                at = end
-            else:
-                close = page.find(">", stop.start())
-                at = end if close < 0 else close + 1
-            continue
-        if name in VOID:
+        if name in RAW or name in VOID:
             continue
         if name not in IN_HEAD:  # content ends an open head
-            for k in range(1, len(stack)):
-                if stack[k][0] == "head":
-                    del stack[k:]
-                    break
-        if name in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in SAME_ENDS.get(name, ()):
-                del stack[k:]
-                break
-            if stack[k][0] in HOLDS.get(name, ()):
-                break
-        _, features, dropped, link = stack[-1]
+            opened.close(("head",), ())
+        if name in BLOCK:  # a block ends an open paragraph
+            opened.close(("p",), BLOCK - {"p"})
+        if name in SAME_ENDS:
+            opened.close(SAME_ENDS[name], HOLDS[name])
+        _, features, dropped, link = opened.stack[-1]
         if attrs and not attrs.isspace():
             named = {w for g in _NAMED.findall(attrs) for w in re.split(r"[^a-z0-9]+", "".join(g).lower()) if w}
-            features = (*features, *sorted(f"name:{w}" for w in named))
+            features = (*features, *(f for w in sorted(named) if (f := f"name:{w}") not in features))
             dropped = dropped or _hides(attrs)
-        if name in BLOCK:
+        if name in BLOCK and f"in:{name}" not in features:
             features = (*features, f"in:{name}")
         if not attrs.endswith("/") or name in BLOCK:
-            stack.append((name, features, dropped or name in DROPPED, link or name == "a"))
+            opened.push(name, features, dropped or name in DROPPED, link or name == "a")
     flush()
     return out
 
@@ -280,8 +305,8 @@ def train(pages: list[tuple[str, list[int]]] | None = None) -> Extractor:
             own = [0, *(names[f] for f in dict.fromkeys(features))]
             columns += own
             rows += [r * wide + c] * len(own)
-    chain = crf.fit(np.array(columns), np.array(rows), len(names), labels, mask, rounds=80, rate=0.1)
-    return Extractor({f: float(chain.weights[i]) for f, i in names.items()}, chain.trans)
+    fitted = crf.fit(np.array(columns), np.array(rows), len(names), labels, mask, rounds=80, rate=0.1)
+    return Extractor({f: float(fitted.weights[i]) for f, i in names.items()}, fitted.trans)
 
 
 def extract(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
@@ -289,8 +314,9 @@ def extract(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     model = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [model.text(h) for h in batch.column("html").to_pylist()]
+        for batch, start, pages in ((b, at, t) for b in batches for at, t in groups_of(b.column("html").to_pylist(), 1 << 20)):
+            texts = [model.text(h) for h in pages]
+            batch = batch.slice(start, len(pages))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
