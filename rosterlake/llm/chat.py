@@ -4,7 +4,10 @@ The template is any function from a list of (role, text) to a string.  Rendering
 the first k turns, for each k, and comparing consecutive outputs gives each
 turn's span: what the k-th output adds after the (k-1)-th.  Where an output
 does not start with the one before, the template rewrites history: the
-conversation is flagged, and its span starts at the last common character.
+conversation is flagged, and its span starts at the last common character.  The
+loss mask needs no more knowledge of the template: a trained turn is rendered
+with two other texts in its place, and what these two outputs share before and
+after is the turn's header and end, so that the text's own span is what is left.
 
 The template here writes ``<|turn|>role<|text|>text<|end|>\n``; inside roles and
 texts a backslash doubles, and a control string gets one after its first
@@ -13,7 +16,9 @@ character, so that removing one backslash before each character restores them.
 Defined cases: null role or text counts as empty; a null conv_id is one
 conversation; equal turn numbers are ordered by role, then text, null turn
 numbers first; repeated rows are turns each; other columns are dropped; an
-empty table gives no rows.  A conversation is rendered in one task.
+empty table gives no rows; a conversation whose template rewrites history has no
+loss mask, as its spans don't hold in the last output.  A conversation is
+rendered in one task, each prefix in full, as a black box leaves no other way.
 """
 
 from __future__ import annotations
@@ -65,13 +70,19 @@ def turn_spans(turns: Turns, render: Callable[[Turns], str] = template) -> tuple
     return before, spans, rewrites
 
 
-def loss_spans(output: str, spans: list[tuple[int, int]], trained: str = "assistant") -> list[tuple[int, int]]:
-    """Where the trained role's texts lie in the output, header and end mark left out."""
+# Two texts that share no start and no end; templates that trim or join texts to their marks still tell them apart.
+PROBES = ("a", "b")
+
+
+def loss_spans(turns: Turns, spans: list[tuple[int, int]], render: Callable[[Turns], str] = template, trained: str = "assistant") -> list[tuple[int, int]]:
+    """Where the trained role's texts lie in the output, header and end mark left out, by rendering each with other texts in its place."""
     found = []
-    for start, end in spans:
-        m = _TURN.fullmatch(output, start, end)
-        if m and unescape(m[1]) == trained:
-            found.append(m.span(2))
+    for k, ((role, _), (_, end)) in enumerate(zip(turns, spans, strict=True)):
+        if role == trained:
+            one, two = (render([*turns[:k], (role, probe)]) for probe in PROBES)
+            head = len(os.path.commonprefix((one, two)))
+            tail = len(os.path.commonprefix((one[:head:-1], two[:head:-1])))
+            found.append((head, end - tail))
     return found
 
 
@@ -86,7 +97,8 @@ def format_conversations(rows: DataFrame, render: Callable[[Turns], str] = templ
 
     def one(conv: str, turns: Turns) -> tuple:
         output, spans, rewrites = turn_spans(turns, render)
-        return (None if conv == "-" else int(conv), output, [list(s) for s in spans], [list(s) for s in loss_spans(output, spans)], rewrites)
+        loss = [] if rewrites else loss_spans(turns, spans, render)
+        return (None if conv == "-" else int(conv), output, [list(s) for s in spans], [list(s) for s in loss], rewrites)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["conv_id", "formatted", "turn_spans", "loss_spans", "rewrites_history"]
