@@ -129,11 +129,18 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
 
 
+#: Matches that are walked in one go, so that a text of many matches takes time in proportion to them.
+STRETCH = 256
+_KIND = "array<struct<start:int,place:int,end:int>>"
+
+
 def _spans(text: Column, rule: Rule, place: int) -> Column:
-    """array<struct<start, place, end>> of the rule's matches: gaps and matches alternate, so their lengths give the offsets."""
+    """array<struct<start, place, end>> of the rule's matches: gaps and matches alternate, so their lengths give the offsets.
+
+    A stretch of matches is walked by itself, then the stretches are moved to where they start.
+    """
     gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kind = "array<struct<start:int,place:int,end:int>>"
-    empty = F.array().cast(kind)
+    empty = F.array().cast(_KIND)
 
     def step(state, pair):
         start = state["at"] + F.length(pair["gaps"])
@@ -142,9 +149,16 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end")))
         return F.struct(end.alias("at"), F.concat(state["out"], F.when(F.length(part) >= rule.least, one).otherwise(empty)).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gaps"), found.alias("found"))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.rlike(text, F.lit(rule.pattern)), walked).otherwise(empty)
+    def join(state, stretch):
+        moved = F.transform(stretch["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["place"].alias("place"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + stretch["at"]).alias("at"), F.array_append(state["out"], moved).alias("out"))
+
+    # Bound once, not for every stretch.
+    pairs = F.array(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gaps"), found.alias("found")))
+    stretches = F.transform(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / STRETCH).cast("int")), lambda k: F.slice(p, k * STRETCH + 1, F.lit(STRETCH))))[0]
+    walked = F.transform(stretches, lambda p: F.aggregate(p, F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+    joined = F.aggregate(walked, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_KIND}>").alias("out")), join, lambda s: F.flatten(s["out"]))
+    return F.when(F.rlike(text, F.lit(rule.pattern)), joined).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> DataFrame:
