@@ -40,7 +40,12 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, how: str, salt_by:
     hot key of ``left`` is dealt over ``salts`` copies of its row.  Null keys
     match null keys.
     """
-    if right.count() <= BROADCAST_ROWS:
+    return join_sized(left, right, key, how, salt_by, right.count(), salts)
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, how: str, salt_by: Column, rows: int, salts: int = 16) -> DataFrame:
+    """``join_counted`` where ``right`` is known to have ``rows`` rows."""
+    if rows <= BROADCAST_ROWS:
         right = right.withColumnRenamed(key, "_key")
         return left.join(F.broadcast(right), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import cut, join_counted
+from rosterlake.llm.common import cut, join_counted, join_sized
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,13 +70,15 @@ def propagate(hosts: DataFrame, edges: DataFrame, seed: str, damping: float = 0.
 
     A host without links out keeps its mass to itself (it leaks).  Lineage is
     cut every ``every`` rounds; rounds end when no score moved by ``tolerance``.
+    A host with many links has them dealt over salts, or scores are broadcast while the hosts are few.
     """
     shares = cut(edges.join(edges.groupBy("src").agg(F.sum("n").alias("total")), "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
     now = hosts.select("host", F.col(seed).alias("score"))
     if shares.isEmpty():
         return now
+    known = hosts.count()
     for k in range(1, rounds + 1):
-        moved = shares.join(now, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        moved = join_sized(shares, now.withColumnRenamed("host", "src"), "src", "inner", F.col("dst"), known).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         new = hosts.join(moved, F.col("host") == F.col("dst"), "left").select("host", ((1 - damping) * F.col(seed) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         if k % every == 0:
             new = cut(new)
