@@ -7,7 +7,8 @@ repetition rate as the mean.  Copies are exploded and shuffled globally.
 Defined cases: a null source is a source of its own; a source without a target
 weight gets ``rest`` (0: its rows go); rows that are equal in key get equal
 counts; null text has zero length but still counts as a row; columns of the
-input stay, and those named like the added ones are an error.
+input stay, whatever their names, but those named like the added ones (copy,
+shuffle_key) are an error.
 """
 
 from __future__ import annotations
@@ -60,10 +61,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, key: s
     clash = {"copy", "shuffle_key"} & set(docs.columns)
     if clash:
         raise ValueError(f"columns {sorted(clash)} are added by this operator")
-    rated = rates(docs, weights, rest, total)
-    out = join_counted(docs, rated, "source", "left", F.col(key))
-    drawn = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), j))
+    # The columns go along in a struct, so that no name clashes.
+    given = docs.select("source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
+    out = join_counted(given, rates(docs, weights, rest, total), "source", "left", F.col("given")[key])
+    name = F.coalesce(F.col("given")[key].cast("string"), F.lit(""))
+    drawn = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(F.lit(seed), name, j))
     copies = F.aggregate(drawn, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
-    out = out.withColumn("_n", copies).filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "rate", "draws", "cdf")
-    out = out.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("")), "copy")))
+    out = out.withColumn("n", copies).filter("n > 0").select("given", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    out = out.select("given.*", "copy", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, "copy")).alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
