@@ -90,14 +90,13 @@ SELECT page_id, host, path, rule, coalesce(v, method) AS verdict, method FROM fi
 
 ORACLE["op10_nearest_vectors"] = """
 WITH usable AS (
-  SELECT vec_id, min(embedding) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
+  SELECT row_number() OVER () AS row, vec_id, embedding AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS s
-  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS s
+  FROM usable q JOIN usable c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, s AS score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rn FROM pairs) WHERE rn <= 20"""
+FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY s DESC, vec_id) AS rn FROM pairs) WHERE rn <= 20"""
 
 
 @query
