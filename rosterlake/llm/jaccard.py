@@ -103,9 +103,9 @@ def members_and_sketch(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarr
             )
         if counts.any():
             parts = counts.reshape(SKETCH_PARTS, size)
-            none = pa.nulls(SKETCH_PARTS)
+            no_id, none = pa.nulls(SKETCH_PARTS, batch.schema.field("doc_id").type), pa.nulls(SKETCH_PARTS, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none.cast(batch.schema.field("doc_id").type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
+                [no_id, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
                 ["doc_id", "n", "set", "part", "counts"],
             )
 
