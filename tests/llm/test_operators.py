@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +57,16 @@ def test_secrets_match_brute_force(spark):
     assert "private_key:0:" in got[12]["spans"]
 
 
+def test_many_matches_in_a_long_text(spark):
+    text = " ".join(f"token=abcdef{i} x{i:024x}" for i in range(3000))
+    start = time.time()
+    row = secrets.digest(secrets.scan(docs_of(spark, [text]))).first()
+    want = brute_secrets(text)
+    listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+    assert (row["n_assign"], row["n_hex"]) == (3000, 3000) and row["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+    assert time.time() - start < 60
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{24,}") == secrets.ALWAYS
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
@@ -157,7 +168,7 @@ def test_line_dedup_finds_edited_copies(spark):
         for i in left[1:]:
             far = int(max(len(lines[i]), len(lines[0])) * 0.2 + 1e-9)
             missed[n >= 20] += plain_distance(lines[i], lines[0]) <= far
-    assert missed[True] <= 2 and missed[False] <= 0.25 * 3 * 8 * 7, dict(missed)
+    assert missed[True] <= 0.05 * 3 * 8 * 8 and missed[False] <= 0.3 * 3 * 8 * 7, dict(missed)
 
 
 def test_lists_are_streamed_by_windows(monkeypatch):
@@ -168,6 +179,7 @@ def test_lists_are_streamed_by_windows(monkeypatch):
     a = np.array([base[k % 30] ^ np.uint64(1 << int(rnd.integers(0, 60))) for *_, k in rows], dtype=np.uint64)
     key, long = (np.array([r[c] for r in rows], dtype=np.int32) for c in (0, 1))
     line = np.array([r[2] for r in rows], dtype=np.int64)
+    place = key.astype(np.int64) << 32 | long
     want = defaultdict(set)
     for i in range(n):
         for j in range(i + 1, n):
@@ -177,14 +189,14 @@ def test_lists_are_streamed_by_windows(monkeypatch):
         monkeypatch.setattr(line_dedup, "RUN", run)
         lists = line_dedup.Lists()
         batches = (
-            pa.RecordBatch.from_arrays([pa.array(x[low : low + step]) for x in (key, long, a.view(np.int64), a.view(np.int64), line)], ["key", "n", "a", "p", "line"])
+            pa.RecordBatch.from_arrays([pa.array(x[low : low + step]) for x in (place, a.view(np.int64), a.view(np.int64), line)], ["place", "a", "p", "line"])
             for low in range(0, n, step)
         )
         found = set()
 
         def look(rows, state, old, closed, found=found, lists=lists):
             for i, j in lists.near(rows, old):
-                found.update(zip(rows["line"][i].tolist(), rows["line"][j].tolist(), rows["key"][i].tolist(), strict=True))
+                found.update(zip(rows["line"][i].tolist(), rows["line"][j].tolist(), (rows["place"][i] >> 32).tolist(), strict=True))
             return {}, []
 
         assert list(lists.stream(batches, look)) == []
@@ -253,6 +265,17 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_the_loss_mask_knows_no_template():
+    def other(turns):
+        return "".join(f"<{r}>\n{t}{'##' if r == 'user' else '!'}" for r, t in turns)
+
+    turns = [("user", "a"), ("assistant", "!x!"), ("assistant", ""), ("user", "##"), ("assistant", "b")]
+    output, spans, rewrites = chat.turn_spans(turns, other)
+    assert not rewrites
+    assert [output[a:b] for a, b in chat.loss_spans(turns, spans, other)] == ["!x!", "", "b"]
+    assert [chat.unescape(chat.template(turns)[a:b]) for a, b in chat.loss_spans(turns, chat.turn_spans(turns)[1])] == ["!x!", "", "b"]
+
+
 def test_rewriting_templates_are_detected():
     def forgetful(turns):
         return "".join(f"[{r}]" + (t if k == len(turns) - 1 else "...") for k, (r, t) in enumerate(turns))
@@ -298,7 +321,7 @@ def test_tiling_finds_reordered_passages(spark):
     for d, t in enumerate(texts):
         for i, b in enumerate(items):
             own = tokens(b)
-            covered = brute_tiles(tokens(t), own, min(5, len(own))) if own and len(tokens(t)) < 1000 else 25 if i == 0 and d == 8 else 0
+            covered = brute_tiles(tokens(t), own, min(5, len(own))) if own and len(tokens(t)) < 1000 else 25 if i == 0 and d == 8 else 0  # that text's own words are in no item
             if own and covered >= decontam.THRESHOLD * len(own):
                 want[d, i] = covered
     assert got == want
@@ -309,10 +332,49 @@ def test_tiling_finds_reordered_passages(spark):
     assert decontam.find(docs_of(spark, []), bench).count() == 0
 
 
-def test_benchmark_chunks(spark):
-    bench = spark.createDataFrame([(i, "word " * 10 + str(i)) for i in range(10)], "item_id long, text string")
-    parts = list(decontam.chunks(bench, 120))
-    assert len(parts) > 2 and sum(len(p.items) for p in parts) == 10
+def words_as_hashes(words):
+    return np.array([decontam.words_of(w)[0] for w in words], dtype=np.uint64)
+
+
+def test_tiling_is_longest_first_with_remainders():
+    item = [f"w{k}" for k in range(40)]
+    doc = item[:20] + ["x"] + item[18:33] + ["y"] + item[31:37]
+    tiles = decontam.tile(words_as_hashes(doc), words_as_hashes(item), 5)
+    assert sorted(n for *_, n in tiles) == [13, 20] == sorted(n for *_, n in tiles) and brute_tiles(doc, item, 5) == 33
+
+
+def test_tiling_matches_brute_force_on_overlapping_runs():
+    rnd = np.random.default_rng(15)
+    for n in range(120):
+        letters = list("abcdef"[: 2 + n % 5])
+        item = [str(w) for w in rnd.choice(letters, rnd.integers(1, 30))]
+        doc = [str(w) for w in rnd.choice(letters, rnd.integers(1, 40))]
+        for _ in range(2):  # pieces of the item, overlapping
+            low = int(rnd.integers(0, len(item)))
+            doc[int(rnd.integers(0, len(doc))) :] += item[low : low + int(rnd.integers(1, 20))]
+        least = min(5, len(item))
+        tiles = decontam.tile(words_as_hashes(doc), words_as_hashes(item), least)
+        assert sum(t[2] for t in tiles) == brute_tiles(doc, item, least), (doc, item)
+        assert all(doc[d : d + k] == item[i : i + k] for d, i, k in tiles)
+        for side in (0, 1):
+            used = [p for t in tiles for p in range(t[side], t[side] + t[2])]
+            assert len(used) == len(set(used))
+
+
+def test_tiling_of_repeated_words_is_fast():
+    words = words_as_hashes(["same"])
+    start = time.time()
+    assert sum(t[2] for t in decontam.tile(np.repeat(words, 20_000), np.repeat(words, 1000), 5)) == 1000
+    assert sum(t[2] for t in decontam.tile(np.tile(words_as_hashes(["a", "b", "a"]), 7000), np.repeat(words_as_hashes(["a"]), 900), 5)) == 0
+    assert time.time() - start < 3
+
+
+def test_repeated_rows_and_items_are_tiled_each(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "q")], "doc_id long, text string").withColumn("row", F.lit("x")).withColumn("gone", F.lit(1))
+    bench = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "q")], "item_id int, text string")
+    got = sorted(map(str, ((r["doc_id"], r["item_id"]) for r in decontam.find(docs, bench).collect())))
+    assert got == sorted(map(str, [(1, 7)] * 4 + [(None, 7)] * 2 + [(2, None)]))
+    assert decontam.clean(docs, bench).count() == 0 and decontam.clean(docs, bench.limit(0)).columns == docs.columns
 
 
 # --- 5: Jaccard -------------------------------------------------------------------------------------------------------
@@ -408,13 +470,36 @@ def test_toxicity_held_out_accuracy_and_offsets(spark):
     assert got[302]["spans"] == "2:7,8:12"
 
 
-def test_toxicity_is_fitted_on_every_chain(monkeypatch):
+def test_toxicity_is_fitted_on_whole_texts(monkeypatch):
     rnd = np.random.default_rng(4)
-    texts = [sentence(rnd, 4 * toxicity.CHAIN + 3) + " idiot" * (i % 2) for i in range(12)]
-    fitted, fit = [], crf.fit
-    monkeypatch.setattr(crf, "fit", lambda features, rows, n, labels, mask, *a, **b: fitted.append(mask) or fit(features, rows, n, labels, mask, *a, **b))
+    texts = [sentence(rnd, 259) + " idiot" * (i % 2) for i in range(12)]
+    fitted, fit = [], crf.fit_chains
+    monkeypatch.setattr(crf, "fit_chains", lambda features, rows, n, labels, sizes, *a, **b: fitted.append(sizes) or fit(features, rows, n, labels, sizes, *a, **b))
     toxicity.fit(texts, [i % 2 for i in range(12)])
-    assert fitted[0].sum() == sum(len(t.split()) for t in texts)
+    assert sorted(fitted[0].tolist()) == sorted(len(t.split()) for t in texts)
+
+
+def test_the_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "w " * 50) for i in range(1, 60)] + [(1, "w"), (2, None), (3, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, sample=10, chars=1000).collect()
+    assert 0 < len(rows) <= 20 and len({r["doc_id"] for r in rows}) == len(rows)
+    for c in (0, 1):
+        assert 0 < sum(len(r["text"] or "") for r in rows if r["toxic"] == c) <= 500
+    assert {r["text"] for r in toxicity.training_rows(docs, labels, sample=100, chars=10**6).collect() if r["doc_id"] in (1, 2)} <= {"w", None}
+
+
+def test_chains_laid_end_to_end_match_padded_ones():
+    rnd = np.random.default_rng(5)
+    sizes = np.array([1, 5, 0, 130, 64, 2, 65])
+    trans, emit = rnd.normal(size=(2, 2)), rnd.normal(size=int(sizes.sum())) * 3
+    wide = int(sizes.max())
+    grid, mask = np.zeros((len(sizes), wide)), np.arange(wide)[None, :] < sizes[:, None]
+    grid[mask] = emit
+    want, want_pairs = crf.forward_backward(grid, mask, trans)
+    for width in (4, 64):
+        got, pairs = crf.chain_forward_backward(emit, sizes, trans, width)
+        assert np.allclose(got, want[mask]) and np.allclose(pairs, want_pairs)
 
 
 def test_toxicity_without_labels(spark):
@@ -472,6 +557,14 @@ def test_only_attributes_that_hide_drop_an_element(page, kept):
     assert [t for _, t in html_extract.leaf_blocks(page)] == ["Text."] * kept
 
 
+def test_pages_take_time_in_proportion_to_their_length():
+    start = time.time()
+    for page in ("<a b " * 100_000, '<p ">"' * 100_000, "<div>x" * 100_000, "</section>" * 100_000, "<b>" * 50_000 + "<i>x</i>" * 50_000, "<div><span>" * 30_000 + "<p>x" * 30_000 + "</u>" * 30_000, "<!--" * 200_000, "<li>" * 100_000):
+        html_extract.leaf_blocks(page)
+    assert time.time() - start < 30
+    assert [t for _, t in html_extract.leaf_blocks('<p title="a > b">One</p><p title=">two')] == ["One", "two"]
+
+
 def test_extraction_of_odd_pages(spark):
     pages = [
         (1, "u", None), (2, None, ""), (None, "u", "no markup at all, just a long sentence that somebody wrote."),
@@ -558,34 +651,47 @@ def test_mixing_inverts_the_poisson_distribution(spark):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(docs_of(spark, ["a"]).withColumn("copy", F.lit(1)))
+    odd = docs_of(spark, texts)
+    for name in ("rate", "cdf", "draws", "n", "given", "_key", "_salt", "_s"):
+        odd = odd.withColumn(name, F.lit("x"))
+    mixed = mixing.mix_sources(odd, weights, rest=0.5)
+    assert mixed.columns == [*odd.columns, "copy", "shuffle_key"] and mixed.select("doc_id", "copy").exceptAll(mixing.mix_sources(docs_of(spark, texts), weights, rest=0.5).select("doc_id", "copy")).isEmpty()
 
 
 # --- 10: vectors ------------------------------------------------------------------------------------------------------
 
 
 def test_nearest_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(ann, "VECTOR_BLOCK", 64)
+    for name, size in (("QUERY_BLOCK", 16), ("VECTOR_BLOCK", 64), ("QUERY_TILE", 8), ("VECTOR_TILE", 24)):
+        monkeypatch.setattr(ann, name, size)
     rnd = np.random.default_rng(9)
     vecs = rnd.normal(size=(300, 12)).astype(np.float32)
     vecs[50:60] = vecs[40]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
-    rows += [(400, None), (420, [0.0] * 12), (440, [float("nan")] * 12), (460, [1.0, None] * 6), (480, [float("inf")] * 12), (500, []), (None, [1.0] * 12), (520, [1.0, 2.0]), (521, [2.0, 1.0]), (20, [-9.0] * 12)]
-    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
-    got = defaultdict(list)
-    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 5).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    vecs[20] = min(vecs[20].tolist(), [-9.0] * 12)
-    assert set(got) == {*range(0, 300, 20), 520}
-    assert got[520] == [(521, 4.0)]
-    for q in range(0, 300, 20):
-        scores = (vecs.astype(float) * vecs[q].astype(float)).sum(axis=1)
-        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != q)[:5]
-        assert [i for i, _ in got[q]] == [i for _, i in want]
-        assert np.allclose([s for _, s in got[q]], [-s for s, _ in want], rtol=1e-12)
+    rows += [(20, [-9.0] * 12), (20, rows[20][1]), (41, [5.0] * 12), (41, [6.0] * 12), (41, [6.0] * 12)]  # ids and whole rows that repeat
+    asked = list(rows)
+    rows += [(400, None), (420, [0.0] * 12), (440, [float("nan")] * 12), (460, [1.0, None] * 6), (480, [float("inf")] * 12), (500, []), (None, [1.0] * 12), (520, [1.0, 2.0]), (521, [2.0, 1.0])]
+    table = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, key int")
+    got = Counter()
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 5).collect():
+        got[r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)] += 1
+    want = Counter({(520, 1, 521, 4.0): 1})
+    for at, (q, v) in enumerate(asked):
+        if q % 20 == 0:
+            best = sorted((-sum(float(x) * float(y) for x, y in zip(np.float32(v), np.float32(w), strict=True)), i) for k, (i, w) in enumerate(asked) if k != at)[:5]
+            want.update((q, rank, i, round(-s, 9)) for rank, (s, i) in enumerate(best, 1))
+    assert got == want
     assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
+def test_a_table_whose_every_row_asks(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(50)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), 60).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert all(v == [i for i in sorted(range(50), key=lambda i: (-(1 + q * i), i)) if i != q] for q, v in got.items()) and len(got) == 50
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 
@@ -646,3 +752,13 @@ def test_jaccard_of_one_large_group_of_near_copies(spark):
         texts.append(" ".join(own))
     got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs_of(spark, texts)).collect()}
     assert got == {i: g for i, (_, g) in brute_jaccard(texts).items()}
+
+
+def test_documents_are_dropped_by_row(spark):
+    import corpus_pipeline
+
+    x, y = "one two three four five six seven", "another text that is like no other one here"
+    rows = [(5, x), (9, x), (9, y), (9, y), (None, x), (5, x), (7, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    got = sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.dedup_documents(spark, docs, "").collect())
+    assert got == sorted(map(str, [(5, x), (9, y), (7, None), (8, ""), (None, None)]))
