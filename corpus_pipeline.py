@@ -41,10 +41,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows that repeat that id stay."""
-    groups = jaccard.join(docs)
-    gone = cut(groups.filter("doc_id <> component_id").select("doc_id", F.lit(True).alias("gone")).distinct())
-    return join_counted(docs, gone, "doc_id", "left", F.col("text")).filter("gone is null").drop("gone")
+    """One document of each near-duplicate group: the smallest id (null last), and of equal ids one text; documents without words all stay.
+
+    A row is known by id and text, so that a row that repeats another's id with
+    other text is judged by itself; of rows equal in both, one stays.
+    """
+    text = F.coalesce("text", F.lit(""))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"))
+    keyed = docs.select(row.alias("row"), F.struct(*docs.columns).alias("given"))
+    groups = jaccard.join(docs.select(row.alias("doc_id"), "text"))
+    told = groups.groupBy("doc_id").agg(F.min("component_id").alias("kept"), F.count("*").alias("k"), F.max("n_shingles").alias("n"))
+    told = cut(told.filter("n > 0 and (k > 1 or doc_id <> kept)").select(F.col("doc_id").alias("row"), (F.col("doc_id") != F.col("kept")).alias("gone")))
+    marked = join_counted(keyed, told, "row", "left", F.spark_partition_id())
+    once = marked.filter("not gone").groupBy("row").agg(F.first("given").alias("given"))  # rows that are there several times
+    return marked.filter("gone is null").select("given.*").unionByName(once.select("given.*"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
