@@ -61,13 +61,17 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     stars to their smallest id already take one.  Where a node's least neighbour
     goes back to its edges, nodes of many edges are broadcast and their edges
     stay where they are: fewer than BROADCAST_ROWS nodes can have more than
-    2 n / BROADCAST_ROWS of n edges.  Each round is cut by a checkpoint.
+    2 n / BROADCAST_ROWS of n edges.  Each round is cut by a checkpoint, and its
+    steps keep one partition for EDGES edges, so that few edges make few files.
     """
 
     def settle(df: DataFrame) -> tuple[DataFrame, tuple]:
         df = cut(df)
         state = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return df.coalesce(max(1, -(-state[0] // EDGES))), state
+        return df.coalesce(parts(state[0])), state
+
+    def parts(n: int) -> int:
+        return max(1, -(-n // EDGES))
 
     def with_least(pairs: DataFrame, least: DataFrame, many: int) -> DataFrame:
         hubs = least.filter(F.col("k") > many).select("u", "m")
@@ -80,12 +84,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             break
         many = max(64, -(-2 * before[0] // BROADCAST_ROWS))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
-        large = with_least(both, least, many).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        few = parts(2 * before[0])
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k").coalesce(few)
+        large = with_least(both, least, many).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(few)
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).coalesce(few)
         small = (
             with_least(large, floor, many).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(floor.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+            .unionByName(floor.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(few).distinct()
         )
         now, state = settle(small)
         if state == before:
