@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 # Words that a company name key leaves out.
-LEGAL_WORDS = ("inc", "llc", "ltd", "corp", "corporation", "company", "co", "lp", "llp", "plc", "pc", "the", "and", "of", "usa", "us", "holdings", "group", "international")
+LEGAL_WORDS = (
+    "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "COMPANIES", "LLC", "LP", "LLP", "LTD", "LIMITED", "PLC", "SA", "AG", "NV", "BV", "GMBH", "SPA", "SRL", "SAS", "AB", "AS", "OY", "KK", "PTY", "PC", "PA", "PLLC", "DBA", "THE", "AND", "OF",
+)
+# Words that many practices share and that don't tell businesses apart.
+COMMON_WORDS = (
+    "HEALTH", "HEALTHCARE", "MEDICAL", "MEDICINE", "CENTER", "CENTRE", "CENTERS", "CARE", "CLINIC", "CLINICS", "HOSPITAL", "HOSPITALS", "SERVICES", "SERVICE", "GROUP", "ASSOCIATES", "ASSOCIATION", "PHYSICIANS", "PHYSICIAN", "FAMILY", "PRACTICE", "DENTAL", "DENTISTRY",
+    "PHARMACY", "HOME", "NURSING", "REHABILITATION", "REHAB", "THERAPY", "PHYSICAL", "URGENT", "OFFICE", "OFFICES", "INSTITUTE", "SYSTEM", "SYSTEMS", "NETWORK", "COMMUNITY", "PROFESSIONAL", "PROFESSIONALS", "SPECIALISTS", "SPECIALTY", "PARTNERS", "SOLUTIONS", "MANAGEMENT",
+    "AMERICA", "AMERICAN", "NATIONAL", "UNITED", "REGIONAL", "COUNTY", "CITY", "NORTH", "SOUTH", "EAST", "WEST", "CENTRAL", "NEW", "LIVING", "SENIOR", "LAB", "LABS", "LABORATORY", "LABORATORIES", "IMAGING", "DIAGNOSTIC", "DIAGNOSTICS", "SURGERY", "SURGICAL", "PEDIATRICS",
+    "PEDIATRIC", "CHIROPRACTIC", "OPTOMETRY", "EYE", "VISION", "WELLNESS", "BEHAVIORAL", "MENTAL", "COUNSELING", "HOSPICE", "AGENCY", "SUPPLY", "SUPPLIES", "EQUIPMENT", "DRUG", "DRUGS", "STORE", "DR", "DDS", "MD", "DMD", "OD", "DC", "DO", "PT", "INC", "PLLC",
+)
 # Street words and their postal abbreviations.
 STREET_WORDS = {
     "avenue": "ave", "boulevard": "blvd", "circle": "cir", "court": "ct", "drive": "dr", "east": "e", "expressway": "expy", "highway": "hwy", "lane": "ln", "north": "n", "parkway": "pkwy",
@@ -92,10 +101,20 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+def name_words(c: Column) -> Column:
+    """Sorted distinct words of a company name, upper case and without accents, without legal words and single letters.
+
+    A state of incorporation behind a last slash goes; apostrophes join, all other signs part words.
+    """
+    plain = F.upper(F.translate(F.regexp_replace(c, r"\s*/\s*[A-Za-z]{2,3}\s*$", ""), ACCENTED, PLAIN))
+    words = F.split(F.regexp_replace(F.regexp_replace(plain, "['’]", ""), r"[^\p{L}\p{Nd}]+", " "), " ")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*LEGAL_WORDS))))
+
+
 def name_key(c: Column) -> Column:
-    """Sorted distinct words of a company name, without legal words and single letters."""
-    kept = F.filter(tokens(c), lambda w: (F.length(w) > 1) & ~w.isin(*LEGAL_WORDS))
-    return F.array_join(F.array_sort(F.array_distinct(kept)), " ")
+    """The words of a company name as one key, 255 characters at most; null where fewer than three characters are left."""
+    key = F.array_join(name_words(c), " ")
+    return F.when(F.length(key) >= 3, F.left(key, F.lit(255)))
 
 
 def letters_key(c: Column) -> Column:
@@ -133,11 +152,33 @@ def street_key(c: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.coalesce(short[w], w)), " ")
 
 
+def distinctive_words(c: Column) -> Column:
+    """The words of a company name key that few others share; none where there is no key."""
+    words = F.filter(F.split(name_key(c), " "), lambda w: ~w.isin(*COMMON_WORDS))
+    return F.coalesce(words, F.array().cast("array<string>"))
+
+
 def shared_word_match(a: Column, b: Column) -> Column:
-    """At least one shared word, and at least half of the shorter name's distinct words."""
-    x, y = F.array_distinct(F.split(name_key(a), " ")), F.array_distinct(F.split(name_key(b), " "))
+    """The same business: at least one shared distinctive word, and at least half of the shorter name's."""
+    x, y = distinctive_words(a), distinctive_words(b)
     shared = F.size(F.array_intersect(x, y))
-    return (shared >= 1) & (2 * shared >= F.least(F.size(x), F.size(y))) & (name_key(a) != "") & (name_key(b) != "")
+    return (shared >= 1) & (2 * shared >= F.least(F.size(x), F.size(y)))
+
+
+def license_keys(c: Column) -> tuple[Column, Column]:
+    """A licence number's two keys without leading zeros: all its digits, and its last run of digits; null without digits but zeros."""
+    every = F.nullif(F.ltrim(F.regexp_replace(F.coalesce(c, F.lit("")), "[^0-9]", ""), F.lit("0")), F.lit(""))
+    last = F.nullif(F.ltrim(F.regexp_extract(F.coalesce(c, F.lit("")), r"([0-9]+)[^0-9]*$", 1), F.lit("0")), F.lit(""))
+    return every, last
+
+
+def same_person(last: Column, other_last: Column, other_full: Column) -> Column:
+    """Equal last names or first words of them; without a last name there, the last name as whole words of the full name."""
+    def first(x):
+        return F.substring_index(x, " ", 1)
+
+    whole = F.contains(F.concat(F.lit(" "), F.replace(other_full, F.lit(","), F.lit(" ")), F.lit(" ")), F.concat(F.lit(" "), last, F.lit(" ")))
+    return F.coalesce(F.when(other_last.isNotNull(), (last == other_last) | (first(last) == first(other_last))).otherwise(whole), F.lit(False))
 
 
 def pad_key(c: Column, width: int = 10) -> Column:

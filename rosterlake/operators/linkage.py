@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.functions import text
 from rosterlake.operators.ranking import latest
 
 
@@ -36,15 +39,29 @@ def nearby_cells(lat: Column, lon: Column, step: float = 0.1) -> Column:
     return F.array(*(F.struct((r + i).alias("r"), (c + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
 
 
+#: Ids that are broadcast, at most.
+HUBS = 10_000
+
+
 def connected_groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, group): connected components of edges (a, b); group = the least id. Min labels spread with pointer jumping; lineage is cut each round."""
+    """(id, group): connected components of edges (a, b); group = the least id.
+
+    Min labels spread with pointer jumping; lineage is cut each round.  The labels
+    of ids with many edges are broadcast: at most HUBS ids can have more than one
+    edge in HUBS of all, so their edges are never brought together.
+    """
     from rosterlake.plans.session import checkpointed
 
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct())
+    many = max(100, -(-both.count() // HUBS))
+    hubs = checkpointed(both.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > many).select(F.col("b").alias("hub")))
+    marked = checkpointed(both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left"))
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("g")))
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("g").alias("m"))
-        new = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("g", "m").alias("g"))
+        of_hubs = labels.join(F.broadcast(hubs), F.col("id") == F.col("hub"), "left_semi")
+        near = marked.filter("hub is null").select("a", "b").join(labels, F.col("b") == F.col("id")).select("a", "g")
+        near = near.unionByName(marked.filter("hub is not null").select("a", "b").join(F.broadcast(of_hubs), F.col("b") == F.col("id")).select("a", "g"))
+        new = labels.join(near.groupBy("a").agg(F.min("g").alias("m")), F.col("id") == F.col("a")).select("id", F.least("g", "m").alias("g"))
         jump = new.select(F.col("id").alias("j"), F.col("g").alias("gg"))
         new = checkpointed(new.join(jump, F.col("g") == F.col("j"), "left").select("id", F.least("g", F.coalesce("gg", "g")).alias("g")))
         if new.join(labels.withColumnRenamed("g", "was"), "id").filter("g <> was").isEmpty():
@@ -53,6 +70,92 @@ def connected_groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"connected_groups: not settled after {rounds} rounds")
 
 
+# Kinds of ties between the numbers of one organisation, as bits.
+TIES = {"name_address": 1, "facility": 2, "enrollment": 4, "parent": 8}
+
+
+def _star(rows: DataFrame, by: list[str], tie: str) -> DataFrame:
+    """(a, b, tie): each member of a bucket of two or more, with the bucket's least member."""
+    least = Window.partitionBy(*by)
+    out = rows.select(*by, "npi").distinct().withColumn("b", F.min("npi").over(least)).withColumn("_n", F.count("*").over(least))
+    return out.filter("_n > 1").select(F.col("npi").alias("a"), "b", F.lit(TIES[tie]).alias("tie"))
+
+
+def _apart(rows: DataFrame, by: list[str], tie: str) -> DataFrame:
+    """Stars of buckets whose members are tied unless they share a specialty at different addresses.
+
+    With two specialties or more, every member is tied to all of another one, so
+    the bucket is one star; with one, members at the same address are.  So no
+    pairs are made.
+    """
+    bucket = Window.partitionBy(*by)
+    kind = F.coalesce("taxonomy", F.lit(""))
+    rows = rows.withColumn("_mixed", F.min(kind).over(bucket) != F.max(kind).over(bucket))
+    one = _star(rows.filter("_mixed"), by, tie)
+    return one.unionByName(_star(rows.filter("not _mixed and street is not null"), [*by, "number", "street"], tie))
+
+
+def organisation_ties(orgs: DataFrame) -> DataFrame:
+    """(a, b, tie): ties of organisations (npi, name_key, zip5, number, street, taxonomy, ccns, pac_ids, parent_key, parent_tin) within a ZIP code.
+
+    Same name and street address (an address without a house number joins those
+    of its street that have one and the same); a shared facility; the same
+    enrollment; the same parent, by name or tax number.
+    """
+    at = orgs.filter("zip5 is not null")
+    named = at.filter("name_key is not null and street is not null")
+    street = ["name_key", "zip5", "street"]
+    numbers = named.groupBy(*street).agg(F.count_distinct(F.nullif("number", F.lit(""))).alias("_k"), F.bool_or(F.col("number") == "").alias("_none")).filter("_k = 1 and _none").select(*street)
+    parents = at.filter("parent_key is not null").select("zip5", F.col("parent_key").alias("_key")).distinct()
+    as_child = at.filter("parent_key is not null").withColumn("_key", F.col("parent_key"))
+    as_parent = at.filter("name_key is not null and not name_key <=> parent_key").withColumn("_key", F.col("name_key")).join(parents, ["zip5", "_key"], "left_semi")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _star(named, [*street, "number"], "name_address"),
+            _star(named.join(numbers, street, "left_semi"), street, "name_address"),
+            _star(at.select("npi", "zip5", F.explode("ccns").alias("_key")), ["zip5", "_key"], "facility"),
+            _apart(at.withColumn("_key", F.explode("pac_ids")), ["zip5", "_key"], "enrollment"),
+            _apart(as_child.unionByName(as_parent.select(*as_child.columns)), ["zip5", "_key"], "parent"),
+            _apart(at.filter("parent_tin is not null"), ["zip5", "parent_tin"], "parent"),
+        ],
+    )
+
+
+def organisation_groups(orgs: DataFrame, rank: Column, updated: str) -> DataFrame:
+    """(npi, main_npi, members, is_main, ties): the organisations that ties connect, each with its main number and the kinds of its own ties."""
+    ties = organisation_ties(orgs)
+    group = connected_groups(ties.select("a", "b").filter("a <> b"))
+    own = ties.select(F.explode(F.array("a", "b")).alias("npi"), "tie").groupBy("npi").agg(F.bit_or("tie").alias("ties"))
+    member = orgs.join(group, F.col("npi") == F.col("id"))
+    main = ranked_main(member, "group", rank, updated, "npi")
+    return main.select("npi", F.col("main").alias("main_npi"), "members", "is_main").join(own, "npi")
+
+
+def license_matches(taxonomies: DataFrame, providers: DataFrame, licenses: DataFrame) -> DataFrame:
+    """(npi, id): published licences (id, state, license_number, last_name, full_name) of the clinicians who list them.
+
+    A number matches by all its digits or by its last run of digits, in the same
+    state and for the same person; published rows that nobody lists are dropped
+    before names are compared.
+    """
+    every, last = text.license_keys(F.col("license_no"))
+    listed = taxonomies.filter("license_no is not null").select("npi", F.col("license_state").alias("state"), F.explode(F.array_distinct(F.array(F.struct(F.lit(0).alias("how"), every.alias("key")), F.struct(F.lit(1).alias("how"), last.alias("key"))))).alias("k"))
+    listed = listed.select("npi", "state", "k.how", "k.key").filter("key is not null").distinct()
+    every, last = text.license_keys(F.col("license_number"))
+    published = licenses.select("id", "state", "last_name", "full_name", F.explode(F.array(F.struct(F.lit(0).alias("how"), every.alias("key")), F.struct(F.lit(1).alias("how"), last.alias("key")))).alias("k"))
+    published = published.select("id", "state", F.col("last_name").alias("_last"), F.col("full_name").alias("_full"), "k.how", "k.key").filter("key is not null")
+    met = published.join(listed, ["state", "how", "key"]).join(providers.select("npi", "last_name"), "npi")
+    return met.filter(text.same_person(F.col("last_name"), F.col("_last"), F.col("_full"))).select("npi", "id").distinct()
+
+
+def participant_matches(participants: DataFrame, organisations: DataFrame, most: int = 5) -> DataFrame:
+    """(group_id, name, npi, candidates): participants with the organisations of the same name key, where no more than ``most`` have it."""
+    keyed = organisations.select("npi", text.name_key(F.col("org_name")).alias("key")).filter("key is not null").distinct()
+    few = keyed.withColumn("candidates", F.count("*").over(Window.partitionBy("key"))).filter(F.col("candidates") <= most)
+    return participants.withColumn("key", text.name_key(F.col("name"))).join(few, "key").drop("key")
+
+
 def one_per_group(df: DataFrame, group: str, main_first: Column, key: str) -> DataFrame:
     """Of the rows that match, one per group: the main member if it matches, else the least key; rows without a group stay."""
     own = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("\x00"), F.col(key).cast("string")))

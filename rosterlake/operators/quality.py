@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.operators import filters
+
 CURRENT, CHECK, STALE = 1, 2, 3
 
 
@@ -20,3 +22,73 @@ def label(reasons: Column, activity: Column, stale: int, check: int, check_if_id
     idle = activity == 0
     has = lambda bits: reasons.bitwiseAND(F.lit(bits)) != 0
     return F.when(has(stale_always) | (has(stale) & idle), STALE).when(has(check) | (has(check_if_idle) & idle), CHECK).otherwise(CURRENT)
+
+
+# Reasons of a registry record and their bits.
+REASONS = {
+    "not_updated_5": 1, "not_updated_10": 2, "no_activity": 4, "not_mapped": 8, "po_box": 16, "no_phone": 32, "other_address": 64, "other_specialty": 128, "license_lapsed": 256, "deceased": 512,
+    "reactivated": 1024, "home_address": 2048, "facility_closed": 4096, "listed_closed": 8192, "listing_only": 16384, "medicare_stopped": 32768, "other_current": 65536,
+}
+# Signs of current practice and their bits.
+ACTIVITY = {
+    "billing": 1, "prescribing": 2, "listed_clinician": 4, "enrollment": 8, "order_refer": 16, "payments": 32, "certified_facility": 64, "current_license": 128, "reassignment": 256, "score": 512,
+    "affiliation": 1024, "map_listing": 2048, "equipment": 4096, "opioid_treatment": 8192, "state_enrollment": 16384, "state_billing": 32768,
+}
+
+
+def _bits(*names: str) -> int:
+    return sum(REASONS[n] for n in names)
+
+
+CLOSED = _bits("facility_closed", "listed_closed")
+IDLE_CHECKS = _bits("not_updated_5", "medicare_stopped")
+CHECKS = _bits("not_mapped", "po_box", "no_phone", "other_address", "other_specialty", "license_lapsed", "listing_only") | CLOSED
+
+
+def classify(reasons: Column) -> Column:
+    """The label of a registry record's reasons.
+
+    Stale: no sign of practice with ten years without update or a closed
+    practice; deceased; or another number of the organisation is current.  Check:
+    no sign of practice with five years without update or billing that stopped;
+    or a reason that always asks for one.  Else current.
+    """
+    has = lambda bits: reasons.bitwiseAND(F.lit(bits)) != 0
+    idle = has(REASONS["no_activity"])
+    stale = has(_bits("deceased", "other_current")) | (idle & (has(REASONS["not_updated_10"]) | has(CLOSED)))
+    return F.when(stale, STALE).when((idle & has(IDLE_CHECKS)) | has(CHECKS), CHECK).otherwise(CURRENT)
+
+
+def signs(sources: dict[str, list[DataFrame]], key: str) -> DataFrame:
+    """(key, activity): the OR of the bits of the sources that list the key; one shuffle for all sources."""
+    parts = [df.select(key).distinct().withColumn("bit", F.lit(ACTIVITY[name])) for name, tables in sources.items() for df in tables]
+    return reduce(DataFrame.unionByName, parts).filter(F.col(key).isNotNull()).groupBy(key).agg(F.bit_or("bit").alias("activity"))
+
+
+def conflict(df: DataFrame, other: DataFrame, on: dict[str, str], agrees: DataFrame) -> DataFrame:
+    """Rows that the other source knows and of which it agrees with none: some row there, but no row in ``agrees``, both by ``on``."""
+    return filters.lacking(filters.having(df, other, on), agrees, on)
+
+
+def other_current(labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """(npi, other_npi): members without a sign of practice whose organisation has a current number with signs, its main one if that is current."""
+    known = labels.join(groups, "npi")
+    anchor = known.filter((F.col("label") == CURRENT) & (F.col("activity") != 0)).groupBy("main_npi").agg(F.coalesce(F.max(F.when(F.col("is_main"), F.col("npi"))), F.min("npi")).alias("other_npi"))
+    return known.filter("activity = 0").join(anchor, "main_npi").filter("other_npi <> npi").select("npi", "other_npi")
+
+
+def address_types(locations: DataFrame, providers: DataFrame, buildings: DataFrame, points: DataFrame) -> DataFrame:
+    """(addr_key, building_type, suite, providers, org, business) of every practice address.
+
+    ``buildings``: addr_key, occ_cls, prim_occ; ``points``: addr_key, source.  A
+    suite, a listed place, five providers, or three with an organisation make an
+    address a business; a home is where the building is and nothing says business.
+    """
+    address = F.upper(F.concat_ws(" ", "address1", "address2"))
+    at = locations.filter("addr_key is not null").join(providers.select("npi", "entity_type"), "npi")
+    own = at.groupBy("addr_key").agg(F.bool_or(F.rlike(address, F.lit(r"\b(STE|SUITE|FL|FLR|FLOOR|BLDG|BUILDING|RM|ROOM)\b"))).alias("suite"), F.count_distinct("npi").alias("providers"), F.bool_or(F.col("entity_type") == 2).alias("org"))
+    own = own.join(buildings.select("addr_key", "occ_cls", "prim_occ"), "addr_key", "left").join(points.select("addr_key", "source"), "addr_key", "left")
+    business = F.col("suite") | F.coalesce(F.col("source").isin("place", "place_name"), F.lit(False)) | (F.col("providers") >= 5) | (F.col("org") & (F.col("providers") >= 3))
+    home = F.col("occ_cls") == "Residential"
+    kind = F.when((home & F.col("prim_occ").isin("Nursing Home", "Institutional Dormitory")) | business, "commercial").when(home, "residential").when(F.col("occ_cls").isNull() | (F.col("occ_cls") == "Unclassified"), "unknown").otherwise("commercial")
+    return own.select("addr_key", kind.alias("building_type"), "suite", "providers", "org", business.alias("business"))

@@ -31,11 +31,20 @@ def merge_periods(df: DataFrame, key: list[str], start: str, end: str, gap_days:
 
 
 def cut_at_termination(periods: DataFrame, terms: DataFrame, key: str, start: str, end: str, term: str, gap_days: int = 31) -> DataFrame:
-    """Periods ended the day before the first termination that starts inside them or within ``gap_days`` after their end."""
-    t = terms.select(F.col(key).alias("_k"), F.col(term).alias("_t"))
-    hit = (F.col(key) == F.col("_k")) & (F.col("_t") > F.col(start)) & (F.col(end).isNull() | (F.col("_t") <= F.date_add(F.col(end), gap_days)))
-    first = periods.join(t, hit, "left").groupBy(key, start, end).agg(F.min("_t").alias("terminated"))
-    return first.withColumn(end, F.when(F.col("terminated").isNotNull(), F.least(F.coalesce(F.col(end), F.date_sub("terminated", 1)), F.date_sub("terminated", 1))).otherwise(F.col(end)))
+    """Periods ended the day before the first termination that starts inside them or within ``gap_days`` after their end; other columns stay.
+
+    One sort by key, newest first: the last termination passed is the first one
+    after the period's start, so periods and terminations never fan out.
+    """
+    row = F.struct(*periods.columns)
+    both = periods.select(F.col(key).alias("_k"), F.col(start).alias("_at"), F.lit(0).alias("_kind"), row.alias("_p"), F.lit(None).cast("date").alias("_t"))
+    both = both.unionByName(terms.select(F.col(key).alias("_k"), F.col(term).alias("_at"), F.lit(1).alias("_kind"), F.col(term).cast("date").alias("_t")), allowMissingColumns=True)
+    newest_first = Window.partitionBy("_k").orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_next", F.last("_t", ignorenulls=True).over(newest_first)).filter("_kind = 0").select("_p.*", "_next")
+    hit = F.col("_next").isNotNull() & (F.col(end).isNull() | (F.col("_next") <= F.date_add(F.col(end), gap_days)))
+    day = F.date_sub("_next", 1)
+    ended = F.when(hit, F.least(F.coalesce(F.col(end), day), day)).otherwise(F.col(end))
+    return out.withColumns({end: ended, "terminated": F.when(hit, F.col("_next"))}).drop("_next")
 
 
 def versions(df: DataFrame, key: list[str], order: list[Column], values: list[str], at: str) -> DataFrame:

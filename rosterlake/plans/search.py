@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ class Tables:
     quality: DataFrame | None = None
     group: DataFrame | None = None
     other_name: DataFrame | None = None
+    order_referring: DataFrame | None = None
+    clinician: DataFrame | None = None
+    enrollment: DataFrame | None = None
+    address_type: DataFrame | None = None
+    address_point: DataFrame | None = None
 
 
 @dataclass
@@ -48,6 +54,8 @@ class SearchFilter:
     county: str | None = None
     zip5: str | None = None
     near: tuple[float, float, float] | None = None  #: latitude, longitude, miles
+    bbox: tuple[float, float, float, float] | None = None  #: west, south, east, north, of a location's own point
+    address_type: str | None = None  #: residential, commercial or unknown
     shortage: str | None = None
     last_name: str | None = None
     first_name: str | None = None
@@ -58,6 +66,11 @@ class SearchFilter:
     gender: str | None = None
     excluded: bool | None = None
     opted_out: bool | None = None
+    order_refer: str | None = None  #: a program that the provider may order or refer in
+    accepts_assignment: bool | None = None
+    telehealth: bool | None = None
+    medicare_active: bool | None = None
+    min_years: int | None = None  #: since graduation
     quality: str | None = None  #: current, check, stale or notStale
     new_within_days: int | None = None
     updated_within_days: int | None = None
@@ -76,6 +89,12 @@ class SearchFilter:
                 raise InvalidFilter("days are 1 to 3650")
         if self.quality not in (None, "current", "check", "stale", "notStale"):
             raise InvalidFilter(f"unknown quality {self.quality}")
+        if self.bbox and not (-180 <= self.bbox[0] < self.bbox[2] <= 180 and -90 <= self.bbox[1] < self.bbox[3] <= 90):
+            raise InvalidFilter("a box is west, south, east, north")
+        if self.order_refer not in (None, "part_b", "dme", "hha", "pmd", "hospice"):
+            raise InvalidFilter(f"unknown program {self.order_refer}")
+        if self.address_type not in (None, "residential", "commercial", "unknown"):
+            raise InvalidFilter(f"unknown address type {self.address_type}")
         if self.near and not 0 < self.near[2] <= 100:
             raise InvalidFilter("a radius is at most 100 miles")
 
@@ -131,12 +150,26 @@ def matches(t: Tables, f: SearchFilter, today: str) -> DataFrame:
     if f.near:
         lat, lon, miles = f.near
         place = filters.having(place, t.zip_centroid, {"zip5": "zip5"}, geo.within(F.col("lat"), F.col("lon"), (lat, lon), miles))
+    if f.bbox:
+        west, south, east, north = f.bbox
+        place = filters.having(place, t.address_point, {"addr_key": "addr_key"}, F.col("lon").between(west, east) & F.col("lat").between(south, north))
+    if f.address_type:
+        place = filters.having(place, t.address_type, {"addr_key": "addr_key"}, F.col("building_type") == f.address_type)
     if place is not t.location:
         out = filters.having(out, place, {"npi": "npi"})
     if f.excluded is not None:
         out = filters.flag(out, t.exclusion, {"npi": "npi"}, f.excluded)
     if f.opted_out is not None:
         out = filters.flag(out, t.opt_out, {"npi": "npi"}, f.opted_out, F.col("end_date").isNull() | (F.col("end_date") >= day))
+    if f.order_refer:
+        out = filters.having(out, t.order_referring, {"npi": "npi"}, F.col(f.order_refer))
+    for wanted, column in ((f.accepts_assignment, "accepts_assignment"), (f.telehealth, "telehealth")):
+        if wanted is not None:
+            out = filters.flag(out, t.clinician, {"npi": "npi"}, wanted, F.col(column))
+    if f.medicare_active is not None:
+        out = filters.flag(out, t.enrollment, {"npi": "npi"}, f.medicare_active)
+    if f.min_years is not None:
+        out = filters.having(out, t.clinician, {"npi": "npi"}, F.col("graduation_year") <= F.year(day) - f.min_years)
     if f.quality == "notStale":
         out = filters.lacking(out, t.quality, {"npi": "npi"}, F.col("label") == 3)  # unlabelled records stay
     elif f.quality:
@@ -147,10 +180,24 @@ def matches(t: Tables, f: SearchFilter, today: str) -> DataFrame:
     return out
 
 
+def relevance(f: SearchFilter) -> list[Column]:
+    """What comes before the names under the default sort of a similar search: organisations that begin with the name, people of the nearest spelling."""
+    if not f.similar or f.sort != "name":
+        return []
+    out = [_begins("org_name", f.org_name).desc_nulls_last()] if f.org_name else []
+    asked = [text.name_distance(F.lit(v), F.col(c)) for v, c in ((f.last_name, "last_name"), (f.first_name, "first_name")) if v]
+    return out + ([reduce(Column.__add__, asked).asc_nulls_last()] if asked else [])
+
+
 def search(t: Tables, f: SearchFilter, today: str) -> DataFrame:
     """A sorted page with the total on each row; a leading minus sorts down, dates take the key with them."""
     f.check()
     names, down = SORTS[f.sort.lstrip("-")], f.sort.startswith("-")
     dates = names[0].endswith("_date")
     order = [(F.desc_nulls_last if down and (i == 0 or dates) else F.asc_nulls_last)(c) for i, c in enumerate(names)]
-    return ranking.page(matches(t, f, today), order, f.page, f.page_size)
+    return ranking.page(matches(t, f, today), [*relevance(f), *order], f.page, f.page_size)
+
+
+def search_all(t: Tables, f: SearchFilter, today: str) -> DataFrame:
+    """Every provider that meets the filter, for an export."""
+    return matches(t, f, today)

@@ -53,26 +53,37 @@ def header_of(spark: SparkSession, path: str, spec: FileSpec, most: int = 100) -
     raise HeaderError(f"no header in the first {most} lines of {path}")
 
 
+def _rows(spark: SparkSession, path: str, spec: FileSpec, mode: str, corrupt: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The file's data rows as text columns _0, _1, ..., and the header's cells."""
+    cells, above = header_of(spark, path, spec)
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(cells))])
+    # Without pruning, so that a row's number of cells is looked at whatever columns are read.
+    options = {"sep": spec.sep, "quote": '"', "escape": '"', "mode": mode, "columnPruning": "false"}
+    if corrupt:
+        schema.add(corrupt, "string")
+        options["columnNameOfCorruptRecord"] = corrupt
+    if above == 0:
+        reader = spark.read.options(**options, encoding=spec.encoding, multiLine="true", header="true", enforceSchema="true")
+        return reader.schema(schema).csv(path), cells
+    # Below a letterhead, lines are skipped by their place: a file's first lines are the first rows of the first partition.
+    lines = spark.read.option("encoding", spec.encoding).text(path).withColumn("_at", F.monotonically_increasing_id())
+    lines = lines.filter((F.col("_at") > above) & (F.trim("value") != ""))
+    return lines.select(F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*"), cells
+
+
 def read(spark: SparkSession, path: str, spec: FileSpec, strict: bool = True) -> DataFrame:
-    """The file's rows, typed. All columns are read as text by name, only those of the spec are parsed.
+    """One file's rows, typed. All columns are read as text by name, only those of the spec are parsed.
 
-    ``strict``: rows with another number of cells fail the read.  Rows of a
-    letterhead are told from data by their position only if the file has one.
+    ``strict``: rows with another number of cells fail the read; otherwise they
+    are read as far as they go, and ``bad_rows`` lists them.  A letterhead is
+    told from data by its position alone, so no cell of a data row matters; below
+    one, a cell can't hold a line break.
     """
-    cells, above = header_of(spark, path, spec)
+    rows, cells = _rows(spark, path, spec, "FAILFAST" if strict else "PERMISSIVE")
     found = {header_key(c): i for i, c in enumerate(cells)}
     missing = [f.header for f in spec.fields if f.required and header_key(f.header) not in found]
     if missing:
         raise HeaderError(f"{path} lacks {missing}")
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(cells))])
-    options = {"sep": spec.sep, "encoding": spec.encoding, "quote": '"', "escape": '"', "multiLine": "true" if above == 0 else "false"}
-    reader = spark.read.options(**options)
-    if above == 0:
-        rows = reader.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
-    else:
-        rows = reader.schema(schema).option("mode", "PERMISSIVE").csv(path)
-        # What stands above the header has fewer cells, or is the header itself.
-        rows = rows.filter(F.col(f"_{len(cells) - 1}").isNotNull() & (F.col("_0") != cells[0]))
     columns: list[Column] = []
     for f in spec.fields:
         i = found.get(header_key(f.header))
@@ -80,6 +91,12 @@ def read(spark: SparkSession, path: str, spec: FileSpec, strict: bool = True) ->
     return rows.select(*columns, *(F.lit(v).alias(k) for k, v in spec.constants.items()))
 
 
+def bad_rows(spark: SparkSession, path: str, spec: FileSpec) -> DataFrame:
+    """(line, first): the rows that have another number of cells than the header, and their first cells."""
+    rows, _ = _rows(spark, path, spec, "PERMISSIVE", "line")
+    return rows.filter("line is not null").select("line", F.col("_0").alias("first"))
+
+
 def read_all(spark: SparkSession, parts: list[tuple[str, FileSpec]]) -> DataFrame:
     """Several files of one shape, each with its constants, as one table."""
     first, *rest = (read(spark, p, s) for p, s in parts)

@@ -24,6 +24,7 @@ def maintain_counts(spark: SparkSession, source: str, schema: str, at: str, by:
 
     def apply(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        upsert.recover(session, target)
         fresh = monthly_deltas(batch, at, by, open_day, data_day)
         try:
             now = session.read.parquet(target)
@@ -32,7 +33,8 @@ def maintain_counts(spark: SparkSession, source: str, schema: str, at: str, by:
                 raise
             table = fresh
         else:
-            if (now.agg(F.max("batch")).first()[0] or -1) >= number:
+            last = now.agg(F.max("batch")).first()[0]
+            if last is not None and last >= number:
                 return
             table = upsert.add_counts(now, fresh, ["month", *by], "n")
         upsert.guarded_replace(table.withColumn("batch", F.lit(number).cast("long")), target, 0.0)

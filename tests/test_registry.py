@@ -32,7 +32,7 @@ def values(spark, expr, rows, schema="a string, b string"):
         (lambda: text.zip5(F.col("a"), F.col("b")), [("11738-1234", "US"), ("11738", " "), ("1173", None), ("11738", "CA")], ["11738", "11738", None, None]),
         (lambda: text.zip4(F.col("a"), F.col("b")), [("11738-1234", "US"), ("11738", None)], ["1234", None]),
         (lambda: text.normalised(F.col("a")), ["  Müller & Söhne, Inc. "], ["muller and sohne inc"]),
-        (lambda: text.name_key(F.col("a")), ["The Acme Widget Co., Inc.", "ACME  widget", "A B"], ["acme widget", "acme widget", ""]),
+        (lambda: text.name_key(F.col("a")), ["The Acme Widget Co., Inc.", "ACME  widget", "A B", "LILLY USA, LLC", "Eli Lilly and Company", "Dr. Reddy’s Ltd", "VERTEX INC / MA", None], ["ACME WIDGET", "ACME WIDGET", None, "LILLY USA", "ELI LILLY", "DR REDDYS", "VERTEX", None]),
         (lambda: text.slug(F.col("a")), [" Big Pill (10 mg) "], ["big-pill-10-mg"]),
         (lambda: text.street_key(F.col("a")), ["12 North Main Street, Suite 4", "9 Ocean Avenue"], ["12 n main st", "9 ocean ave"]),
         (lambda: text.phonetic_key(F.col("a")), ["Smith", "Smyth", "Smiht", "Pipa", "Muñoz", "Munoz", "", "Ashcraft"], ["S530", "S530", "S530", "P000", "M200", "M200", "", "A261"]),
