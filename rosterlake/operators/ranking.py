@@ -48,3 +48,17 @@ def widening(df: DataFrame, distance: str, steps: list[float], least: int) -> Da
     counts = df.agg(*(F.count_if(F.col(distance) <= s).alias(f"_{i}") for i, s in enumerate(steps)))
     radius = F.coalesce(*(F.when(F.col(f"_{i}") >= least, F.lit(float(s))) for i, s in enumerate(steps)), F.lit(float(steps[-1])))
     return df.join(F.broadcast(counts.select(radius.alias("radius")))).filter(F.col(distance) <= F.col("radius"))  # one row
+
+
+def next_page(df: DataFrame, order: list[str], after: tuple | None, size: int) -> DataFrame:
+    """The ``size`` rows behind the row whose ``order`` values are ``after`` (None: the first ones), all ascending and not null: pages without offsets."""
+    if after is not None:
+        df = df.filter(F.struct(*order) > F.struct(*(F.lit(v).alias(c) for c, v in zip(order, after, strict=True))))
+    return df.orderBy(*order).limit(size)
+
+
+def nearest(df: DataFrame, distance: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` nearest rows, and whether there are more (one row further is looked at)."""
+    near = df.orderBy(distance, tie).limit(k + 1)
+    more = near.agg((F.count("*") > k).alias("more"))
+    return near.orderBy(distance, tie).limit(k).join(F.broadcast(more))  # one row

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rosterlake.functions import text
-from rosterlake.operators import aggregate, filters, history, linkage, quality, reshape, temporal, upsert
-from rosterlake.plans import projection
+from rosterlake.operators import changes, filters, history, linkage, quality, ranking, spatial, temporal, upsert
+from rosterlake.plans import interpret, projection
 from rosterlake.plans import search as searching
 from rosterlake.plans.catalog import query, table
 from rosterlake.sources import datasets
@@ -554,3 +554,89 @@ def activity_year(spark, sf_dir):
     old, new = _halves(spark, sf_dir)
     now = old.groupBy(F.col("o_custkey").alias("npi")).agg(F.count("*").cast("double").alias("billed"), F.max("o_totalprice").alias("prescribed")).select(F.lit(2020).alias("data_year"), "npi", F.lit(3).alias("parts"), "billed", "prescribed")
     return datasets.activity_year(now, new.groupBy(F.col("o_custkey").alias("npi")).agg(F.count("*").cast("double").alias("value")), 1, 2020, "billed")
+
+
+# --- places, changes, pages, free text --------------------------------------------------------------------------------
+
+
+@query("""
+WITH p AS (SELECT vec_id AS point, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y FROM embeddings),
+s AS (SELECT s_suppkey AS polygon, (s_suppkey % 13) * 1.0 - 7 AS cx, (s_suppkey % 11) * 1.0 - 6 AS cy, 1.0 + s_suppkey % 3 AS h FROM supplier),
+g AS (SELECT polygon, [{'x': cx - h, 'y': cy - h}, {'x': cx + h, 'y': cy - h / 2}, {'x': cx, 'y': cy + h}] AS r FROM s),
+e AS (SELECT polygon, r[i].x AS ax, r[i].y AS ay, r[i % 3 + 1].x AS bx, r[i % 3 + 1].y AS b_y FROM g, (SELECT unnest([1, 2, 3]) AS i)),
+a AS (SELECT polygon, abs(sum(ax * b_y - bx * ay)) / 2 AS area FROM e GROUP BY 1),
+c AS (SELECT point, x, y, polygon FROM p JOIN e ON (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT point, round(x, 6) AS x, round(y, 6) AS y, polygon, round(area, 6) AS area FROM (SELECT c.*, area, row_number() OVER (PARTITION BY point ORDER BY area, c.polygon) AS rn FROM c JOIN a ON a.polygon = c.polygon) WHERE rn = 1""")
+def smallest_polygon(spark, sf_dir):
+    """The smallest polygon that contains each point."""
+    e = F.col("embedding")
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point"), (e[0].cast("double") * 10).alias("x"), (e[1].cast("double") * 10).alias("y"))
+    k = F.col("s_suppkey")
+    x, y, h = (k % 13).cast("double") - 7, (k % 11).cast("double") - 6, 1.0 + (k % 3)
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    rings = table(spark, sf_dir, "supplier").select(k.alias("polygon"), F.array(corner(x - h, y - h), corner(x + h, y - h / 2), corner(x, y + h)).alias("ring"))
+    found = spatial.smallest_containing(points, rings, 2.0)
+    return found.select("point", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "polygon", F.round("area", 6).alias("area"))
+
+
+_CHANGES_SQL = """
+WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS y, max(o_orderpriority) AS p, max(o_orderstatus) AS s, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1, 2),
+j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.p AS ap, b.p AS bp, a.s AS s1, b.s AS s2, a.n AS an, b.n AS bn FROM (SELECT * FROM y WHERE y = 1996) a FULL JOIN (SELECT * FROM y WHERE y = 1997) b ON a.k = b.k),
+c AS (SELECT k, 'moved' AS kind, ap AS was, bp AS "is", 1 AS place FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND ap IS DISTINCT FROM bp
+UNION ALL SELECT k, 'size', concat_ws(', ', s1, an), concat_ws(', ', s2, bn), 2 FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND (s1 IS DISTINCT FROM s2 OR an IS DISTINCT FROM bn)
+UNION ALL SELECT k, 'added', NULL, NULL, 3 FROM j WHERE ak IS NULL UNION ALL SELECT k, 'removed', NULL, NULL, 4 FROM j WHERE bk IS NULL)
+"""
+
+
+def _changes(spark, sf_dir):
+    old, new = (df.groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderpriority").alias("p"), F.max("o_orderstatus").alias("s"), F.count("*").alias("n")) for df in _halves(spark, sf_dir))
+    return changes.change_log(old, new, ["k"], {"moved": ["p"], "size": ["s", "n"]})
+
+
+@query(_CHANGES_SQL + 'SELECT k, kind, was, "is" FROM c')
+def change_log(spark, sf_dir):
+    """What kinds of change each key went through."""
+    return _changes(spark, sf_dir)
+
+
+@query(_CHANGES_SQL + """SELECT k, string_agg(CASE kind WHEN 'moved' THEN 'moved from ' || was || ' to ' || "is" WHEN 'size' THEN 'was ' || was || ', now ' || "is" WHEN 'added' THEN 'is new' ELSE 'is gone' END, '; ' ORDER BY place) AS text FROM c GROUP BY 1""")
+def change_texts(spark, sf_dir):
+    """A key's changes as text."""
+    return changes.described(_changes(spark, sf_dir), ["k"], {"moved": "moved from {was} to {is}", "size": "was {was}, now {is}", "added": "is new", "removed": "is gone"})
+
+
+@query("SELECT c_mktsegment, c_custkey, c_name FROM customer WHERE (c_mktsegment, c_custkey) > ('BUILDING', 100) ORDER BY c_mktsegment, c_custkey LIMIT 40")
+def keyset_page(spark, sf_dir):
+    """The page behind a row, without an offset."""
+    return ranking.next_page(table(spark, sf_dir, "customer").select("c_mktsegment", F.col("c_custkey"), "c_name"), ["c_mktsegment", "c_custkey"], ("BUILDING", 100), 40)
+
+
+@query("""
+WITH d AS (SELECT vec_id, round(sqrt(pow(embedding[1]::DOUBLE, 2) + pow(embedding[2]::DOUBLE, 2)), 9) AS d FROM embeddings) SELECT vec_id, d, (SELECT count(*) FROM d) > 25 AS more FROM d ORDER BY d, vec_id LIMIT 25""")
+def nearest_places(spark, sf_dir):
+    """The nearest places, and whether there are more."""
+    e = F.col("embedding")
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(F.pow(e[0].cast("double"), 2) + F.pow(e[1].cast("double"), 2)), 9).alias("d"))
+    return ranking.nearest(d, "d", "vec_id", 25)
+
+
+@query("""
+WITH q AS (SELECT p_partkey AS id, string_split(CASE p_partkey % 3 WHEN 0 THEN p_name || ' in nation ' || (p_partkey % 25) WHEN 1 THEN split_part(p_name, ' ', 2) || 's near NATION_' || (p_partkey % 25) || ' smith' ELSE '1234567893 dr ' || p_type END, ' ') AS w0 FROM part),
+w AS (SELECT id, list_filter(string_split(trim(regexp_replace(lower(array_to_string(w0, ' ')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM q),
+v AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS phrase, 'specialty' AS kind, split_part(p_name, ' ', 2) AS value FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) || 's', 'specialty', split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT lower(p_type), 'specialty', p_type FROM part UNION SELECT DISTINCT CASE WHEN lower(p_type) LIKE '%y' THEN left(lower(p_type), length(p_type) - 1) || 'ies' ELSE lower(p_type) || 's' END, 'specialty', p_type FROM part
+UNION SELECT replace(lower(n_name), '_', ' '), 'place', n_name FROM nation),
+g AS (SELECT id, i - 1 AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, (SELECT unnest(range(1, 12)) AS i), (SELECT unnest([1, 2]) AS n) WHERE i + n - 1 <= len(w)),
+h AS (SELECT g.id, pos, n, kind, min(value) AS value FROM g JOIN v ON v.phrase = g.phrase GROUP BY ALL),
+c AS (SELECT * FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.id = x.id AND y.n > x.n AND x.pos < y.pos + y.n AND y.pos < x.pos + x.n)),
+f AS (SELECT id, string_agg(kind || '=' || value, ';' ORDER BY pos) AS found, list(pos) AS ats, list(pos + n) AS ends FROM c GROUP BY 1)
+SELECT w.id, list_filter(w, lambda x: regexp_matches(x, '^[0-9]{10}$'))[1] AS npi, coalesce(found, '') AS found,
+nullif(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT w[i] IN ('in', 'near', 'at', 'and', 'for', 'a', 'an', 'the', 'of') AND NOT regexp_matches(w[i], '^[0-9]{10}$') AND len([k FOR k IN range(1, len(coalesce(ats, [])) + 1) IF i - 1 >= ats[k] AND i - 1 < ends[k]]) = 0], ' '), '') AS name FROM w LEFT JOIN f ON f.id = w.id""")
+def free_text(spark, sf_dir):
+    """Free-text queries as numbers, specialties, places and names."""
+    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
+    k, words = F.col("p_partkey"), F.split("p_name", " ")
+    asked = F.when(k % 3 == 0, F.concat("p_name", F.lit(" in nation "), k % 25)).when(k % 3 == 1, F.concat(words[1], F.lit("s near NATION_"), k % 25, F.lit(" smith"))).otherwise(F.concat(F.lit("1234567893 dr "), "p_type"))
+    kinds = p.select(words[1].alias("name")).unionByName(p.select(F.col("p_type").alias("name"))).distinct().withColumn("value", F.col("name"))
+    vocabulary = interpret.phrases(kinds, "name", "specialty", "value").unionByName(interpret.phrases(n.withColumn("value", F.col("n_name")), "n_name", "place", "value"))
+    out = interpret.interpret(p.select(k.alias("id"), asked.alias("text")), vocabulary)
+    return out.withColumn("found", F.array_join(F.transform("found", lambda f: F.concat_ws("=", f["kind"], f["value"])), ";"))

@@ -85,3 +85,48 @@ def content_hashes(raw: DataFrame, children: dict[str, tuple[DataFrame, list[str
         own = own.join(aggregate.multiset_hash(child.withColumnRenamed("NPI", "npi"), ["npi"], cols, name), "npi", "left")
         parts.append(name)
     return own.select("npi", F.md5(F.concat_ws("|", *(F.coalesce(F.col(p), F.lit("")) for p in parts))).alias("hash"))
+
+
+def identifiers(raw: DataFrame) -> DataFrame:
+    """npi, slot, identifier, type_code, state, issuer of active records; empty slots go."""
+    names = {"identifier": "Other_Provider_Identifier", "type_code": "Other_Provider_Identifier_Type_Code", "state": "Other_Provider_Identifier_State", "issuer": "Other_Provider_Identifier_Issuer"}
+    slots = [{out: f"{c}_{i}" for out, c in names.items()} for i in range(1, IDENTIFIER_SLOTS + 1)]
+    rows = reshape.unpivot_slots(active(raw), ["NPI"], slots, need="identifier")
+    return rows.select(F.col("NPI").alias("npi"), "slot", *(_t(c).alias(c) for c in names))
+
+
+def other_names(raw: DataFrame, more: DataFrame) -> DataFrame:
+    """npi, name, type_code: other organisation names of active records, each once."""
+    named = more.join(active(raw).select("NPI"), "NPI", "left_semi")
+    return named.select(F.col("NPI").alias("npi"), _t("Provider_Other_Organization_Name").alias("name"), _t("Provider_Other_Organization_Name_Type_Code").alias("type_code")).filter("name is not null").distinct()
+
+
+def endpoints(raw: DataFrame, more: DataFrame) -> DataFrame:
+    """npi, type, endpoint, use, content, affiliation of active records."""
+    listed = more.join(active(raw).select("NPI"), "NPI", "left_semi")
+    return listed.select(F.col("NPI").alias("npi"), _t("Endpoint_Type").alias("type"), _t("Endpoint").alias("endpoint"), _t("Use_Code").alias("use"), _t("Content_Type").alias("content"), F.coalesce(text.yes_no(F.col("Affiliation")), F.lit(False)).alias("affiliation")).filter("endpoint is not null")
+
+
+def org_names(provider: DataFrame, other: DataFrame) -> DataFrame:
+    """npi, name: distinct legal and other names of organisations (P10)."""
+    return provider.filter("org_name is not null").select("npi", F.col("org_name").alias("name")).unionByName(other.select("npi", "name")).distinct()
+
+
+def incremental(tables: dict[str, DataFrame], fresh: dict[str, DataFrame], changed: DataFrame, total: int, most: float = 0.1) -> dict[str, DataFrame] | None:
+    """Every table with the rows of the changed keys replaced; None if more than ``most`` of all keys changed, so that a full build is due."""
+    from rosterlake.operators import upsert
+
+    if changed.select("npi").distinct().count() > most * total:
+        return None
+    return {name: upsert.replace_keys(df, fresh[name], changed, ["npi"]) for name, df in tables.items()}
+
+
+def display_name(last: Column, first: Column, middle: Column, credential: Column, org: Column) -> Column:
+    """A name as it is shown: title case, an organisation's as it is."""
+    person = F.nullif(F.concat_ws(" ", F.initcap(first), F.initcap(middle), F.initcap(last)), F.lit(""))
+    return F.coalesce(F.when(person.isNotNull(), F.concat_ws(", ", person, credential)), org)
+
+
+def display_zip(zip5: Column, zip4: Column) -> Column:
+    """12345-6789, or the five digits."""
+    return F.when(zip4.isNotNull(), F.concat_ws("-", zip5, zip4)).otherwise(zip5)

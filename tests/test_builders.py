@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlake.operators import history, linkage, quality, temporal, upsert
-from rosterlake.plans import search
+from rosterlake.operators import changes, history, linkage, quality, spatial, temporal, upsert
+from rosterlake.plans import interpret, projection, search
 from rosterlake.sources import datasets, delimited
 from rosterlake.streaming import incremental
 
@@ -212,3 +212,60 @@ def test_the_first_batch_run_again_is_counted_once(spark, tmp_path):
 def test_last_values_are_carried_forward(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, None), (2, 1, None), (2, 2, "b")], "k int, t int, v string")
     assert [r["v"] for r in temporal.carry_forward(df, ["k"], [F.asc("t")], "v").orderBy("k", "t").collect()] == ["a", "a", None, "b"]
+
+
+# --- places, changes, free text ---------------------------------------------------------------------------------------
+
+
+def test_points_in_polygons(spark):
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    polygons = spark.createDataFrame([(1, ring((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))), (2, ring((4, 4), (6, 4), (6, 6), (4, 6))), (3, ring((20, 0), (30, 0), (20, 10)))], "polygon int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 9.0), (3, 28.0, 8.0), (4, 21.0, 1.0), (5, -1.0, 5.0)], "point int, x double, y double")
+    got = {r["point"]: (r["polygon"], r["area"]) for r in spatial.smallest_containing(points, polygons, 3.0).collect()}
+    assert got == {1: (2, 4.0), 2: (1, 100.0), 4: (3, 50.0)}
+
+
+def test_changes_and_their_texts(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 1), (3, "c", 1)], "k int, place string, n int")
+    new = spark.createDataFrame([(1, "a", None), (2, "x", None), (4, "d", 1)], "k int, place string, n int")
+    log = changes.change_log(old, new, ["k"], {"moved": ["place"], "count": ["n"]})
+    assert sorted((r["k"], r["kind"], r["was"], r["is"]) for r in log.collect()) == [(2, "count", "1", ""), (2, "moved", "b", "x"), (3, "removed", None, None), (4, "added", None, None)]
+    assert dict(map(tuple, changes.described(log, ["k"], {"moved": "moved from {was} to {is}", "added": "new"}).collect())) == {2: "moved from b to x", 4: "new"}
+
+
+def test_free_text_queries(spark):
+    kinds = spark.createDataFrame([("Chiropractor", "CH"), ("Nurse (Practitioner)", "NP"), ("Surgery", "SU")], "name string, value string")
+    towns = spark.createDataFrame([("Suffolk County", "36103"), ("St. James", "SJ"), ("New York", "NY")], "name string, value string")
+    words = interpret.phrases(kinds, "name", "specialty", "value").unionByName(interpret.phrases(towns, "name", "place", "value"))
+    asked = ["chiropractors in Suffolk County, NY", "nurse Saint James", "1234567893", "Dr. Smith near new york", "surgeries suffolk", "", None]
+    got = {r["id"]: (r["npi"], [tuple(f) for f in r["found"]], r["name"]) for r in interpret.interpret(spark.createDataFrame(list(enumerate(asked)), "id int, text string"), words).collect()}
+    assert got[0] == (None, [("specialty", "CH"), ("place", "36103")], "ny")
+    assert got[1] == (None, [("specialty", "NP"), ("place", "SJ")], None)
+    assert got[2] == ("1234567893", [], None)
+    assert got[3] == (None, [("place", "NY")], "dr smith")
+    assert got[4] == (None, [("specialty", "SU"), ("place", "36103")], None)
+    assert got[5] == (None, [], None)
+    people = spark.createDataFrame([("Suffern, Ann",)], "label string")
+    places = spark.createDataFrame([("Suffield", 5), ("Suffolk", 50), ("East Suffolk", 500)], "label string, population long")
+    found = interpret.suggestions("suff", spark.createDataFrame([("Surgery",)], "label string"), places, people).collect()
+    assert [r["label"] for r in found] == ["Suffolk", "Suffield", "Suffern, Ann", "East Suffolk"]
+
+
+def test_more_projected_tables(spark):
+    wide = {"NPI": "1", "Entity_Type_Code": "2", "NPI_Deactivation_Date": None, "NPI_Reactivation_Date": None}
+    for i in range(1, 51):
+        wide |= {f"Other_Provider_Identifier_{i}": "id" if i == 50 else " ", f"Other_Provider_Identifier_Type_Code_{i}": "05", f"Other_Provider_Identifier_State_{i}": "NY", f"Other_Provider_Identifier_Issuer_{i}": None}
+    record = spark.createDataFrame([tuple(wide.values()), ("2", "1", "01/01/2020", None, *list(wide.values())[4:])], ", ".join(f"{c} string" for c in wide))
+    assert [tuple(r) for r in projection.identifiers(record).collect()] == [("1", 50, "id", "05", "NY", None)]
+    names = spark.createDataFrame([("1", "Other", "3"), ("1", "Other", "3"), ("2", "Gone", "3"), ("1", " ", "3")], "NPI string, Provider_Other_Organization_Name string, Provider_Other_Organization_Name_Type_Code string")
+    other = projection.other_names(record, names)
+    assert [tuple(r) for r in other.collect()] == [("1", "Other", "3")]
+    orgs = spark.createDataFrame([("1", "Legal"), ("3", None)], "npi string, org_name string")
+    assert sorted(map(tuple, projection.org_names(orgs, other).collect())) == [("1", "Legal"), ("1", "Other")]
+    ends = spark.createDataFrame([("1", "DIRECT", "a@b", "X", None, "Y")], "NPI string, Endpoint_Type string, Endpoint string, Use_Code string, Content_Type string, Affiliation string")
+    assert [tuple(r) for r in projection.endpoints(record, ends).collect()] == [("1", "DIRECT", "a@b", "X", None, True)]
+    new = projection.incremental({"t": orgs}, {"t": spark.createDataFrame([("1", "New")], "npi string, org_name string")}, spark.createDataFrame([("1",)], "npi string"), 20)
+    assert sorted(map(str, map(tuple, new["t"].collect()))) == ["('1', 'New')", "('3', None)"]
+    assert projection.incremental({"t": orgs}, {"t": orgs}, orgs, 10) is None
+    shown = spark.createDataFrame([("DOE", "ANN", None, "M.D.", None), (None, None, None, None, "Acme LLC")], "l string, f string, m string, c string, o string")
+    assert [r[0] for r in shown.select(projection.display_name(*(F.col(c) for c in "lfmco"))).collect()] == ["Ann Doe, M.D.", "Acme LLC"]
