@@ -73,20 +73,45 @@ SELECT doc_id, text, lang, source, n_chars, copy, md5('17:order:' || coalesce(do
 
 ORACLE["op9_source_mixing"] = "WITH docs AS (SELECT doc_id, text, lang, source, n_chars FROM documents)," + POISSON_SQL
 
-ORACLE["op8_url_filter"] = r"""
+
+
+def _ranks(name: str, seed: str, shares: str, rounds: int = 20) -> str:
+    """CTEs <name>1 to <name>20: personalised PageRank from the column ``seed`` of hosts along ``shares``, a CTE for each round."""
+    step = "{n}{k} AS (SELECT h.host, 0.15 * any_value(h.{seed}) + 0.85 * coalesce(sum(p.score * s.share), 0) AS score FROM hosts h LEFT JOIN {shares} s ON s.dst = h.host LEFT JOIN {n}{j} p ON p.host = s.src GROUP BY h.host)"
+    return ",\n".join([f"{name}0 AS (SELECT host, {seed} AS score FROM hosts)", *(step.format(n=name, k=k, j=k - 1, seed=seed, shares=shares) for k in range(1, rounds + 1))])
+
+
+ORACLE["op8_url_filter"] = (
+    r"""
 WITH base AS (
   SELECT page_id, coalesce(url, '') AS u, coalesce(html, '') AS html FROM pages),
 parts AS (
-  SELECT page_id, translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path
+  SELECT page_id, html, translate(regexp_extract(u, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path
   FROM base),
 rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+numbered AS (SELECT *, row_number() OVER () AS row FROM parts),
 fits AS (
-  SELECT page_id, host, path, max_by(verdict, length(rhost || rpath)) AS v, max_by(rhost || rpath, length(rhost || rpath)) AS rule
-  FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
-seeds AS (
-  SELECT host, CASE WHEN 2 * count(*) FILTER (v = 'block') > count(*) OR regexp_matches(host, '(^|[.-])(casino|pills|bets|adult|porn|spam)([.-]|$)') THEN 'block' ELSE 'allow' END AS method
-  FROM fits GROUP BY host)
-SELECT page_id, host, path, rule, coalesce(v, method) AS verdict, method FROM fits JOIN seeds USING (host)"""
+  SELECT row, page_id, host, path, max_by(verdict, length(rhost || rpath)) AS v, max_by(rhost || rpath, length(rhost || rpath)) AS rule
+  FROM numbered LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]+)', 1)) AS link FROM parts),
+named AS (SELECT src, translate(regexp_extract('x:' || regexp_replace(link, '(?i)^https?:', ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM links),
+edges AS (SELECT src, dst, count(*) AS n FROM named WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
+own AS (
+  SELECT host, sum(n) AS n, sum(a) AS a, sum(b) AS b FROM (
+    SELECT host, 1 AS n, (v = 'allow' AND v IS NOT NULL)::INT AS a, (v = 'block' AND v IS NOT NULL)::INT AS b FROM fits UNION ALL SELECT dst, 0, 0, 0 FROM edges) GROUP BY host),
+judged AS (SELECT host, n, a, (n > 0 AND 2 * b > n) OR regexp_matches(host, '(^|[.-])(casino|pills|bets|adult|porn|spam)([.-]|$)') AS bad FROM own),
+hosts AS (SELECT host, bad::INT::DOUBLE AS bad, (n > 0 AND 2 * a > n AND NOT bad)::INT::DOUBLE AS good FROM judged),
+onward AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
+backward AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM edges),
+"""
+    + _ranks("trust", "good", "onward")
+    + ",\n"
+    + _ranks("distrust", "bad", "backward")
+    + """,
+methods AS (SELECT host, CASE WHEN d.score >= 0.1 AND d.score > t.score THEN 'block' ELSE 'allow' END AS method FROM trust20 t JOIN distrust20 d USING (host))
+SELECT page_id, host, path, rule, coalesce(v, method) AS verdict, method FROM fits JOIN methods USING (host)"""
+)
+
 
 ORACLE["op10_nearest_vectors"] = """
 WITH usable AS (
