@@ -331,7 +331,7 @@ def _raw(spark, sf_dir):
     day = lambda n: F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int")), "MM/dd/yyyy")
     plain = {
         "NPI": F.lpad(k.cast("string"), 10, "0"), "Entity_Type_Code": F.when(k % 9 == 0, "2").when(k % 50 == 1, "").otherwise("1"), "Provider_Last_Name_Legal_Name": F.concat(F.lit(" Fam"), k % 97), "Provider_First_Name": F.concat(F.lit("Given"), k % 13),
-        "Provider_Middle_Name": F.lit(""), "Provider_Organization_Name_Legal_Business_Name": F.when(k % 9 == 0, F.col("c_name")), "Provider_Credential_Text": F.when(k % 4 == 0, "M.D."), "Provider_Gender_Code": F.when(k % 2 == 0, "F").otherwise("M"),
+        "Provider_Middle_Name": F.lit(""), "Provider_Organization_Name_Legal_Business_Name": F.when(k % 9 == 0, F.col("c_name")), "Provider_Credential_Text": F.when(k % 4 == 2, "M.D."), "Provider_Gender_Code": F.when(k % 2 == 0, "F").otherwise("M"),
         "Provider_Enumeration_Date": day(k % 900), "Last_Update_Date": day(k % 1500), "NPI_Deactivation_Date": F.when(k % 21 == 0, day(k % 300)), "NPI_Reactivation_Date": F.when(k % 42 == 0, day(k % 300 + 5)),
     }
     for i in range(1, projection.TAXONOMY_SLOTS + 1):
@@ -346,7 +346,7 @@ _RAW_SQL = """
 WITH r AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 10, '0') AS npi, CASE WHEN c_custkey % 9 = 0 THEN 2 WHEN c_custkey % 50 = 1 THEN NULL ELSE 1 END AS entity, DATE '2020-01-01' + (c_custkey % 300)::INTEGER AS off, c_name, c_nationkey, c_mktsegment FROM customer),
 p AS (SELECT *, 'Fam' || (k % 97) AS last_name, 'Given' || (k % 13) AS first_name, CASE WHEN k % 9 = 0 THEN c_name END AS org_name FROM r WHERE entity IS NOT NULL AND NOT (k % 21 = 0 AND k % 42 <> 0)),
 t AS (SELECT k, npi, i::INTEGER AS slot, 'T' || i || (k % 5) AS taxonomy_code, i = k % 3 AS is_primary, CASE WHEN i <= k % 3 THEN 'L' || k END AS license_no, CASE WHEN k % 2 = 0 THEN NULL ELSE 'NY' END AS license_state FROM p, (SELECT unnest(range(1, 16)) AS i) WHERE i <= k % 4),
-f AS (SELECT npi, entity AS entity_type, last_name, first_name, NULL::VARCHAR AS middle_name, org_name, CASE WHEN entity = 1 THEN last_name || ', ' || first_name ELSE org_name END AS sort_name, CASE WHEN k % 4 = 0 THEN 'M.D.' END AS credential, CASE WHEN k % 4 = 0 THEN 'MD' END AS credential_key,
+f AS (SELECT npi, entity AS entity_type, last_name, first_name, NULL::VARCHAR AS middle_name, org_name, CASE WHEN entity = 1 THEN last_name || ', ' || first_name ELSE org_name END AS sort_name, CASE WHEN k % 4 = 2 THEN 'M.D.' END AS credential, CASE WHEN k % 4 = 2 THEN 'MD' END AS credential_key,
 CASE WHEN entity = 1 THEN CASE WHEN k % 2 = 0 THEN 'F' ELSE 'M' END END AS gender, coalesce(CASE WHEN k % 3 > 0 AND k % 3 <= k % 4 THEN 'T' || (k % 3) || (k % 5) END, CASE WHEN k % 4 > 0 THEN 'T1' || (k % 5) END) AS primary_taxonomy_code,
 DATE '2020-01-01' + (k % 900)::INTEGER AS enumeration_date, DATE '2020-01-01' + (k % 1500)::INTEGER AS last_update_date, k, c_nationkey, c_mktsegment FROM p)
 """
