@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +54,29 @@ def join_sized(left: DataFrame, right: DataFrame, key: str, how: str, salt_by: C
     return left.join(right, (F.col("_salt") == F.col("_s")) & F.col(key).eqNullSafe(F.col("_key")), how).drop("_key", "_s", "_salt")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: it cuts the lineage as a checkpoint does, in fewer bytes."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int, salt_by: list[str]) -> DataFrame:
+    """Join with one row per key of ``right``, which has the key's number of rows of ``left`` as ``k``; ``rows`` is their sum.
+
+    A key with more than 2 rows / BROADCAST_ROWS of them is dealt over so many
+    salts; there are fewer than BROADCAST_ROWS / 2 such keys, so their list is
+    broadcast. ``right`` should be materialised. Null keys match nothing.
+    """
+    many = max(64, -(-2 * rows // BROADCAST_ROWS))
+    salts = F.ceil(F.col("k") / many).cast("int")
+    hubs = right.filter(F.col("k") > many).select(*keys, salts.alias("_salts"))
+    left = left.join(F.broadcast(hubs), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*salt_by), F.col("_salts"))).cast("int")).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("k") > many, salts - 1).otherwise(0))))
+    return left.join(right.drop("k"), [*keys, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): one row (id, component), component = the smallest id.
 

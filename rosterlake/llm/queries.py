@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlake.llm import ann, chat, decontam, html_extract, jaccard, line_dedup, mixing, secrets, toxicity, url_filter
+from rosterlake.llm import ann, chat, decontam, html_extract, jaccard, line_dedup, mixing, secrets, spelling, substring_dedup, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,6 +155,26 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, removed words and digest of the words that are left."""
+    kept = substring_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = substring_dedup.joined_words(F.coalesce("text", F.lit("")))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the corpus with its form and root."""
+    return spelling.variants(spelling.corpus_words(_table(spark, sf_dir, "documents")))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's first 16 whitened components."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's result over all documents."""
