@@ -19,12 +19,6 @@ COMMON_WORDS = (
     "AMERICA", "AMERICAN", "NATIONAL", "UNITED", "REGIONAL", "COUNTY", "CITY", "NORTH", "SOUTH", "EAST", "WEST", "CENTRAL", "NEW", "LIVING", "SENIOR", "LAB", "LABS", "LABORATORY", "LABORATORIES", "IMAGING", "DIAGNOSTIC", "DIAGNOSTICS", "SURGERY", "SURGICAL", "PEDIATRICS",
     "PEDIATRIC", "CHIROPRACTIC", "OPTOMETRY", "EYE", "VISION", "WELLNESS", "BEHAVIORAL", "MENTAL", "COUNSELING", "HOSPICE", "AGENCY", "SUPPLY", "SUPPLIES", "EQUIPMENT", "DRUG", "DRUGS", "STORE", "DR", "DDS", "MD", "DMD", "OD", "DC", "DO", "PT", "INC", "PLLC",
 )
-# Street words and their postal abbreviations.
-STREET_WORDS = {
-    "avenue": "ave", "boulevard": "blvd", "circle": "cir", "court": "ct", "drive": "dr", "east": "e", "expressway": "expy", "highway": "hwy", "lane": "ln", "north": "n", "parkway": "pkwy",
-    "place": "pl", "plaza": "plz", "road": "rd", "south": "s", "square": "sq", "street": "st", "terrace": "ter", "turnpike": "tpke", "west": "w",
-}
-UNIT_WORDS = ("apt", "apartment", "suite", "ste", "unit", "room", "rm", "floor", "fl", "bldg", "building", "dept")
 
 
 def trimmed(c: Column) -> Column:
@@ -145,13 +139,6 @@ def name_distance(a: Column, b: Column) -> Column:
     return F.least(differ + 2 * F.abs(F.length(x) - F.length(y)) + 2 * missing, F.lit(20))
 
 
-def street_key(c: Column) -> Column:
-    """Street words in postal abbreviations, units dropped."""
-    short = F.create_map(*(F.lit(x) for kv in STREET_WORDS.items() for x in kv))
-    plain = F.regexp_replace(normalised(c), rf"\b({'|'.join(UNIT_WORDS)})\b.*$", "")
-    return F.array_join(F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.coalesce(short[w], w)), " ")
-
-
 def distinctive_words(c: Column) -> Column:
     """The words of a company name key that few others share; none where there is no key."""
     words = F.filter(F.split(name_key(c), " "), lambda w: ~w.isin(*COMMON_WORDS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def apply_period(now: DataFrame, listed: DataFrame, key: str, values: list[str],
     change = F.when(o.isNull(), "new").when(n.isNull(), F.when(was_active, "gone")).when(~same, "changed")
     out = both.withColumn("change", change)
     stays, gone = F.col("change").isNull(), F.col("change") == "gone"
-    differs = lambda names: F.coalesce(F.col("change") == "changed", F.lit(False)) & was_active & is_active & F.greatest(F.lit(False), *(~o[c].eqNullSafe(value[c]) for c in names))
+    differs = lambda names: F.coalesce(F.col("change") == "changed", F.lit(False)) & was_active & is_active & reduce(Column.__or__, (~o[c].eqNullSafe(value[c]) for c in names), F.lit(False))
     return out.select(
         key, F.when(stays, o["status"]).when(gone, GONE).otherwise(n["status"]).alias("status"),
         *(F.when(stays, o[c]).when(gone, None).otherwise(value[c]).alias(c) for c in values),

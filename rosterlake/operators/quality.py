@@ -70,11 +70,23 @@ def conflict(df: DataFrame, other: DataFrame, on: dict[str, str], agrees: DataFr
     return filters.lacking(filters.having(df, other, on), agrees, on)
 
 
-def other_current(labels: DataFrame, groups: DataFrame) -> DataFrame:
-    """(npi, other_npi): members without a sign of practice whose organisation has a current number with signs, its main one if that is current."""
+# Fixed value: years for which a number that was issued or updated isn't a leftover.
+LEFTOVER_YEARS = 2
+
+
+def other_current(labels: DataFrame, groups: DataFrame, ages: DataFrame, as_of: Column) -> DataFrame:
+    """(npi, other_npi): members without a sign of practice whose organisation has a current number with signs, its main one if that is current.
+
+    ``ages``: npi, enumeration_date, last_update_date.  A member issued or updated
+    within LEFTOVER_YEARS before ``as_of`` is spared, as a new registration need not
+    bill yet; a missing date counts as old.
+    """
     known = labels.join(groups, "npi")
     anchor = known.filter((F.col("label") == CURRENT) & (F.col("activity") != 0)).groupBy("main_npi").agg(F.coalesce(F.max(F.when(F.col("is_main"), F.col("npi"))), F.min("npi")).alias("other_npi"))
-    return known.filter("activity = 0").join(anchor, "main_npi").filter("other_npi <> npi").select("npi", "other_npi")
+    limit = F.add_months(as_of, -12 * LEFTOVER_YEARS)
+    old = F.coalesce(F.col("enumeration_date") < limit, F.lit(True)) & F.coalesce(F.col("last_update_date") < limit, F.lit(True))
+    idle = known.filter("activity = 0").join(ages.select("npi", "enumeration_date", "last_update_date"), "npi", "left").filter(old)
+    return idle.join(anchor, "main_npi").filter("other_npi <> npi").select("npi", "other_npi")
 
 
 def address_types(locations: DataFrame, providers: DataFrame, buildings: DataFrame, points: DataFrame) -> DataFrame:

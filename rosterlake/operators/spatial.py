@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.operators import ranking
@@ -49,3 +49,92 @@ def smallest_containing(points: DataFrame, polygons: DataFrame, step: float) ->
     listed = polygons.select("polygon", "ring", F.explode(cells(F.col("ring"), step)).alias("_cell"))
     met = points.withColumn("_cell", cell_of(F.col("x"), F.col("y"), step)).join(listed, "_cell").filter(contains(F.col("ring"), F.col("x"), F.col("y")))
     return ranking.latest(met.withColumn("area", area(F.col("ring"))), ["point"], [F.asc("area"), F.asc("polygon")]).select(*points.columns, "polygon", "area")
+
+
+def _edges(rings: Column) -> Column:
+    """The edges (a, b) of all rings of a polygon."""
+    return F.flatten(F.transform(rings, lambda ring: F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)).alias("b"))))
+
+
+def inside(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside a polygon of rings: an odd number of edges of all rings is crossed, so holes are outside and parts add up."""
+    crossed = F.filter(
+        _edges(rings),
+        lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"]),
+    )
+    return F.size(crossed) % 2 == 1
+
+
+def edge_distance(rings: Column, x: Column, y: Column) -> Column:
+    """The distance from a point to the nearest edge: to the foot of its perpendicular, cut to the edge's ends."""
+
+    def squared(e: Column) -> Column:
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        length = dx * dx + dy * dy
+        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["a"]["x"]) * dx + (y - e["a"]["y"]) * dy) / length))).otherwise(0.0)
+        px, py = e["a"]["x"] + t * dx - x, e["a"]["y"] + t * dy - y
+        return px * px + py * py
+
+    return F.sqrt(F.array_min(F.transform(_edges(rings), squared)))
+
+
+def _reached_cells(rings: Column, step: float, reach: float) -> Column:
+    """The grid cells that a polygon's box, wider by ``reach`` on each side, touches."""
+    points = F.flatten(rings)
+    low = {c: F.floor((F.array_min(_side(points, c)) - reach) / step) for c in "xy"}
+    high = {c: F.floor((F.array_max(_side(points, c)) + reach) / step) for c in "xy"}
+    return F.flatten(F.transform(F.sequence(low["y"], high["y"]), lambda r: F.transform(F.sequence(low["x"], high["x"]), lambda c: F.struct(r.alias("r"), c.alias("c")))))
+
+
+def building_at(points: DataFrame, buildings: DataFrame, reach: float, step: float | None = None) -> DataFrame:
+    """(point columns, match, distance, building, size): the building that each point (point, x, y) is in, or else near.
+
+    ``buildings`` (building, rings, size): rings are arrays of (x, y), a part's
+    outline or a hole.  ``inside``: the smallest that contains the point;
+    ``near``: of those whose edge is at most ``reach`` away the nearest, of equal
+    ones the smaller; ``none``: every other point.  Ties go to the least building.
+    A building without rings, and a point without coordinates, meet nothing.
+    A building is listed in the cells of ``step`` that it can be reached from, a
+    point in its own, so each pair meets once and no pair meets in vain twice.
+    """
+    step = step or 4 * reach
+    usable = buildings.filter(F.size(F.flatten("rings")) > 0)
+    listed = usable.select("building", "rings", "size", F.explode(_reached_cells(F.col("rings"), step, reach)).alias("_cell"))
+    at = points.withColumn("_cell", cell_of(F.col("x"), F.col("y"), step))
+    met = at.join(listed, "_cell").withColumn("_in", inside(F.col("rings"), F.col("x"), F.col("y"))).withColumn("_d", edge_distance(F.col("rings"), F.col("x"), F.col("y"))).filter(F.col("_in") | (F.col("_d") <= reach))
+    order = F.struct((~F.col("_in")).alias("out"), F.when(~F.col("_in"), F.col("_d")).alias("d"), "size", "building")
+    best = met.groupBy("point").agg(F.min(order).alias("_best"))
+    out = points.join(best, "point", "left")
+    kind = F.when(F.col("_best").isNull(), "none").when(F.col("_best.out"), "near").otherwise("inside")
+    return out.select(*points.columns, kind.alias("match"), F.col("_best.d").alias("distance"), F.col("_best.building").alias("building"), F.col("_best.size").alias("size"))
+
+
+def boxes(points: DataFrame, gap: float, side: float | None = None) -> DataFrame:
+    """(south, west, north, east, points) of points (lat, lon): boxes that no gap wider than ``gap`` crosses in either direction.
+
+    Points are first gathered in cells of ``side`` (``gap`` / 4), with the extent of
+    what lies in each.  There are at most 360 * 180 / side^2 cells, whatever the
+    number of points, and a gap lies between cells; so sorting the cells of a
+    group in one task is bounded.  Groups are split in both directions in turn
+    until none is.  Points without both coordinates are left out.
+    """
+    from rosterlake.plans.session import checkpointed
+
+    side = side or gap / 4
+    cell = points.filter("lat is not null and lon is not null").groupBy(F.floor(F.col("lat") / side).alias("r"), F.floor(F.col("lon") / side).alias("c")).agg(
+        F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"), F.count("*").alias("points")
+    )
+    now = checkpointed(cell.select(F.array().cast("array<int>").alias("group"), "south", "west", "north", "east", "points"))
+    groups = -1
+    while True:
+        for low, high in (("west", "east"), ("south", "north")):
+            before = Window.partitionBy("group").orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+            opens = F.coalesce((F.col(low) - F.max(high).over(before) > gap).cast("int"), F.lit(0))
+            part = F.sum("_new").over(Window.partitionBy("group").orderBy(low, high).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+            now = now.withColumn("_new", opens).withColumn("_part", part).withColumn("group", F.array_append("group", F.col("_part"))).drop("_new", "_part")
+        now = checkpointed(now)
+        found = now.select("group").distinct().count()
+        if found == groups:
+            break
+        groups = found
+    return now.groupBy("group").agg(F.min("south").alias("south"), F.min("west").alias("west"), F.max("north").alias("north"), F.max("east").alias("east"), F.sum("points").alias("points")).drop("group")

@@ -121,24 +121,28 @@ def practice_signs(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT c_custkey AS npi, c_nationkey AS main_npi, c_acctbal > 9900 AS is_main, (c_custkey % 3 + 1) AS label, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS activity FROM customer),
+WITH q AS (SELECT c_custkey AS npi, c_nationkey AS main_npi, c_acctbal > 9900 AS is_main, (c_custkey % 3 + 1) AS label, CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END AS activity,
+  CASE WHEN c_custkey % 11 > 0 THEN DATE '2018-01-01' + (c_custkey % 1700)::INTEGER END AS issued, CASE WHEN c_custkey % 7 > 0 THEN DATE '2018-01-01' + (c_custkey * 3 % 1700)::INTEGER END AS updated FROM customer),
 a AS (SELECT main_npi, coalesce(max(CASE WHEN is_main THEN npi END), min(npi)) AS other_npi FROM q WHERE label = 1 AND activity <> 0 GROUP BY 1)
-SELECT npi, other_npi FROM q JOIN a USING (main_npi) WHERE activity = 0 AND other_npi <> npi""")
+SELECT npi, other_npi FROM q JOIN a USING (main_npi) WHERE activity = 0 AND other_npi <> npi AND greatest(coalesce(issued, DATE '1900-01-01'), coalesce(updated, DATE '1900-01-01')) < DATE '2022-06-01' - INTERVAL 2 YEAR""")
 def other_current(spark, sf_dir):
-    """Members without signs whose organisation has a current number."""
+    """Members without signs, neither issued nor updated for two years, whose organisation has a current number."""
     c = table(spark, sf_dir, "customer")
-    labels = c.select(F.col("c_custkey").alias("npi"), (F.col("c_custkey") % 3 + 1).alias("label"), F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1).alias("activity"))
-    return quality.other_current(labels, c.select(F.col("c_custkey").alias("npi"), F.col("c_nationkey").alias("main_npi"), (F.col("c_acctbal") > 9900).alias("is_main")))
+    k = F.col("c_custkey")
+    labels = c.select(k.alias("npi"), (k % 3 + 1).alias("label"), F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1).alias("activity"))
+    day = lambda n: F.date_add(F.lit("2018-01-01").cast("date"), (n % 1700).cast("int"))
+    ages = c.select(k.alias("npi"), F.when(k % 11 > 0, day(k)).alias("enumeration_date"), F.when(k % 7 > 0, day(k * 3)).alias("last_update_date"))
+    return quality.other_current(labels, c.select(k.alias("npi"), F.col("c_nationkey").alias("main_npi"), (F.col("c_acctbal") > 9900).alias("is_main")), ages, F.lit("2022-06-01").cast("date"))
 
 
 @query("""
-WITH l AS (SELECT o_custkey % 400 AS addr_key, o_custkey AS npi, CASE WHEN o_orderkey % 31 = 0 THEN '1 Main St Suite 4' ELSE '1 Main St' END AS a FROM orders WHERE o_orderkey % 7 = 0),
+WITH l AS (SELECT o_custkey % 400 AS addr_key, o_custkey AS npi, CASE WHEN o_orderkey % 31 = 0 THEN '1 Main St Suite 4' ELSE '1 Main St' END AS a FROM orders),
 s AS (SELECT addr_key, bool_or(regexp_matches(upper(a), '\\b(STE|SUITE|FL|FLR|FLOOR|BLDG|BUILDING|RM|ROOM)\\b')) AS suite, count(DISTINCT npi) AS providers, bool_or(npi % 2 = 0) AS org FROM l GROUP BY 1),
 x AS (SELECT s.*, CASE WHEN addr_key % 3 = 0 THEN 'Residential' WHEN addr_key % 3 = 1 THEN 'Commercial' END AS occ, CASE WHEN addr_key % 9 = 0 THEN 'Nursing Home' END AS prim, suite OR addr_key % 5 = 0 OR providers >= 5 OR (org AND providers >= 3) AS business FROM s)
 SELECT addr_key, CASE WHEN (occ = 'Residential' AND prim IS NOT NULL) OR business THEN 'commercial' WHEN occ = 'Residential' THEN 'residential' WHEN occ IS NULL THEN 'unknown' ELSE 'commercial' END AS building_type, suite, providers, org, business FROM x""")
 def address_types(spark, sf_dir):
     """What kind of building a practice address is."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0")  # the rule of the made-up addresses: one in seven orders names one
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_custkey") % 400
     at = o.select(key.alias("addr_key"), F.col("o_custkey").alias("npi"), F.lit("1 Main St").alias("address1"), F.when(F.col("o_orderkey") % 31 == 0, "Suite 4").alias("address2"))
     who = o.select(F.col("o_custkey").alias("npi"), F.when(F.col("o_custkey") % 2 == 0, 2).otherwise(1).alias("entity_type")).distinct()
@@ -210,12 +214,13 @@ def carry_forward(spark, sf_dir):
 
 
 def _halves(spark, sf_dir):
+    """The rows before a day, and from it on."""
     o = table(spark, sf_dir, "orders")
-    return (o.filter(F.year("o_orderdate") == y) for y in (1996, 1997))
+    return o.filter(F.col("o_orderdate") < "1997-07-01"), o.filter(F.col("o_orderdate") >= "1997-07-01")
 
 
 @query("""
-WITH x AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 1 WHEN o_orderstatus = 'F' THEN 2 ELSE 4 END AS bits FROM orders WHERE year(o_orderdate) IN (1996, 1997)) SELECT o_custkey, bit_or(bits)::INTEGER AS bits FROM x GROUP BY 1""")
+WITH x AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 1 WHEN o_orderstatus = 'F' THEN 2 ELSE 4 END AS bits FROM orders) SELECT o_custkey, bit_or(bits)::INTEGER AS bits FROM x GROUP BY 1""")
 def or_bits_upsert(spark, sf_dir):
     """Bits of a change ORed to those of the table."""
     bits = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderstatus") == "F", 2).otherwise(4)
@@ -223,7 +228,7 @@ def or_bits_upsert(spark, sf_dir):
     return upsert.or_bits(old, new, ["o_custkey"], "bits")
 
 
-@query("SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1")
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
 def add_counts_upsert(spark, sf_dir):
     """Counters with a batch's counts added."""
     old, new = (df.groupBy("o_custkey").agg(F.count("*").alias("n")) for df in _halves(spark, sf_dir))
@@ -231,7 +236,7 @@ def add_counts_upsert(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)
+WITH a AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate < '1997-07-01' GROUP BY 1), b AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderdate >= '1997-07-01' GROUP BY 1)
 SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM a)""")
 def insert_ignore(spark, sf_dir):
     """Rows whose key is new are added, the first of those that repeat one."""
@@ -240,7 +245,7 @@ def insert_ignore(spark, sf_dir):
 
 
 @query("""
-WITH keys AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12), a AS (SELECT o_custkey, o_orderkey FROM orders WHERE year(o_orderdate) = 1996), b AS (SELECT o_custkey, o_orderkey FROM orders WHERE year(o_orderdate) = 1997)
+WITH keys AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 12), a AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate < '1997-07-01'), b AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate >= '1997-07-01')
 SELECT * FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM keys) UNION ALL SELECT * FROM b WHERE o_custkey IN (SELECT o_custkey FROM keys)""")
 def replace_keys(spark, sf_dir):
     """All rows of the changed keys replaced."""
@@ -262,25 +267,11 @@ def check_digits(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a FROM part), v AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS b FROM part), x AS (SELECT a, b, upper(a) AS s, upper(b) AS t FROM w CROSS JOIN v)
-SELECT a, b, least(len([i FOR i IN range(1, least(length(s), length(t)) + 1) IF s[i] <> t[i]]) + 2 * abs(length(s) - length(t)) + 2 * len([c FOR c IN list_distinct(string_split(s, '')) IF NOT contains(t, c)]), 20)::INTEGER AS distance FROM x""")
+WITH x AS (SELECT DISTINCT p_name, upper('Small Gadget') AS s, upper(p_name) AS t FROM part)
+SELECT p_name, least(len([i FOR i IN range(1, least(length(s), length(t)) + 1) IF s[i] <> t[i]]) + 2 * abs(length(s) - length(t)) + 2 * len([c FOR c IN list_distinct(string_split(s, '')) IF NOT contains(t, c)]), 20)::INTEGER AS distance FROM x""")
 def name_distances(spark, sf_dir):
-    """How far names are from each other."""
-    w = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("w"))
-    a, b = w.select(F.col("w")[0].alias("a")).distinct(), w.select(F.col("w")[1].alias("b")).distinct()  # a vocabulary of some ten words each
-    return a.join(F.broadcast(b)).select("a", "b", text.name_distance(F.col("a"), F.col("b")).alias("distance"))
-
-
-_STREET_SQL = """c_custkey || CASE c_custkey % 5 WHEN 0 THEN ' North Main Street, Suite 4' WHEN 1 THEN ' Oak AVENUE Apt 2b' WHEN 2 THEN ' East  Lake Boulevard' WHEN 3 THEN ' Highway 5 West' ELSE ' Élan Court' END"""
-
-
-@query(rf"""
-WITH x AS (SELECT c_custkey, trim(regexp_replace(lower(strip_accents({_STREET_SQL})), '[^a-z0-9]+', ' ', 'g')) AS t FROM customer),
-u AS (SELECT c_custkey, list_filter(string_split(regexp_replace(t, '\b(apt|apartment|suite|ste|unit|room|rm|floor|fl|bldg|building|dept)\b.*$', ''), ' '), lambda w: w <> '') AS w FROM x)
-SELECT c_custkey, array_to_string(list_transform(w, lambda x: CASE x WHEN 'north' THEN 'n' WHEN 'street' THEN 'st' WHEN 'avenue' THEN 'ave' WHEN 'east' THEN 'e' WHEN 'boulevard' THEN 'blvd' WHEN 'highway' THEN 'hwy' WHEN 'west' THEN 'w' WHEN 'court' THEN 'ct' ELSE x END), ' ') AS street FROM u""")
-def street_keys(spark, sf_dir):
-    """Street addresses in postal abbreviations, without units."""
-    return table(spark, sf_dir, "customer").select("c_custkey", text.street_key(F.expr(_STREET_SQL)).alias("street"))
+    """How far names are from the one that is asked for."""
+    return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", text.name_distance(F.lit("Small Gadget"), F.col("p_name")).alias("distance"))
 
 
 @query("""
@@ -620,23 +611,31 @@ def nearest_places(spark, sf_dir):
     return ranking.nearest(d, "d", "vec_id", 25)
 
 
-@query("""
-WITH q AS (SELECT p_partkey AS id, string_split(CASE p_partkey % 3 WHEN 0 THEN p_name || ' in nation ' || (p_partkey % 25) WHEN 1 THEN split_part(p_name, ' ', 2) || 's near NATION_' || (p_partkey % 25) || ' smith' ELSE '1234567893 dr ' || p_type END, ' ') AS w0 FROM part),
-w AS (SELECT id, list_filter(string_split(trim(regexp_replace(lower(array_to_string(w0, ' ')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM q),
-v AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS phrase, 'specialty' AS kind, split_part(p_name, ' ', 2) AS value FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) || 's', 'specialty', split_part(p_name, ' ', 2) FROM part UNION SELECT DISTINCT lower(p_type), 'specialty', p_type FROM part UNION SELECT DISTINCT CASE WHEN lower(p_type) LIKE '%y' THEN left(lower(p_type), length(p_type) - 1) || 'ies' ELSE lower(p_type) || 's' END, 'specialty', p_type FROM part
-UNION SELECT replace(lower(n_name), '_', ' '), 'place', n_name FROM nation),
-g AS (SELECT id, i - 1 AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM w, (SELECT unnest(range(1, 12)) AS i), (SELECT unnest([1, 2]) AS n) WHERE i + n - 1 <= len(w)),
-h AS (SELECT g.id, pos, n, kind, min(value) AS value FROM g JOIN v ON v.phrase = g.phrase GROUP BY ALL),
-c AS (SELECT * FROM h x WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.id = x.id AND y.n > x.n AND x.pos < y.pos + y.n AND y.pos < x.pos + x.n)),
-f AS (SELECT id, string_agg(kind || '=' || value, ';' ORDER BY pos) AS found, list(pos) AS ats, list(pos + n) AS ends FROM c GROUP BY 1)
-SELECT w.id, list_filter(w, lambda x: regexp_matches(x, '^[0-9]{10}$'))[1] AS npi, coalesce(found, '') AS found,
-nullif(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF NOT w[i] IN ('in', 'near', 'at', 'and', 'for', 'a', 'an', 'the', 'of') AND NOT regexp_matches(w[i], '^[0-9]{10}$') AND len([k FOR k IN range(1, len(coalesce(ats, [])) + 1) IF i - 1 >= ats[k] AND i - 1 < ends[k]]) = 0], ' '), '') AS name FROM w LEFT JOIN f ON f.id = w.id""")
+#: What is typed for each part, by a form in turn; the twin states what each form asks for.
+_ASKED = """CASE p_partkey % 9
+  WHEN 0 THEN noun || 's within 25 miles of ' || zip WHEN 1 THEN noun || ' in Nation ' || nation || ' County, ' || code WHEN 2 THEN 'find ' || noun || 's near ' || zip || '-0042'
+  WHEN 3 THEN noun || ' John Smith in Town ' || nation WHEN 4 THEN '123-456-' || lpad(CAST(p_partkey % 10000 AS VARCHAR(9)), 4, '0') WHEN 5 THEN 'Dr. Jordan ' || p_type
+  WHEN 6 THEN 'bayside dental group ' || lower(code) WHEN 7 THEN noun || ', ' || region ELSE 'doctors in nation ' || nation || ' parish' END"""
+
+
+@query(f"""
+WITH q AS (
+  SELECT p_partkey, p_type, split_part(p_name, ' ', 2) AS noun, lpad((p_partkey % 99999)::VARCHAR, 5, '0') AS zip, n_nationkey AS nation, left(r_name, 2) AS code, r_name AS region, lpad(n_nationkey::VARCHAR, 5, '0') AS fips, p_partkey % 9 AS form
+  FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = n_regionkey)
+SELECT p_partkey AS id, CASE form WHEN 4 THEN 'number' WHEN 5 THEN 'names' ELSE 'list' END AS kind, CASE WHEN form = 4 THEN '123456' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') END AS npi, CASE WHEN form IN (0, 1, 2, 3, 7) THEN noun END AS specialty,
+CASE WHEN form IN (1, 3, 6, 7, 8) THEN code END AS state, CASE WHEN form IN (1, 8) THEN fips END AS county, CASE WHEN form = 3 THEN 'Town ' || nation END AS city, CASE WHEN form IN (0, 2) THEN zip END AS zip5, CASE form WHEN 0 THEN 25 WHEN 2 THEN 10 END AS radius,
+CASE WHEN form = 6 THEN 'bayside dental group' END AS org_name, CASE WHEN form = 3 THEN 'john' END AS first_name, CASE WHEN form = 3 THEN 'smith' END AS last_name, CASE form WHEN 3 THEN 'john smith' WHEN 5 THEN 'Jordan ' || p_type WHEN 6 THEN 'bayside dental group' END AS name FROM q""")
 def free_text(spark, sf_dir):
-    """Free-text queries as numbers, specialties, places and names."""
-    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "nation")
-    k, words = F.col("p_partkey"), F.split("p_name", " ")
-    asked = F.when(k % 3 == 0, F.concat("p_name", F.lit(" in nation "), k % 25)).when(k % 3 == 1, F.concat(words[1], F.lit("s near NATION_"), k % 25, F.lit(" smith"))).otherwise(F.concat(F.lit("1234567893 dr "), "p_type"))
-    kinds = p.select(words[1].alias("name")).unionByName(p.select(F.col("p_type").alias("name"))).distinct().withColumn("value", F.col("name"))
-    vocabulary = interpret.phrases(kinds, "name", "specialty", "value").unionByName(interpret.phrases(n.withColumn("value", F.col("n_name")), "n_name", "place", "value"))
-    out = interpret.interpret(p.select(k.alias("id"), asked.alias("text")), vocabulary)
-    return out.withColumn("found", F.array_join(F.transform("found", lambda f: F.concat_ws("=", f["kind"], f["value"])), ";"))
+    """Free-text queries as numbers, specialties, places, distances and names."""
+    p = table(spark, sf_dir, "part")
+    world = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation = F.col("n_nationkey")
+    world = world.select(nation.alias("nation"), F.left("r_name", F.lit(2)).alias("code"), F.col("r_name").alias("region"), F.lpad(nation.cast("string"), 5, "0").alias("fips"))
+    noun = p.select(F.split("p_name", " ")[1].alias("name")).distinct().withColumn("value", F.col("name"))
+    named = lambda first, last="": F.concat(F.lit(first), nation_, F.lit(last))
+    nation_ = F.col("nation")
+    counties = world.select(named("Nation ", " County").alias("name"), F.col("code").alias("state"), "fips", nation_.alias("population"))
+    cities = world.select(named("TOWN ").alias("city"), F.col("code").alias("state"), nation_.alias("zips"))
+    known = interpret.vocabulary(noun, counties, cities, world.select("code", F.col("region").alias("name")).distinct())
+    asked = p.withColumn("nation_", F.col("p_partkey") % 25).join(world, F.col("nation_") == F.col("nation")).withColumn("noun", F.split("p_name", " ")[1]).withColumn("zip", F.lpad((F.col("p_partkey") % 99999).cast("string"), 5, "0"))
+    return interpret.interpret(asked.select(F.col("p_partkey").alias("id"), F.expr(_ASKED).alias("text")), known).drop("near_me", "notes")
