@@ -46,6 +46,14 @@ def house(c: Column) -> Column:
     return F.when(F.rlike(plain, F.lit(HOUSE)) & (rest != ""), F.named_struct(F.lit("number"), F.regexp_extract(plain, HOUSE, 1), F.lit("street"), rest))
 
 
+def building(c: Column) -> Column:
+    """(number, street) of an organisation's address: no hyphens in the number, '' for none; null without a street."""
+    plain = F.regexp_replace(F.regexp_replace(F.upper(c), r"\b(EXPRESS\s+WAY|EXPWY|EXPW|EXPR)\b", "EXPY"), r"\b(STES|SUITES)\b", "STE")
+    h, whole = house(plain), street(plain)
+    bare = F.when(whole != "", F.named_struct(F.lit("number"), F.lit(""), F.lit("street"), whole))
+    return F.coalesce(F.when(h.isNotNull(), F.named_struct(F.lit("number"), F.regexp_replace(h["number"], "-", ""), F.lit("street"), h["street"])), bare)
+
+
 def name_tokens(c: Column) -> Column:
     """The distinct telling words of a building's name, sorted; short forms are spelt out, fillers, single letters and words with digits go."""
     forms = F.create_map(*(x for k, v in NAME_FORMS.items() for x in (F.lit(k), F.array(*(F.lit(w) for w in v)))))

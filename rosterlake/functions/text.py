@@ -168,6 +168,14 @@ def same_person(last: Column, other_last: Column, other_full: Column) -> Column:
     return F.coalesce(F.when(other_last.isNotNull(), (last == other_last) | (first(last) == first(other_last))).otherwise(whole), F.lit(False))
 
 
+def facility_key(c: Column) -> Column:
+    """A facility's number, upper case; a hospital unit's, with a letter in the third place, as its hospital's."""
+    v = F.upper(F.trim(c))
+    unit = F.rlike(v, F.lit("^[0-9]{2}[STUWYMRZ][0-9]{3}$"))
+    digit = F.when(F.substring(v, 3, 1).isin("M", "R", "Z"), "1").otherwise("0")  # units of a critical access hospital, of any other
+    return F.when(unit, F.concat(F.left(v, F.lit(2)), digit, F.right(v, F.lit(3)))).otherwise(v)
+
+
 def pad_key(c: Column, width: int = 10) -> Column:
     return F.lpad(F.trim(c), width, "0")
 

@@ -73,7 +73,7 @@ def is_suite(c: Column) -> Column:
     return F.rlike(F.upper(F.coalesce(c, F.lit(""))), F.lit(SUITE))
 
 
-#: What a status in force begins with.
+# Fixed value: what a status in force begins with.
 IN_FORCE = r"^(ACTIVE|CURRENT|CLEAR|APPROVED|PERMIT ISSUED|PROBATION|MILITARY ACTIVE|RETIRED ACTIVE|A$)"
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions import text
+from rosterlake.functions import address, text
 from rosterlake.operators.ranking import latest
 
 
@@ -46,28 +46,46 @@ HUBS = 10_000
 def connected_groups(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, group): connected components of edges (a, b); group = the least id.
 
-    Min labels spread with pointer jumping; lineage is cut each round.  The labels
-    of ids with many edges are broadcast: at most HUBS ids can have more than one
-    edge in HUBS of all, so their edges are never brought together.
+    Large and small stars in turn: each node's larger neighbours are tied to its
+    least one, then its smaller ones, so paths halve and edges become stars to the
+    least id.  A round is one checkpoint; it is the last if the sum of the edges'
+    hashes stays.  Where a node's least neighbour goes back to its edges, nodes
+    with more than 2 in HUBS of all edges are broadcast (there are fewer than
+    HUBS), so no node's edges are brought together.
     """
     from rosterlake.plans.session import checkpointed
 
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a is not null and b is not null").distinct())
-    many = max(100, -(-both.count() // HUBS))
-    hubs = checkpointed(both.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > many).select(F.col("b").alias("hub")))
-    marked = checkpointed(both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left"))
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("g")))
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = checkpointed(df)
+        return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    def told(pairs: DataFrame, least: DataFrame, many: int) -> DataFrame:
+        """Each pair with its node's least neighbour m."""
+        hubs = least.filter(F.col("k") > many).select("u", F.col("m").alias("_hub"))
+        marked = pairs.join(F.broadcast(hubs), "u", "left")
+        rest = marked.filter("_hub is null").drop("_hub").join(least.filter(F.col("k") <= many).select("u", "m"), "u")
+        return rest.unionByName(marked.filter("_hub is not null").withColumnRenamed("_hub", "m"))
+
+    now, state = settled(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
-        of_hubs = labels.join(F.broadcast(hubs), F.col("id") == F.col("hub"), "left_semi")
-        near = marked.filter("hub is null").select("a", "b").join(labels, F.col("b") == F.col("id")).select("a", "g")
-        near = near.unionByName(marked.filter("hub is not null").select("a", "b").join(F.broadcast(of_hubs), F.col("b") == F.col("id")).select("a", "g"))
-        new = labels.join(near.groupBy("a").agg(F.min("g").alias("m")), F.col("id") == F.col("a")).select("id", F.least("g", "m").alias("g"))
-        jump = new.select(F.col("id").alias("j"), F.col("g").alias("gg"))
-        new = checkpointed(new.join(jump, F.col("g") == F.col("j"), "left").select("id", F.least("g", F.coalesce("gg", "g")).alias("g")))
-        if new.join(labels.withColumnRenamed("g", "was"), "id").filter("g <> was").isEmpty():
-            return new.withColumnRenamed("g", "group")
-        labels = new
-    raise RuntimeError(f"connected_groups: not settled after {rounds} rounds")
+        if not state[0]:
+            break
+        many = max(100, -(-2 * state[0] // HUBS))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = told(both, least, many).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        floor = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = told(large, floor, many).filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        now, after = settled(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
+        if after == state:
+            break
+        state = after
+    else:
+        raise RuntimeError(f"connected_groups: not settled after {rounds} rounds")
+    stars = now.select(F.col("u").alias("id"), F.col("v").alias("group"))
+    alone = edges.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("group"))
+    every = stars.unionByName(stars.select(F.col("group").alias("id"), "group").distinct())
+    return every.unionByName(alone.distinct().join(every.select("id"), "id", "left_anti"))
 
 
 # Kinds of ties between the numbers of one organisation, as bits.
@@ -124,7 +142,9 @@ def organisation_ties(orgs: DataFrame) -> DataFrame:
 
 def organisation_groups(orgs: DataFrame, rank: Column, updated: str) -> DataFrame:
     """(npi, main_npi, members, is_main, ties): the organisations that ties connect, each with its main number and the kinds of its own ties."""
-    ties = organisation_ties(orgs)
+    from rosterlake.plans.session import checkpointed
+
+    ties = checkpointed(organisation_ties(orgs))
     group = connected_groups(ties.select("a", "b").filter("a <> b"))
     own = ties.select(F.explode(F.array("a", "b")).alias("npi"), "tie").groupBy("npi").agg(F.bit_or("tie").alias("ties"))
     member = orgs.join(group, F.col("npi") == F.col("id"))
@@ -149,11 +169,75 @@ def license_matches(taxonomies: DataFrame, providers: DataFrame, licenses: DataF
     return met.filter(text.same_person(F.col("last_name"), F.col("_last"), F.col("_full"))).select("npi", "id").distinct()
 
 
-def participant_matches(participants: DataFrame, organisations: DataFrame, most: int = 5) -> DataFrame:
-    """(group_id, name, npi, candidates): participants with the organisations of the same name key, where no more than ``most`` have it."""
-    keyed = organisations.select("npi", text.name_key(F.col("org_name")).alias("key")).filter("key is not null").distinct()
-    few = keyed.withColumn("candidates", F.count("*").over(Window.partitionBy("key"))).filter(F.col("candidates") <= most)
-    return participants.withColumn("key", text.name_key(F.col("name"))).join(few, "key").drop("key")
+# The first places of a hospital's code in the list of specialties, and the kind that CMS gives a hospital.
+HOSPITAL_CODES, HOSPITAL_KIND = "28", "Hospital"
+
+
+def organisation_input(providers: DataFrame, locations: DataFrame, facilities: DataFrame, enrollments: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The organisations that ``organisation_groups`` takes, from the projected tables.
+
+    ``providers``: npi, entity_type, org_name, primary_taxonomy_code,
+    last_update_date; ``locations``: npi, is_primary, address1, zip5;
+    ``facilities``: npi, ccn, kind; ``enrollments``: npi, pac_id; ``profiles``:
+    npi, parent_name, parent_tin.  A hospital unit's CCN is its hospital's; an
+    address is a house number without hyphens and a street ('' for no number);
+    a ZIP code that isn't five digits is none.  Added: hospital (CMS ties it to
+    one, or its specialty is one), enrolled.
+    """
+    orgs = providers.filter("entity_type = 2").select("npi", "org_name", "primary_taxonomy_code", "last_update_date")
+    key = F.nullif(text.letters_key(F.col("org_name")), F.lit(""))
+    place = address.building(F.col("address1"))
+    at = locations.filter("is_primary").groupBy("npi").agg(F.min(F.struct("address1", "zip5")).alias("l")).select("npi", F.col("l.address1").alias("address1"), F.col("l.zip5").alias("zip5"))
+    ccn = facilities.filter("npi is not null and trim(ccn) <> ''").groupBy("npi").agg(F.array_sort(F.collect_set(text.facility_key(F.col("ccn")))).alias("ccns"), F.max(F.col("kind") == HOSPITAL_KIND).alias("_hospital"))
+    pac = enrollments.filter("npi is not null").groupBy("npi").agg(F.array_sort(F.collect_set("pac_id")).alias("pac_ids"))
+    parent = profiles.groupBy("npi").agg(F.max("parent_name").alias("_p"), F.max("parent_tin").alias("_t"))
+    out = orgs.join(at, "npi", "left").join(ccn, "npi", "left").join(pac, "npi", "left").join(parent, "npi", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "npi", "org_name", key.alias("name_key"), F.when(F.length("zip5") == 5, F.col("zip5")).alias("zip5"), place["number"].alias("number"), place["street"].alias("street"), F.col("primary_taxonomy_code").alias("taxonomy"),
+        F.col("last_update_date").alias("updated"), F.coalesce("ccns", none).alias("ccns"), F.coalesce("pac_ids", none).alias("pac_ids"), F.nullif(text.letters_key(F.col("_p")), F.lit("")).alias("parent_key"),
+        F.nullif(F.regexp_replace("_t", "[^0-9]", ""), F.lit("")).alias("parent_tin"), (F.coalesce("_hospital", F.lit(False)) | F.coalesce(F.startswith("primary_taxonomy_code", F.lit(HOSPITAL_CODES)), F.lit(False))).alias("hospital"), F.col("pac_ids").isNotNull().alias("enrolled"),
+    )
+
+
+def participant_matches(participants: DataFrame, organisations: DataFrame, most: int = 5, family: int = 50) -> DataFrame:
+    """(group_id, name, npi, candidates, hospital, grouped_by, grouped_value): participants (group_id, name) with the organisations of the same name.
+
+    ``organisations``: npi, org_name, hospital, ccns, parent_key, parent_tin, as
+    ``organisation_input`` has them.  Up to ``most`` of a name are all candidates;
+    more are none, unless they are a hospital and its own numbers, ``family`` at
+    most: every other one shares a facility with it, or names it or its parent,
+    by name or tax number.  A hospital without a parent is tried first, then the
+    least number.  ``grouped_by`` tells what joins a family: ``ccn`` (all share
+    one), ``parent``, ``parent_tin`` (one parent that all but one name at most),
+    else ``hospital``.  A name without letters or digits matches nothing.
+    """
+    key = F.nullif(text.letters_key(F.col("name")), F.lit(""))
+    asked = participants.select("group_id", "name", key.alias("key")).filter("key is not null")
+    one = organisations.withColumn("key", F.nullif(text.letters_key(F.col("org_name")), F.lit(""))).join(asked.select("key").distinct(), "key", "left_semi").dropDuplicates(["npi"])
+    count = one.groupBy("key").agg(F.count("*").alias("candidates"))
+    few = one.join(count.filter(F.col("candidates") <= family), "key")  # a name that more have is never gathered
+    row = F.struct("npi", "org_name", "hospital", F.coalesce("ccns", F.array().cast("array<string>")).alias("ccns"), "parent_key", "parent_tin")
+    group = few.groupBy("key", "candidates").agg(F.array_sort(F.collect_list(row)).alias("o"))
+    joined = F.coalesce  # null-safe equality of what both name
+    owns = lambda o, h: joined(F.arrays_overlap(o["ccns"], h["ccns"]), F.lit(False)) | joined((o["parent_key"] == F.col("key")) | (o["parent_key"] == h["parent_key"]), o["parent_key"] == F.col("key"), F.lit(False)) | joined(o["parent_tin"] == h["parent_tin"], F.lit(False))
+    heads = F.filter("o", lambda h: F.coalesce(h["hospital"], F.lit(False)) & F.forall("o", lambda o: (o["npi"] == h["npi"]) | owns(o, h)))
+    free = F.filter(heads, lambda h: h["parent_key"].isNull() & h["parent_tin"].isNull())
+    head = F.coalesce(F.get(free, F.lit(0)), F.get(heads, F.lit(0)))
+    group = group.withColumn("head", F.when(F.col("candidates") > 1, head)).filter((F.col("candidates") <= most) | F.col("head").isNotNull())
+    shared = F.aggregate("o", F.get("o", F.lit(0))["ccns"], lambda acc, o: F.array_intersect(acc, o["ccns"]))
+
+    def parent(c: str) -> Column:
+        """The one parent that all but one of them name at most."""
+        given = F.array_distinct(F.filter(F.transform("o", lambda o: o[c]), lambda x: x.isNotNull()))
+        lacking = F.size(F.filter("o", lambda o: o[c].isNull()))
+        return F.when((F.size(given) == 1) & (lacking <= 1), F.get(given, F.lit(0)))
+
+    by = F.when(F.size(shared) > 0, "ccn").when(parent("parent_key").isNotNull(), "parent").when(parent("parent_tin").isNotNull(), "parent_tin").otherwise("hospital")
+    value = F.when(F.size(shared) > 0, F.array_min(shared)).when(parent("parent_key").isNotNull(), parent("parent_key")).when(parent("parent_tin").isNotNull(), F.lit(None).cast("string")).otherwise(F.trim("head.org_name"))
+    hospital = F.col("head").isNotNull()
+    linked = group.select("key", "candidates", hospital.alias("hospital"), F.when(hospital, by).alias("grouped_by"), F.when(hospital, value).alias("grouped_value"), F.explode("o.npi").alias("npi"))
+    return asked.join(linked, "key").select("group_id", "name", "npi", "candidates", "hospital", "grouped_by", "grouped_value")
 
 
 def one_per_group(df: DataFrame, group: str, main_first: Column, key: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterlake.functions import geo
 from rosterlake.operators import filters
 
 CURRENT, CHECK, STALE = 1, 2, 3
@@ -70,6 +71,89 @@ def conflict(df: DataFrame, other: DataFrame, on: dict[str, str], agrees: DataFr
     return filters.lacking(filters.having(df, other, on), agrees, on)
 
 
+# Years without update that ask for a check and that make a record stale, and miles within which two places are one.
+CHECK_YEARS, STALE_YEARS, SAME_AREA_MILES = 5, 10, 25
+
+
+def _sign(name: str, keys: DataFrame) -> DataFrame:
+    return keys.select("npi", F.lit(REASONS[name]).alias("bit"))
+
+
+def license_reasons(licenses: DataFrame, activity: DataFrame, as_of: Column) -> DataFrame:
+    """(npi, bit): holders of a lapsed licence (npi, kind, status, expiration_date) without one in force, and of one that says deceased."""
+    own = licenses.filter("kind = 'license'")
+    lapsed = own.filter((F.col("expiration_date") < as_of) | filters.is_inactive(F.col("status"))).select("npi").distinct()
+    current = activity.filter(F.col("activity").bitwiseAND(F.lit(ACTIVITY["current_license"])) != 0)
+    deceased = own.filter(F.contains(F.upper(F.coalesce("status", F.lit(""))), F.lit("DECEASED"))).select("npi").distinct()
+    return _sign("license_lapsed", filters.lacking(lapsed, current, {"npi": "npi"})).unionByName(_sign("deceased", deceased))
+
+
+def stopped_billing(years: DataFrame, current: DataFrame) -> DataFrame:
+    """(npi, bit): who billed or prescribed in an older year (npi, data_year) than the newest of ``current`` (npi, data_year), and isn't in it."""
+    newest = current.agg(F.coalesce(F.max("data_year"), F.lit(0)).alias("_newest"))
+    old = years.join(F.broadcast(newest)).filter(F.col("data_year") < F.col("_newest")).select("npi").distinct()  # one row
+    return _sign("medicare_stopped", filters.lacking(old, current, {"npi": "npi"}))
+
+
+def address_reasons(listed: DataFrame, locations: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(npi, bit): whose practices another source lists (npi, zip5, state, city), none of them near one of the record's locations.
+
+    Near: the same ZIP code, the same city and state, or ZIP centres less than SAME_AREA_MILES apart.  A source without a known ZIP code says nothing.
+    """
+    c = centroids.select("zip5", "lat", "lon")
+    theirs = listed.select("npi", "zip5", "state", "city").distinct().join(c, "zip5", "left")
+    known = theirs.filter("lat is not null").select("npi").distinct()
+    ours = locations.select("npi", F.col("zip5").alias("_zip"), F.col("state").alias("_state"), F.col("city").alias("_city")).distinct().join(c.select(F.col("zip5").alias("_zip"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "_zip", "left")
+    near = (F.col("zip5") == F.col("_zip")) | ((F.col("state") == F.col("_state")) & (F.col("city") == F.col("_city"))) | (geo.haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) < SAME_AREA_MILES)
+    agrees = theirs.join(ours, "npi").filter(near).select("npi").distinct()
+    return _sign("other_address", filters.lacking(known, agrees, {"npi": "npi"}))
+
+
+def specialty_reasons(clinicians: DataFrame, taxonomies: DataFrame, code_category: DataFrame, specialty_category: DataFrame) -> DataFrame:
+    """(npi, bit): whose primary specialty elsewhere (npi, primary_specialty) is known, and none of whose codes lies in one of its categories."""
+    wanted = clinicians.select("npi", F.col("primary_specialty").alias("specialty")).join(specialty_category, "specialty").select("npi", "category").distinct()
+    own = taxonomies.join(code_category.withColumnRenamed("code", "taxonomy_code"), "taxonomy_code").select("npi", "category").distinct()
+    agrees = wanted.join(own, ["npi", "category"], "left_semi").select("npi").distinct()
+    return _sign("other_specialty", filters.lacking(wanted.select("npi").distinct(), agrees, {"npi": "npi"}))
+
+
+def own_reasons(providers: DataFrame, locations: DataFrame, activity: DataFrame, map_points: DataFrame, address_types: DataFrame, as_of: Column) -> DataFrame:
+    """(npi, bit): what a record's own row, its primary location and its signs of practice say.
+
+    ``providers``: npi, last_update_date, phone; ``locations``: npi, is_primary,
+    addr_key, zip5, address1, phone; ``map_points``: npi, addr_key, source;
+    ``address_types``: addr_key, building_type; one row per key each.
+    """
+    first = locations.filter("is_primary").select("npi", "addr_key", "zip5", "address1", F.col("phone").alias("_phone"))
+    out = providers.select("npi", "last_update_date", "phone").join(activity.select("npi", "activity"), "npi", "left").join(first, "npi", "left")
+    out = out.join(map_points.select("npi", "addr_key", "source"), ["npi", "addr_key"], "left").join(address_types.select("addr_key", "building_type"), "addr_key", "left")
+    since = lambda years: F.coalesce(F.col("last_update_date") < F.add_months(as_of, -12 * years), F.lit(False))
+    tests = {
+        "not_updated_5": since(CHECK_YEARS), "not_updated_10": since(STALE_YEARS), "no_activity": F.col("activity").isNull(),
+        "listing_only": since(STALE_YEARS) & F.coalesce(F.col("activity") == ACTIVITY["map_listing"], F.lit(False)),
+        "not_mapped": F.col("zip5").isNotNull() & (F.coalesce("source", F.lit("zip")) == "zip"), "po_box": filters.is_po_box(F.col("address1")),
+        "no_phone": F.coalesce("_phone", "phone").isNull(), "home_address": F.coalesce(F.col("building_type") == "residential", F.lit(False)),
+    }
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(test, REASONS[n]).otherwise(0) for n, test in tests.items()))
+    return out.select("npi", bits.alias("bit"))
+
+
+def labelled(reasons: list[DataFrame], activity: DataFrame, groups: DataFrame, ages: DataFrame, as_of: Column) -> DataFrame:
+    """(npi, label, reasons, activity, other_npi) from the records' own reasons (first) and those of other tables.
+
+    All reasons meet in one shuffle; then members of an organisation with a
+    current number get that reason, which can't change a current label.  Reasons
+    of keys without a record are left out.
+    """
+    own, *others = reasons
+    records = own.select("npi").distinct()
+    every = reduce(DataFrame.unionByName, others, own).groupBy("npi").agg(F.bit_or("bit").alias("reasons")).join(records, "npi", "left_semi")
+    told = every.join(activity.select("npi", "activity"), "npi", "left").withColumn("activity", F.coalesce("activity", F.lit(0))).withColumn("label", classify(F.col("reasons")))
+    other = other_current(told, groups, ages, as_of)
+    out = told.join(other, "npi", "left").withColumn("reasons", F.when(F.col("other_npi").isNotNull(), F.col("reasons").bitwiseOR(F.lit(REASONS["other_current"]))).otherwise(F.col("reasons")))
+    return out.select("npi", classify(F.col("reasons")).alias("label"), "reasons", "activity", "other_npi")
+
+
 # Fixed value: years for which a number that was issued or updated isn't a leftover.
 LEFTOVER_YEARS = 2
 

@@ -53,16 +53,6 @@ def license_match(spark, sf_dir):
     return linkage.license_matches(listed, people, published)
 
 
-@query("""
-WITH o AS (SELECT p_partkey AS npi, upper(p_name) AS k FROM part), u AS (SELECT s_suppkey AS group_id, (SELECT p_name FROM part WHERE p_partkey = s_suppkey) || ' LLC' AS name FROM supplier)
-SELECT group_id, name, npi, candidates FROM (SELECT u.group_id, u.name, o.npi, count(*) OVER (PARTITION BY group_id) AS candidates FROM u JOIN o ON array_to_string(list_sort(list_distinct(string_split(upper(replace(u.name, ' LLC', '')), ' '))), ' ') = array_to_string(list_sort(list_distinct(string_split(k, ' '))), ' ')) WHERE candidates <= 60""")
-def participant_match(spark, sf_dir):
-    """Participants with the organisations of the same name key, unless too many have it."""
-    p, s = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    named = s.join(p, F.col("p_partkey") == F.col("s_suppkey"), "left").select(F.col("s_suppkey").alias("group_id"), F.concat("p_name", F.lit(" LLC")).alias("name"))
-    return linkage.participant_matches(named, p.select(F.col("p_partkey").alias("npi"), F.col("p_name").alias("org_name")), 60)
-
-
 # --- groups and quality -----------------------------------------------------------------------------------------------
 
 
@@ -379,24 +369,17 @@ AND NOT EXISTS (SELECT 1 FROM o WHERE o.npi = f.npi AND o_orderkey % 40 = 0) AND
 """
 
 
-def _filters():
-    return [
-        searching.SearchFilter(
-            taxonomy_codes=["T10", "T11", "T22"], state=f"S{n}", bbox=(10.0, 5.0, 160.0, 80.0), address_type="commercial", last_name="Fam", entity_type=1, order_refer="part_b", accepts_assignment=True,
-            medicare_active=True, min_years=10, excluded=False, new_within_days=800,
-        )
-        for n in (3, 4, 5, 6, 7)
-    ]
+def _filter():
+    return searching.SearchFilter(
+        taxonomy_codes=["T10", "T11", "T22"], state=[f"S{n}" for n in (3, 4, 5, 6, 7)], bbox=(10.0, 5.0, 160.0, 80.0), address_type="commercial", last_name="Fam", entity_type=1, order_refer="part_b", accepts_assignment=True,
+        medicare_active=True, min_years=10, excluded=False, new_within_days=800,
+    )
 
 
 @query(_FOUND_SQL + "SELECT npi, sort_name, enumeration_date FROM m")
 def search_all(spark, sf_dir):
     """Every provider that meets a filter of a dozen conditions, for five states."""
-    t = _tables(spark, sf_dir)
-    first, *rest = (searching.search_all(t, f, "2022-06-01").select("npi", "sort_name", "enumeration_date") for f in _filters())
-    for df in rest:
-        first = first.unionByName(df)
-    return first
+    return searching.search_all(_tables(spark, sf_dir), _filter(), "2022-06-01").select("npi", "sort_name", "enumeration_date")
 
 
 @query(_RAW_SQL + """

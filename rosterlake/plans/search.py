@@ -49,7 +49,7 @@ class Tables:
 class SearchFilter:
     npi: str | None = None
     taxonomy_codes: list[str] = field(default_factory=list)
-    state: str | None = None
+    state: str | list[str] | None = None  #: one or several
     city: str | None = None
     county: str | None = None
     zip5: str | None = None
@@ -135,7 +135,7 @@ def matches(t: Tables, f: SearchFilter, today: str) -> DataFrame:
         out = filters.having(out, t.taxonomy, {"npi": "npi"}, F.col("taxonomy_code").isin(*f.taxonomy_codes))
     place = t.location
     if f.state:
-        place = place.filter(F.col("state") == f.state.upper())
+        place = place.filter(F.col("state").isin(*(x.upper() for x in ([f.state] if isinstance(f.state, str) else f.state))))
     if f.zip5:
         place = place.filter(F.col("zip5") == f.zip5)
     if f.city:

@@ -317,10 +317,16 @@ def payment_products(raw: DataFrame, slots: int = 5) -> DataFrame:
     return rows.withColumn("slug", text.slug(F.col("name"))).filter("slug <> ''")
 
 
-def most_used(products: DataFrame, column: str) -> DataFrame:
-    """(slug, column): the value with most money, then most rows, then the least."""
-    used = products.filter(F.trim(F.coalesce(column, F.lit(""))) != "")
-    return ranking.mode_value(used, ["slug"], column, "amount").select("slug", column)
+def most_used(products: DataFrame, columns: list[str]) -> DataFrame:
+    """(slug, columns): of each column the value with most money, then most rows, then the least.
+
+    All columns go through one shuffle of (slug, column, value), then one of the best of each.
+    """
+    pair = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns)))
+    each = products.select("slug", "amount", pair.alias("p")).select("slug", "amount", "p.*").filter(F.trim(F.coalesce("value", F.lit(""))) != "")
+    used = each.groupBy("slug", "column", "value").agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("m"), F.count("*").alias("n"))
+    picks = [F.min(F.when(F.col("column") == c, F.struct((-F.col("m")).alias("m"), (-F.col("n")).alias("n"), "value"))).alias(f"_{c}") for c in columns]
+    return used.groupBy("slug").agg(*picks).select("slug", *(F.col(f"_{c}.value").alias(c) for c in columns))
 
 
 def open_payments(raw: Tables) -> Tables:
@@ -333,8 +339,7 @@ def open_payments(raw: Tables) -> Tables:
     products = payment_products(r)
     pairs = products.filter("npi is not null").groupBy("slug", "npi").agg(_money("amount").alias("amount"), records)
     product = products.groupBy("slug").agg(_money("amount").alias("amount"), records, F.count_distinct("company_id").alias("companies"), F.count_distinct("npi").alias("providers"))
-    for c in SLOT_COLUMNS:
-        product = product.join(most_used(products, c), "slug", "left")
+    product = product.join(most_used(products, list(SLOT_COLUMNS)), "slug", "left")
     product = product.withColumn("name", F.coalesce("name", "slug"))
     company = products.filter("company_id is not null").groupBy("company_id", "slug").agg(F.upper(F.max("name")).alias("product"), F.max("kind").alias("kind"), F.max("category").alias("category"), _money("amount").alias("amount"), records)
     placed = pairs.join(registry, "npi")

@@ -31,20 +31,22 @@ def _ends(sample: str) -> str:
     return "\n"
 
 
-def _widths(lines: list[str], sep: str, quote: str) -> list[int] | None:
-    """Each record's number of cells; None where a quoted cell isn't closed or goes on behind its quote."""
+def _read(lines: list[str], sep: str, quote: str) -> tuple[list[int], int] | None:
+    """Each record's number of cells, and how many cells begin with a quote that was left in them; None where a quoted cell isn't closed or goes on behind its quote."""
     try:
-        return [len(r) for r in csv.reader(lines, delimiter=sep, quotechar=quote, doublequote=True, strict=True) if r]
+        rows = [r for r in csv.reader(lines, delimiter=sep, quotechar=quote, doublequote=True, strict=True) if r]
     except csv.Error:
         return None
+    return [len(r) for r in rows], sum(c.strip().startswith(QUOTES) for r in rows for c in r)
 
 
 def sniff(sample: str, whole: bool = False) -> Dialect:
     """The dialect of a sample of the first lines (cut anywhere unless ``whole``).
 
     For each separator and quote the sample is read; what gives most records the
-    header's number of cells wins, then the most cells, then the double quote,
-    then the order of SEPARATORS.  One column is only taken where no separator
+    header's number of cells wins, then what leaves fewest cells with a quote at
+    their start, then the most cells, then the double quote, then the order of
+    SEPARATORS.  One column is only taken where no separator
     occurs in the header.
     """
     bom = sample.startswith("﻿")
@@ -57,15 +59,16 @@ def sniff(sample: str, whole: bool = False) -> Dialect:
     best = None
     for q, quote in enumerate(QUOTES):
         for s, sep in enumerate(SEPARATORS):
-            widths = _widths(lines, sep, quote)
-            for cut in range(len(lines) - 1, 0, -1) if widths is None and not whole else ():  # the sample ends inside a quoted cell
+            read = _read(lines, sep, quote)
+            for cut in range(len(lines) - 1, 0, -1) if read is None and not whole else ():  # the sample ends inside a quoted cell
                 if len(lines) - cut > 50:
                     break
-                if (widths := _widths(lines[:cut], sep, quote)) is not None:
+                if (read := _read(lines[:cut], sep, quote)) is not None:
                     break
-            if widths and widths[0] > 1:
+            if read and read[0] and read[0][0] > 1:
+                widths, left = read
                 even = sum(w == widths[0] for w in widths) / len(widths)
-                score = (even, widths[0], -q, -s)
+                score = (even, -left, widths[0], -q, -s)
                 if best is None or score > best[0]:
                     best = (score, sep, quote)
     if best is None:

@@ -233,18 +233,64 @@ def test_changes_and_their_texts(spark):
     assert dict(map(tuple, changes.described(log, ["k"], {"moved": "moved from {was} to {is}", "added": "new"}).collect())) == {2: "moved from b to x", 4: "new"}
 
 
-def test_free_text_queries(spark):
-    kinds = spark.createDataFrame([("Chiropractor", "CH"), ("Nurse (Practitioner)", "NP"), ("Surgery", "SU")], "name string, value string")
-    towns = spark.createDataFrame([("Suffolk County", "36103"), ("St. James", "SJ"), ("New York", "NY")], "name string, value string")
-    words = interpret.phrases(kinds, "name", "specialty", "value").unionByName(interpret.phrases(towns, "name", "place", "value"))
-    asked = ["chiropractors in Suffolk County, NY", "nurse Saint James", "1234567893", "Dr. Smith near new york", "surgeries suffolk", "", None]
-    got = {r["id"]: (r["npi"], [tuple(f) for f in r["found"]], r["name"]) for r in interpret.interpret(spark.createDataFrame(list(enumerate(asked)), "id int, text string"), words).collect()}
-    assert got[0] == (None, [("specialty", "CH"), ("place", "36103")], "ny")
-    assert got[1] == (None, [("specialty", "NP"), ("place", "SJ")], None)
-    assert got[2] == ("1234567893", [], None)
-    assert got[3] == (None, [("place", "NY")], "dr smith")
-    assert got[4] == (None, [("specialty", "SU"), ("place", "36103")], None)
-    assert got[5] == (None, [], None)
+@pytest.fixture(scope="module")
+def known(spark):
+    kinds = [("Chiropractor", "CH"), ("Nurse (Practitioner)", "NP"), ("Surgery", "SU"), ("Dentist", "DE"), ("Doctor", "DR"), ("Hospital", "HO"), ("Family Doctor", "FD"), ("Cardiology", "CA")]
+    counties = [("Suffolk County", "NY", "36103", 1_520_000), ("Suffolk County", "MA", "25025", 770_000), ("St. Louis County", "MO", "29189", 990_000), ("Orleans Parish", "LA", "22071", 380_000)]
+    cities = [("BROOKLYN", "NY", 40), ("BROOKLYN", "MI", 1), ("SAINT JAMES", "NY", 1), ("NEW YORK", "NY", 90), ("PORTLAND", "OR", 30), ("PORTLAND", "ME", 6), ("STONY BROOK", "NY", 2)]
+    states = [("NY", "New York"), ("MA", "Massachusetts"), ("MO", "Missouri"), ("OR", "Oregon"), ("ME", "Maine"), ("IN", "Indiana"), ("LA", "Louisiana")]
+    frames = [spark.createDataFrame(r, s) for r, s in ((kinds, "name string, value string"), (counties, "name string, state string, fips string, population int"), (cities, "city string, state string, zips int"), (states, "code string, name string"))]
+    return interpret.vocabulary(*frames).cache()
+
+
+ASKED = {
+    "1234-567-893": {"kind": "number", "npi": "1234567893"},
+    " 123 456 7893 ": {"kind": "number", "npi": "1234567893"},
+    "12345678934": {"kind": "names", "name": "12345678934"},
+    "Chiropractors in Suffolk County, NY": {"kind": "list", "specialty": "CH", "state": "NY", "county": "36103"},
+    "dentists suffolk county": {"kind": "list", "specialty": "DE", "state": "NY", "county": "36103", "notes": ["Suffolk County: also in MA"]},
+    "dentists in suffolk county ma": {"kind": "list", "specialty": "DE", "state": "MA", "county": "25025"},
+    "dentists saint louis county": {"kind": "list", "specialty": "DE", "state": "MO", "county": "29189"},
+    "surgeries orleans parish": {"kind": "list", "specialty": "SU", "state": "LA", "county": "22071"},
+    "chiropractors within 25 miles of 11701": {"kind": "list", "specialty": "CH", "zip5": "11701", "radius": 25},
+    "dentists near 11701-4321": {"kind": "list", "specialty": "DE", "zip5": "11701", "radius": 10},
+    "dentists 11701": {"kind": "list", "specialty": "DE", "zip5": "11701"},
+    "dentist 500 mi 11701": {"kind": "list", "specialty": "DE", "zip5": "11701", "radius": 100},
+    "dentists within 5 miles": {"kind": "list", "specialty": "DE", "notes": ["a distance needs a ZIP code"]},
+    "nurses in nyc": {"kind": "list", "specialty": "NP", "state": "NY", "city": "New York"},
+    "nurses in new york city": {"kind": "list", "specialty": "NP", "state": "NY", "city": "New York"},
+    "nurses in portland me": {"kind": "list", "specialty": "NP", "state": "ME", "city": "Portland"},
+    "nurses in portland": {"kind": "list", "specialty": "NP", "state": "OR", "city": "Portland"},
+    "cardiology brooklyn ny": {"kind": "list", "specialty": "CA", "state": "NY", "city": "Brooklyn"},
+    "family doctor st james": {"kind": "list", "specialty": "FD", "state": "NY", "city": "Saint James"},
+    "chiropractor in": {"kind": "list", "specialty": "CH", "state": "IN"},
+    "doctors in Indiana": {"kind": "list", "specialty": "DR", "state": "IN"},
+    "dentist john smith in brooklyn": {"kind": "list", "specialty": "DE", "state": "NY", "city": "Brooklyn", "first_name": "john", "last_name": "smith", "name": "john smith"},
+    "dentist smith ny": {"kind": "list", "specialty": "DE", "state": "NY", "last_name": "smith", "name": "smith"},
+    "bayside dental group ny": {"kind": "list", "state": "NY", "org_name": "bayside dental group", "name": "bayside dental group"},
+    "Stony Brook University Hospital": {"kind": "names", "name": "Stony Brook University Hospital"},
+    "hospitals in stony brook": {"kind": "list", "specialty": "HO", "state": "NY", "city": "Stony Brook"},
+    "doctor john smith": {"kind": "names", "name": "doctor john smith"},
+    "doctor jane brooklyn": {"kind": "names", "name": "doctor jane brooklyn"},
+    "Brooklyn": {"kind": "names", "name": "Brooklyn"},
+    "Dr. Jordan Ellis": {"kind": "names", "name": "Jordan Ellis"},
+    "dentists near me": {"kind": "list", "specialty": "DE", "near_me": True},
+    "dr": {"kind": "empty"}, "   ": {"kind": "empty"}, "": {"kind": "empty"}, "?!": {"kind": "empty"},
+}
+
+
+def test_free_text_queries(spark, known):
+    asked = [*ASKED, None]
+    rows = interpret.interpret(spark.createDataFrame(list(enumerate(asked)), "id int, text string"), known).collect()
+    assert len(rows) == len(asked)
+    nothing = {**interpret.EMPTY, "near_me": False, "notes": []}
+    for r in rows:
+        got = r.asDict()
+        want = {"id": r["id"], **nothing, **ASKED.get(asked[r["id"]], {"kind": "empty"})}
+        assert got == want, asked[r["id"]]
+
+
+def test_suggestions(spark):
     people = spark.createDataFrame([("Suffern, Ann",)], "label string")
     places = spark.createDataFrame([("Suffield", 5), ("Suffolk", 50), ("East Suffolk", 500)], "label string, population long")
     found = interpret.suggestions("suff", spark.createDataFrame([("Surgery",)], "label string"), places, people).collect()
@@ -269,3 +315,22 @@ def test_more_projected_tables(spark):
     assert projection.incremental({"t": orgs}, {"t": orgs}, orgs, 10) is None
     shown = spark.createDataFrame([("DOE", "ANN", None, "M.D.", None), (None, None, None, None, "Acme LLC")], "l string, f string, m string, c string, o string")
     assert [r[0] for r in shown.select(projection.display_name(*(F.col(c) for c in "lfmco"))).collect()] == ["Ann Doe, M.D.", "Acme LLC"]
+
+
+# --- what was wrong ---------------------------------------------------------------------------------------------------
+
+
+def test_a_period_with_its_defaults(spark):
+    now = spark.createDataFrame([(1, "active", "a", 1), (2, "active", "b", 1)], "k int, status string, v string, from_period int")
+    listed = spark.createDataFrame([(1, "active", "x"), (3, "active", "c")], "k int, status string, v string")
+    got = sorted((r["k"], r["status"], r["change"], r["moved"], r["special_changed"]) for r in history.apply_period(now, listed, "k", ["v"], F.lit(2)).collect())
+    assert got == [(1, "active", "changed", False, False), (2, "gone", "gone", False, False), (3, "active", "new", False, False)]
+
+
+def test_a_leftover_is_old(spark):
+    labels = spark.createDataFrame([(i, 1 if i == 1 else 2, 5 if i == 1 else 0) for i in range(1, 7)], "npi int, label int, activity int")
+    groups = spark.createDataFrame([(i, 1, i == 1) for i in range(1, 7)], "npi int, main_npi int, is_main boolean")
+    dates = {1: (None, None), 2: ("2015-01-01", "2019-01-01"), 3: ("2015-01-01", "2023-06-01"), 4: ("2023-06-01", None), 5: (None, None), 6: ("2022-06-01", "2020-01-01")}
+    ages = spark.createDataFrame([(k, *v) for k, v in dates.items()], "npi int, e string, u string").select("npi", F.col("e").cast("date").alias("enumeration_date"), F.col("u").cast("date").alias("last_update_date"))
+    got = {r["npi"] for r in quality.other_current(labels, groups, ages, F.lit("2024-06-01").cast("date")).collect()}
+    assert got == {2, 5}  # 6 was issued exactly two years before
