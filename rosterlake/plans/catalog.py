@@ -621,4 +621,4 @@ def keyed_upsert(spark, sf_dir):
 
 
 # The queries of further modules register themselves here.
-from rosterlake.plans import catalog_builders, catalog_more, catalog_places, catalog_records  # noqa: E402, F401
+from rosterlake.plans import catalog_builders, catalog_directories, catalog_more, catalog_places, catalog_records  # noqa: E402, F401
