@@ -62,7 +62,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int, salt_by: list[str]) -> DataFrame:
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int, salt_by: list[str], how: str = "inner") -> DataFrame:
     """Join with one row per key of ``right``, which has the key's number of rows of ``left`` as ``k``; ``rows`` is their sum.
 
     A key with more than 2 rows / BROADCAST_ROWS of them is dealt over so many
@@ -74,7 +74,7 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], rows: int, sa
     hubs = right.filter(F.col("k") > many).select(*keys, salts.alias("_salts"))
     left = left.join(F.broadcast(hubs), keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*salt_by), F.col("_salts"))).cast("int")).drop("_salts")
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("k") > many, salts - 1).otherwise(0))))
-    return left.join(right.drop("k"), [*keys, "_salt"]).drop("_salt")
+    return left.join(right.drop("k"), [*keys, "_salt"], how).drop("_salt")
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:

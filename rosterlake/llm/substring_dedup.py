@@ -8,7 +8,8 @@ some shift below PERIOD both i + shift and j + shift are cover positions.
 
 1. Anchors are counted; only those of two or more rows are kept.
 2. The rows that hold such anchors get them by a join (a bitmap only spares the
-   exchange of others), and their texts are written once.
+   exchange of others), and their texts are written once; rows whose whole text a
+   smaller doc_id has are repeats from end to end and go no further.
 3. Each anchor is extended: the windows of ``words`` words around it, once for
    each row, are brought together by their hash (64 bits and 32 more, so that
    windows of one hash are equal).  All but those of the smallest doc_id are
@@ -40,8 +41,11 @@ from rosterlake.llm.common import BROADCAST_ROWS, bit_of, bitmap, groups_of, joi
 WORDS = 50
 #: A perfect difference set: each residue but 0 is one difference.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: Rows that hold an anchor, from which on its windows are counted before they are brought together.
-HOT = 256
+#: Rows that hold an anchor, from which on its windows are counted before they are brought together. A window of which no
+#: anchor is held so often has at most 31 / 6 times as many rows, about a megabyte in one task.
+HOT = 4096
+#: A row's key: its doc_id and two hashes of its text, of 64 and 32 bits; rows equal in it are one.
+ROW = ["doc_id", "t", "u"]
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -96,7 +100,7 @@ class Cover:
         self.residues[list(COVER)] = True
 
     def anchors(self, base: DataFrame, bits: bytes | None = None) -> DataFrame:
-        """(hash) or, of those in the bitmap ``bits``, (hash, doc_id, t): each row's distinct anchors."""
+        """(hash) or, of those in the bitmap ``bits``, (hash, doc_id, t, u): each row's distinct anchors."""
         kind = base.schema["doc_id"].dataType.simpleString()
         sent = None if bits is None else base.sparkSession.sparkContext.broadcast(bits)
 
@@ -116,12 +120,12 @@ class Cover:
                         yield pa.RecordBatch.from_arrays([found], ["hash"])
                     else:
                         rows = pa.array(owner[keep] + start)
-                        yield pa.RecordBatch.from_arrays([found, batch.column("doc_id").take(rows), batch.column("t").take(rows)], ["hash", "doc_id", "t"])
+                        yield pa.RecordBatch.from_arrays([found, *(batch.column(c).take(rows) for c in ROW)], ["hash", *ROW])
 
-        return base.select("doc_id", "t", "text").mapInArrow(run, "hash long" if bits is None else f"hash long, doc_id {kind}, t long")
+        return base.select(*ROW, "text").mapInArrow(run, "hash long" if bits is None else f"hash long, doc_id {kind}, t long, u long")
 
     def windows(self, flagged: DataFrame, hot: list[int]) -> DataFrame:
-        """(h, c, hot, doc_id, t): the distinct windows around the anchors of rows (doc_id, t, text, anchors); hot: one of its runs is in the list."""
+        """(h, c, hot, doc_id, t, u): the distinct windows around the anchors of rows (doc_id, t, u, text, anchors); hot: one of its runs is in the list."""
         kind = flagged.schema["doc_id"].dataType.simpleString()
         known = flagged.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, dtype=np.int64)))
 
@@ -141,9 +145,9 @@ class Cover:
                         c = runs(mix(words ^ _SECOND), places, self.words).view(np.int64).astype(np.int32)
                     common = self.spread(np.isin(every, often))[places] if len(often) else np.zeros(len(places), bool)
                     row = pa.array(np.full(len(places), i))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(common), batch.column("doc_id").take(row), batch.column("t").take(row)], ["h", "c", "hot", "doc_id", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.array(common), *(batch.column(c).take(row) for c in ROW)], ["h", "c", "hot", *ROW])
 
-        return flagged.select("doc_id", "t", "text", "anchors").mapInArrow(run, f"h long, c int, hot boolean, doc_id {kind}, t long")
+        return flagged.select(*ROW, "text", "anchors").mapInArrow(run, f"h long, c int, hot boolean, doc_id {kind}, t long, u long")
 
     def spread(self, anchors: np.ndarray) -> np.ndarray:
         """For each window: whether an anchor inside it is marked."""
@@ -151,17 +155,17 @@ class Cover:
         return sums[PERIOD:] > sums[:-PERIOD] if len(sums) > PERIOD else np.zeros(0, bool)
 
     def without(self, rows: DataFrame) -> DataFrame:
-        """Rows (given, text, gone: hashes of repeats or null) without the words that repeats cover: their columns, the new text and n_removed."""
+        """Rows (given, text, gone: hashes of repeats or null, whole) without the words that repeats cover: their columns, the new text and n_removed."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                gone, out, removed = batch.column("gone"), [], []
+                gone, whole, out, removed = batch.column("gone"), batch.column("whole").to_pylist(), [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     drop = np.zeros(0, bool)
-                    if gone[i].is_valid:
+                    if whole[i] or gone[i].is_valid:
                         data, starts, ends, words, first, counts = read_words(_raw([text]))
                         _, at = starts_of(first, counts, self.words)
-                        hit = np.isin(runs(words, at, self.words).view(np.int64), gone[i].values.to_numpy(zero_copy_only=False))
+                        hit = np.ones(len(at), bool) if whole[i] else np.isin(runs(words, at, self.words).view(np.int64), gone[i].values.to_numpy(zero_copy_only=False))
                         edge = np.zeros(len(words) + 1, dtype=np.int64)
                         edge[: len(hit)] += hit
                         edge[self.words : self.words + len(hit)] -= hit
@@ -173,7 +177,7 @@ class Cover:
                 yield pa.RecordBatch.from_arrays([batch.column("given"), pa.array(out, pa.string()), pa.array(removed, pa.int64())], ["given", "text", "n_removed"])
 
         schema = f"given {rows.schema['given'].dataType.simpleString()}, text string, n_removed long"
-        return rows.select("given", "text", "gone").mapInArrow(run, schema)
+        return rows.select("given", "text", "gone", "whole").mapInArrow(run, schema)
 
 
 def _in(bits: bytes, df: DataFrame, column: str) -> Column:
@@ -192,43 +196,57 @@ def _smaller(least: str) -> Column:
     return F.col(least).isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col(least)))
 
 
+def _same_row(right: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` with its key renamed, and the condition that a row has it; null doc_ids are equal."""
+    keys = right.select(*(F.col(c).alias(f"_{c}") for c in ROW), *columns)
+    return keys, (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+
+
 def repeats(base: DataFrame, cover: Cover) -> DataFrame | None:
-    """(doc_id, t, gone): of each row key, the hashes of its windows that start in a document with a smaller doc_id; None if no anchor is shared."""
+    """(doc_id, t, u, gone, whole) of rows with repeats: the hashes of the windows that start in a document with a smaller doc_id, or that all do; None if no anchor is shared."""
     shared = written(cover.anchors(base).groupBy("hash").agg(F.count("*").alias("k")).filter("k > 1"))
     n, total = shared.agg(F.count("*"), F.sum("k")).first()
     if not n:
         return None
     held = cover.anchors(base, bitmap(shared.select("hash")))
-    marks = written(join_dealt(held, shared, ["hash"], total, ["doc_id", "t"]).groupBy("doc_id", "t").agg(F.collect_set("hash").alias("anchors")))
-    # Rows of equal doc_id and text are one; a key is compared with nulls equal.
-    near = base.filter(_in(bitmap(marks.select("t")), base, "t")).select("doc_id", "t", "text")
-    both = marks.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "anchors")
-    flagged = written(near.join(both, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_t"))
+    marks = written(join_dealt(held, shared, ["hash"], total, ROW).groupBy(*ROW).agg(F.collect_set("hash").alias("anchors")))
+    texts = written(marks.groupBy("t", "u").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1"))
+    alike = texts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    if alike:
+        marks = written(join_dealt(marks, texts, ["t", "u"], alike, ["doc_id"], "left").withColumn("whole", F.coalesce(_smaller("least"), F.lit(False))).drop("least"))
+    else:
+        marks = marks.withColumn("whole", F.lit(False))
+    own = marks.filter("not whole")
+    keys, same = _same_row(own, ["anchors"])
+    near = base.filter(_in(bitmap(own.select("t")), base, "t")).select(*ROW, "text")
+    flagged = written(near.join(keys, same).select(*ROW, "text", "anchors"))
     least_k = max(cover.hot, -(-2 * total // BROADCAST_ROWS))  # fewer than BROADCAST_ROWS anchors have more
     found = cover.windows(flagged, [r["hash"] for r in shared.filter(F.col("k") > least_k).select("hash").toLocalIterator()])
     window = Window.partitionBy("h", "c")
-    cold = found.filter("not hot").select("h", "doc_id", "t", F.min("doc_id").over(window).alias("least")).filter(_smaller("least"))
+    cold = found.filter("not hot").select("h", *ROW, F.min("doc_id").over(window).alias("least")).filter(_smaller("least"))
     hot = found.filter("hot").drop("hot")
     firsts = written(hot.groupBy("h", "c").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1"))
     many = firsts.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    gone = cold.select("h", "doc_id", "t")
+    gone = cold.select("h", *ROW)
     if many:
-        gone = gone.unionByName(join_dealt(hot, firsts, ["h", "c"], many, ["doc_id", "t"]).filter(_smaller("least")).select("h", "doc_id", "t"))
-    return written(gone.groupBy("doc_id", "t").agg(F.collect_set("h").alias("gone")))
+        gone = gone.unionByName(join_dealt(hot, firsts, ["h", "c"], many, ROW).filter(_smaller("least")).select("h", *ROW))
+    gone = gone.groupBy(*ROW).agg(F.collect_set("h").alias("gone")).withColumn("whole", F.lit(False))
+    return written(gone.unionByName(marks.filter("whole").select(*ROW, F.lit(None).cast("array<bigint>").alias("gone"), "whole")))
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
     """The rows of ``docs``, all columns, without the words that repeats cover; n_words and n_removed are added."""
     cover = Cover(words, hot)
-    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("given"))
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select("doc_id", "text", F.xxhash64(text).alias("t"), F.crc32(text.cast("binary")).alias("u"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("given"))
     gone = repeats(base, cover)
-    rows = base.select("given", "text", F.lit(0).cast("long").alias("n_removed"))
+    untouched = lambda df: df.select("given", "text", F.lit(0).cast("long").alias("n_removed"))
+    rows = untouched(base)
     if gone is not None:
         maybe = base.withColumn("maybe", _in(bitmap(gone.select("t")), base, "t"))
-        both = gone.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "gone")
-        met = maybe.filter("maybe").join(both, (F.col("t") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        whole = maybe.filter("not maybe").select("given", "text", F.lit(0).cast("long").alias("n_removed"))
-        rows = cover.without(met).unionByName(whole)
+        keys, same = _same_row(gone, ["gone", "whole"])
+        met = maybe.filter("maybe").join(keys, same, "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+        rows = cover.without(met).unionByName(untouched(maybe.filter("not maybe")))
     plain = joined_words(F.coalesce("text", F.lit("")))
     left = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
     stay = [(F.col("text") if c == "text" else F.col("given")[c]).alias(c) for c in docs.columns if c not in ("n_words", "n_removed")]
