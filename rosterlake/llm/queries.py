@@ -175,6 +175,34 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+ORACLE["op11_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+n AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id) AS n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s FROM w),
+h AS (SELECT doc_id, i, md5(s) AS h FROM n WHERE i <= n - 49),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, h.i + o AS i FROM h JOIN f USING (h), range(50) t(o) WHERE doc_id > first),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+all_ AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id)
+SELECT doc_id, coalesce(all_.n, 0) AS n_words, coalesce(all_.n, 0) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN all_ USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+#: The checksum is a fold over bytes with the 256 entries of its table, made from its polynomial; near words are those that share a text with one code point left out.
+ORACLE["op12_spelling_variants"] = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS crc),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{6,}')) AS run FROM documents),
+each_ AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY doc_id, run),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)), lambda r, b: xor(r >> 8, crc[(xor(r, b) & 255) + 1])), 4294967295) AS h FROM each_, t),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM summed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.v = b.v AND a.i = b.i AND a.word <> b.word UNION
+  SELECT a.word, b.word, b.n FROM words a JOIN less b ON b.v = a.word UNION SELECT b.word, a.word, a.n FROM words a JOIN less b ON b.v = a.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, encode(other))) AS other, max(m) AS m FROM near GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(c.root, c.step) FROM chain c WHERE c.word = forms.word) AS root, n, n_near, form_n FROM forms"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline's result over all documents."""
