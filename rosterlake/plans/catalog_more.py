@@ -145,7 +145,7 @@ def address_types(spark, sf_dir):
 # --- history ----------------------------------------------------------------------------------------------------------
 
 _HISTORY_SQL = """
-WITH x AS (SELECT o_custkey AS k, year(o_orderdate) AS y, CASE WHEN o_orderstatus = 'P' THEN 'deactivated' ELSE 'active' END AS status, o_orderpriority AS place, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 END AS extra, o_orderdate AS d, o_orderkey AS o FROM orders WHERE year(o_orderdate) IN (1996, 1997)),
+WITH x AS (SELECT o_custkey AS k, CASE WHEN o_orderdate < '1997-07-01' THEN 1996 ELSE 1997 END AS y, CASE WHEN o_orderstatus = 'P' THEN 'deactivated' ELSE 'active' END AS status, o_orderpriority AS place, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 END AS extra, o_orderdate AS d, o_orderkey AS o FROM orders),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, y ORDER BY d DESC, o DESC) AS rn FROM x) WHERE rn = 1),
 a AS (SELECT * FROM l WHERE y = 1996), b AS (SELECT * FROM l WHERE y = 1997),
 j AS (SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS old, b.k IS NOT NULL AS new, a.status AS os, b.status AS ns, a.place AS op, b.place AS np, a.extra AS oe, CASE WHEN b.extra IS NULL AND a.status = 'active' AND b.status = 'active' THEN a.extra ELSE b.extra END AS ne FROM a FULL JOIN b ON a.k = b.k),
@@ -159,7 +159,7 @@ coalesce(os = 'active' AND change IS NOT NULL AND coalesce(ns, '') <> 'active',
 
 def _applied(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    rows = o.select(F.col("o_custkey").alias("k"), F.year("o_orderdate").alias("y"), F.when(F.col("o_orderstatus") == "P", history.DEACTIVATED).otherwise(history.ACTIVE).alias("status"), F.col("o_orderpriority").alias("place"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 3).alias("extra"), "o_orderdate", "o_orderkey")
+    rows = o.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderdate") < "1997-07-01", 1996).otherwise(1997).alias("y"), F.when(F.col("o_orderstatus") == "P", history.DEACTIVATED).otherwise(history.ACTIVE).alias("status"), F.col("o_orderpriority").alias("place"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 3).alias("extra"), "o_orderdate", "o_orderkey")
     last = [F.desc("o_orderdate"), F.desc("o_orderkey")]
     before, after = (history.last_listed(rows.filter(F.col("y") == y), "k", last) for y in (1996, 1997))
     now = before.withColumn("from_period", F.lit("1996-12-31").cast("date"))
@@ -521,7 +521,7 @@ def part_d_brands(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT o_custkey AS npi, 3 AS parts, count(*)::DOUBLE AS billed, max(o_totalprice) AS prescribed FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1), n AS (SELECT o_custkey AS npi, count(*)::DOUBLE AS v FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)
+WITH t AS (SELECT o_custkey AS npi, 3 AS parts, count(*)::DOUBLE AS billed, max(o_totalprice) AS prescribed FROM orders WHERE o_orderdate < '1997-07-01' GROUP BY 1), n AS (SELECT o_custkey AS npi, count(*)::DOUBLE AS v FROM orders WHERE o_orderdate >= '1997-07-01' GROUP BY 1)
 SELECT 2020 AS data_year, coalesce(t.npi, n.npi) AS npi, (CASE WHEN n.npi IS NOT NULL THEN coalesce(parts, 0) | 1 ELSE coalesce(parts, 0) & ~1 END)::INTEGER AS parts, v AS billed, prescribed FROM t FULL JOIN n ON t.npi = n.npi""")
 def activity_year(spark, sf_dir):
     """A year's part replaced: bits and values set for keys that came in, cleared for those that are gone."""
@@ -554,7 +554,7 @@ def smallest_polygon(spark, sf_dir):
 
 
 _CHANGES_SQL = """
-WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS y, max(o_orderpriority) AS p, max(o_orderstatus) AS s, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1, 2),
+WITH y AS (SELECT o_custkey AS k, CASE WHEN o_orderdate < '1997-07-01' THEN 1996 ELSE 1997 END AS y, max(o_orderpriority) AS p, max(o_orderstatus) AS s, count(*) AS n FROM orders GROUP BY 1, 2),
 j AS (SELECT coalesce(a.k, b.k) AS k, a.k AS ak, b.k AS bk, a.p AS ap, b.p AS bp, a.s AS s1, b.s AS s2, a.n AS an, b.n AS bn FROM (SELECT * FROM y WHERE y = 1996) a FULL JOIN (SELECT * FROM y WHERE y = 1997) b ON a.k = b.k),
 c AS (SELECT k, 'moved' AS kind, ap AS was, bp AS "is", 1 AS place FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND ap IS DISTINCT FROM bp
 UNION ALL SELECT k, 'size', concat_ws(', ', s1, an), concat_ws(', ', s2, bn), 2 FROM j WHERE ak IS NOT NULL AND bk IS NOT NULL AND (s1 IS DISTINCT FROM s2 OR an IS DISTINCT FROM bn)
