@@ -2,9 +2,11 @@
 
 Seeds are runs of five words (of a shorter item, the whole item).  The seeds of
 the benchmark go into a bitmap of fixed size; each document's seeds in it are
-joined with the benchmark's, which gives the pairs of a document and an item and
-how many of the item's positions are reached.  Pairs that can't reach the
-threshold go; the others meet with their texts and are tiled: running Karp-Rabin
+hits.  A document that covers the threshold of an item must hit ``need`` of its
+n positions, so it hits one of any n - need + 1: only the positions whose seeds
+fewest documents have are joined with the hits, and an opening that all items and
+documents share joins none of them.  Of the pairs so found those that hit too few
+positions go; the others meet with their texts and are tiled: running Karp-Rabin
 hashes of the windows of unmarked words find the longest common run, all runs of
 that length are marked where they don't overlap, and so on with the longest of
 what is left until no run of five words is.  The share of the item's words that
@@ -20,11 +22,12 @@ each; null ids stay; other columns are dropped by ``find`` and kept by ``clean``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.llm.common import NOT_ALNUM, bit_of, bitmap, cut, join_counted, lowered, mix, ngrams, powers, unpacked, word_hashes, word_spans
@@ -116,8 +119,8 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     return tiles
 
 
-def _seeds(benchmark: DataFrame) -> DataFrame:
-    """(seed, item, words, width): a row for each position of an item."""
+def item_seeds(benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(seed, item, width, positions, need): a row for each position of an item; need: how many must be hit to cover the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,14 +129,14 @@ def _seeds(benchmark: DataFrame) -> DataFrame:
                 width = min(SEED, len(words))
                 if width:
                     found = ngrams(words, width).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.full(len(found), x, np.int64)) for x in (item, len(words), width))], ["seed", "item", "words", "width"])
+                    need = min(len(found), max(1, math.ceil(threshold * len(words) / width - 1e-9)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.full(len(found), x, np.int64)) for x in (item, width, len(found), need))], ["seed", "item", "width", "positions", "need"])
 
-    return benchmark.select("item", "text").mapInArrow(run, "seed long, item long, words long, width long")
+    return benchmark.select("item", "text").dropDuplicates(["item"]).mapInArrow(run, "seed long, item long, width long, positions long, need long")
 
 
-def pairs(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
-    """(row, item) of the documents (row, text) and items (item, text) whose shared seeds can cover the threshold."""
-    seeds = cut(_seeds(benchmark.dropDuplicates(["item"])))
+def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(row, seed): the benchmark's seeds that each document (row, text) has, once (and few others, which no join finds)."""
     widths = sorted(r[0] for r in seeds.select("width").distinct().collect())  # SEED numbers at most
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(seeds.select("seed")))
 
@@ -152,14 +155,27 @@ def pairs(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64))], ["row", "seed"])
 
-    hits = docs.select("row", "text").mapInArrow(run, "row long, seed long").distinct()
-    met = join_counted(hits, seeds, "seed", "inner", F.col("row")).groupBy("row", "item").agg(F.count("*").alias("met"), F.first("words").alias("words"), F.first("width").alias("width"))
-    return met.filter(F.col("met") * F.col("width") >= threshold * F.col("words")).select("row", "item")
+    return docs.select("row", "text").mapInArrow(run, "row long, seed long").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
-    """(row, item_id, item_words, covered_words, tiles): of the documents (row, text), each distinct row once, the items (item_id, item, text) of which it covers the threshold."""
-    found = cut(pairs(docs, benchmark, threshold))
+def pairs(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(row, item, met): the pairs that share one of the item's rarest positions, and how many of these."""
+    known = cut(hits.groupBy("seed").agg(F.count("*").alias("k")))
+    ranked = join_counted(seeds, known, "seed", "left", F.col("item"))
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("k", F.lit(0)), "seed")
+    ranked = ranked.withColumn("at", F.row_number().over(rarest)).filter((F.col("at") <= F.col("positions") - F.col("need") + 1) & F.col("k").isNotNull())
+    wanted = cut(ranked.select("seed", "item"))
+    return join_counted(hits, wanted, "seed", "inner", F.col("row")).groupBy("row", "item").agg(F.count("*").alias("met"))
+
+
+def reaching(found: DataFrame, hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The pairs (row, item) that hit enough of the item's positions to cover the threshold."""
+    each = found.select("row", "item").join(hits, "row").join(seeds, ["item", "seed"])
+    return each.groupBy("row", "item").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n >= need").select("row", "item")
+
+
+def leaks(found: DataFrame, docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """(row, item_id, item_words, covered_words, tiles): of the pairs ``found`` (row, item) of documents (row, text) and items (item_id, item, text), those that cover the threshold; each distinct row once."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(found.select("row")))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +213,9 @@ def _keyed(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, item_words, covered_words, tiles, coverage: a row for each document row and item of which it covers the threshold."""
     base, items = _keyed(docs, benchmark)
-    found = cut(leaks(base, items, threshold))
+    seeds = cut(item_seeds(items, threshold))
+    hits = cut(seed_hits(base, seeds))
+    found = cut(leaks(cut(reaching(pairs(hits, seeds), hits, seeds)), base, items, threshold))
     out = join_counted(base.select("doc_id", "row"), found, "row", "inner", F.spark_partition_id())
     return out.select("doc_id", "item_id", "item_words", "covered_words", "tiles", (F.col("covered_words") / F.col("item_words")).alias("coverage"))
 
@@ -205,6 +223,13 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
     base, items = _keyed(docs, benchmark)
-    gone = cut(leaks(base, items, threshold).select("row").distinct().withColumn("gone", F.lit(True)))
+    seeds = cut(item_seeds(items, threshold))
+    hits = cut(seed_hits(base, seeds))
+    found = cut(pairs(hits, seeds))
+    best = cut(found.groupBy("row").agg(F.min(F.struct((-F.col("met")).alias("less"), "item")).alias("best")).select("row", "best.item"))
+    gone = cut(leaks(best, base, items, threshold).select("row").distinct())
+    rest = cut(reaching(found.join(gone, "row", "left_anti").join(best, ["row", "item"], "left_anti"), hits, seeds))
+    if not rest.isEmpty():
+        gone = cut(gone.unionByName(leaks(rest, base, items, threshold).select("row").distinct()))
     given = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
-    return join_counted(given, gone, "row", "left", F.spark_partition_id()).filter("gone is null").select("given.*")
+    return join_counted(given, gone.withColumn("gone", F.lit(True)), "row", "left", F.spark_partition_id()).filter("gone is null").select("given.*")
