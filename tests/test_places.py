@@ -126,3 +126,19 @@ def test_boxes_are_split_at_gaps(spark):
     for gap in (5.0, 20.0):
         assert sorted(map(tuple, spatial.boxes(df, gap).collect())) == sorted(plain_boxes(points, gap))
     assert spatial.boxes(df.limit(0), 5.0).count() == 0
+
+
+def test_copies_and_covering_outlines_are_listed_once(spark):
+    square = lambda x, y, h: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+    copies = [(i, polygon(square(0, 0, 3)), 5.0) for i in range(300)]
+    nested = [(1000 + i, polygon(square(0, 0, 3.5 + i / 1000)), 6.0 + i) for i in range(300)]
+    df = spark.createDataFrame([*copies, *nested], "building int, rings array<array<struct<x:double,y:double>>>, size double")
+    listed = spatial.listed_in_cells(df, ["size", "building"], 1.0)
+    # One of the copies everywhere, and beyond it, where no outline covers a cell, those that end there.
+    assert listed.filter("_cell.r between -2 and 1 and _cell.c between -2 and 1").select("building").distinct().collect() == [(0,)]
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 2.9, -2.9), (3, 3.2, 0.0), (4, 3.6005, 0.0), (5, 3.9, 0.0)], "point int, x double, y double")
+    got = {r["point"]: (r["match"], r["building"]) for r in spatial.building_at(points, df, 0.5, 1.0).collect()}
+    assert got == {1: ("inside", 0), 2: ("inside", 0), 3: ("inside", 1000), 4: ("inside", 1101), 5: ("near", 1299)}
+    rings = spark.createDataFrame([(b, [{"x": p["x"], "y": p["y"]} for p in r[0]]) for b, r, _ in [*copies, *nested]], "polygon int, ring array<struct<x:double,y:double>>")
+    got = {r["point"]: (r["polygon"], round(r["area"], 6)) for r in spatial.smallest_containing(points, rings, 1.0).collect()}
+    assert got == {1: (0, 36.0), 2: (0, 36.0), 3: (1000, 49.0), 4: (1101, round(7.202**2, 6))}
