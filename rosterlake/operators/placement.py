@@ -1,4 +1,9 @@
-"""Practice addresses placed on the map by address points, by places at the address, and by building names."""
+"""Practice addresses placed on the map by address points, by places at the address, and by building names.
+
+Joins are merges of what both sides are dealt by: estimates are made from the
+bytes of files, and rows with exploded words are many times as large, so that a
+side to be broadcast could fill the driver.
+"""
 
 from __future__ import annotations
 
@@ -30,14 +35,14 @@ def _by_house(wanted: DataFrame, points: DataFrame, places: DataFrame) -> DataFr
     place = place.filter("h is not null").select("h.number", "h.street", "area", F.lit(1).alias("kind"), "lat", "lon", "name")
     keys = ["number", "street", "area"]
     # A state has millions of points and few asked addresses: only their keys are aggregated.
-    known = point.filter("number <> '' and street <> ''").unionByName(place).join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
+    known = point.filter("number <> '' and street <> ''").unionByName(place).join(asked.select(*keys).distinct().hint("merge"), keys, "left_semi").groupBy(*keys).agg(
         F.min(F.when(F.col("kind") == 0, F.struct("lat", "lon"))).alias("point"),
         F.median(F.when(F.col("kind") == 1, F.col("lat"))).alias("lat"), F.median(F.when(F.col("kind") == 1, F.col("lon"))).alias("lon"), F.min("name").alias("name"),
     )
     in_city = F.startswith("area", F.lit("C")).cast("int")
     exact = F.when(F.col("point").isNotNull(), _spot(in_city, "address", F.col("point.lat"), F.col("point.lon"), F.concat_ws(" ", "number", "street")))
     near = F.when(F.col("lat").isNotNull(), _spot(in_city + 2, "place", F.col("lat"), F.col("lon"), F.col("name")))
-    return asked.join(known, keys).groupBy("addr_key").agg(F.least(F.min(exact), F.min(near)).alias("found"))
+    return asked.join(known.hint("merge"), keys).groupBy("addr_key").agg(F.least(F.min(exact), F.min(near)).alias("found"))
 
 
 def _by_name(wanted: DataFrame, places: DataFrame) -> DataFrame:
@@ -46,25 +51,27 @@ def _by_name(wanted: DataFrame, places: DataFrame) -> DataFrame:
     An inverted index of words by area.  A place that has ``need`` of n words has
     one of any n - need + 1 of them, so only an address's rarest words in its
     area are looked up: a word that most places have is asked for by no address
-    that has a rarer one.  Addresses of one name and area are one.
+    that has a rarer one.  Addresses of one name and area are one, and of the
+    places of one area and the same words only the one that would be chosen counts.
     """
     tokens = address.name_tokens(F.col("address1"))
     named = wanted.filter("_house is null").withColumn("tokens", tokens).filter(F.size("tokens") >= SHARED).withColumn("area", F.explode(_areas(F.col("_zip"), F.col("_city"))))
     asked = named.select("tokens", "area").distinct()
     z, c = address.zip5(F.col("zip")), address.city(F.col("city"))
     listed = places.select(F.coalesce(F.concat(F.lit("Z"), z), F.concat(F.lit("C"), c)).alias("area"), address.name_tokens(F.col("name")).alias("words"), "lat", "lon", "confidence", "name").filter((F.size("words") >= SHARED) & F.col("area").isNotNull())
+    listed = listed.groupBy("area", "words").agg(F.min(F.struct((-F.col("confidence")).alias("sure"), "name", "lat", "lon")).alias("first"))
     index = listed.withColumn("word", F.explode("words"))
     often = index.groupBy("area", "word").agg(F.count("*").alias("k"))
     need = F.greatest(F.ceil(COVERAGE * F.size("tokens") - 1e-9).cast("int"), F.lit(SHARED))
-    each = asked.withColumn("word", F.explode("tokens")).join(often, ["area", "word"], "left")
+    each = asked.withColumn("word", F.explode("tokens")).join(often.hint("merge"), ["area", "word"], "left")
     rare = each.withColumn("at", F.row_number().over(Window.partitionBy("area", "tokens").orderBy(F.coalesce("k", F.lit(0)), "word")))
     rare = rare.filter((F.col("at") <= F.size("tokens") - need + 1) & F.col("k").isNotNull()).select("area", "tokens", "word")
     shared = F.size(F.array_intersect("tokens", "words"))
-    met = rare.join(index, ["area", "word"]).withColumn("shared", shared).filter(F.col("shared") >= need)
-    order = F.struct((-F.col("shared") / F.size("tokens")).alias("covered"), (-F.col("shared") / F.size("words")).alias("closest"), (-F.col("confidence")).alias("sure"), "name", "lat", "lon")
+    met = rare.join(index.hint("merge"), ["area", "word"]).withColumn("shared", shared).filter(F.col("shared") >= need)
+    order = F.struct((-F.col("shared") / F.size("tokens")).alias("covered"), (-F.col("shared") / F.size("words")).alias("closest"), "first.sure", "first.name", "first.lat", "first.lon")
     best = met.groupBy("area", "tokens").agg(F.min(order).alias("best"))
     found = _spot(F.lit(4), "place_name", F.col("o.lat"), F.col("o.lon"), F.col("o.name"))
-    return named.select("addr_key", "tokens", "area").join(best, ["area", "tokens"]).groupBy("addr_key").agg(F.min("best").alias("o")).select("addr_key", found.alias("found"))
+    return named.select("addr_key", "tokens", "area").join(best.hint("merge"), ["area", "tokens"]).groupBy("addr_key").agg(F.min("best").alias("o")).select("addr_key", found.alias("found"))
 
 
 def place(addresses: DataFrame, points: DataFrame, places: DataFrame) -> DataFrame:
@@ -78,6 +85,8 @@ def place(addresses: DataFrame, points: DataFrame, places: DataFrame) -> DataFra
     COVERAGE of the words, best covered first, then the closest name, the surest,
     the least.  ``addr_key`` is unique.
     """
+    # Reading an address costs more than moving it, and a small file would be read in one task.
+    addresses, points, places = addresses.repartition("addr_key"), points.repartition("lat", "lon"), places.repartition("lat", "lon")
     wanted = addresses.select("addr_key", "address1", address.house(F.col("address1")).alias("_house"), address.zip5(F.col("zip5")).alias("_zip"), address.city(F.col("city")).alias("_city"))
     return _by_house(wanted, points, places).unionByName(_by_name(wanted, places)).select("addr_key", "found.source", "found.lat", "found.lon", "found.matched")
 
