@@ -142,3 +142,22 @@ def test_copies_and_covering_outlines_are_listed_once(spark):
     rings = spark.createDataFrame([(b, [{"x": p["x"], "y": p["y"]} for p in r[0]]) for b, r, _ in [*copies, *nested]], "polygon int, ring array<struct<x:double,y:double>>")
     got = {r["point"]: (r["polygon"], round(r["area"], 6)) for r in spatial.smallest_containing(points, rings, 1.0).collect()}
     assert got == {1: (0, 36.0), 2: (0, 36.0), 3: (1000, 49.0), 4: (1101, round(7.202**2, 6))}
+
+
+def test_name_distances_are_between_all_words(spark, tmp_path):
+    from rosterlake.plans import catalog
+
+    spark.createDataFrame([(1, "large ring"), (2, "small gadget"), (3, "large bolt")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r["a"], r["b"]): r["distance"] for r in catalog.QUERIES["name_distances"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(a, b) for a in ("large", "small") for b in ("ring", "gadget", "bolt")} and got["large", "ring"] == 11
+
+
+def test_addresses_are_joined_without_broadcasts(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "Lone Valley Clinic", "X", "00001"), (2, "1 A St", "X", "00001")], "addr_key int, address1 string, city string, zip5 string")
+    places = spark.createDataFrame([("Lone Valley Clinic", None, "00001", "X", 1.0 + i, 2.0, 0.5 + (i == 3) / 4) for i in range(40)], PLACE)
+    points = spark.createDataFrame([("1", "A Street", "00001", "X", 5.0, 6.0)], POINT)
+    for name, df in (("asked", asked), ("places", places), ("points", points)):
+        df.write.parquet(str(tmp_path / name))
+    found = placement.place(*(spark.read.parquet(str(tmp_path / n)) for n in ("asked", "points", "places")))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "place_name", 4.0, 2.0, "Lone Valley Clinic"), (2, "address", 5.0, 6.0, "1 A ST")]
