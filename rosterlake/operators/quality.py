@@ -143,12 +143,18 @@ def labelled(reasons: list[DataFrame], activity: DataFrame, groups: DataFrame, a
 
     All reasons meet in one shuffle; then members of an organisation with a
     current number get that reason, which can't change a current label.  Reasons
-    of keys without a record are left out.
+    of keys without a record are left out.  What reasons a source gives is
+    computed and put down before the next one's: all are dealt out by record, so
+    that one task would else hold the sorts of all their joins at once.
     """
-    own, *others = reasons
+    from rosterlake.plans.session import checkpointed
+
+    activity = checkpointed(activity)
+    own, *others = map(checkpointed, reasons)
     records = own.select("npi").distinct()
     every = reduce(DataFrame.unionByName, others, own).groupBy("npi").agg(F.bit_or("bit").alias("reasons")).join(records, "npi", "left_semi")
     told = every.join(activity.select("npi", "activity"), "npi", "left").withColumn("activity", F.coalesce("activity", F.lit(0))).withColumn("label", classify(F.col("reasons")))
+    told = checkpointed(told)  # taken three times
     other = other_current(told, groups, ages, as_of)
     out = told.join(other, "npi", "left").withColumn("reasons", F.when(F.col("other_npi").isNotNull(), F.col("reasons").bitwiseOR(F.lit(REASONS["other_current"]))).otherwise(F.col("reasons")))
     return out.select("npi", classify(F.col("reasons")).alias("label"), "reasons", "activity", "other_npi")

@@ -231,3 +231,23 @@ def test_plain_specialties(spark):
     assert counts == {("all", None, None): 3, ("category", "Clinics", None): 2, ("category", "Doctors", None): 3, ("category", "Other", None): 1, ("subcategory", "Clinics", "Heart"): 2, ("subcategory", "Doctors", "Heart"): 3, ("subcategory", "Doctors", "Skin"): 2, ("subcategory", "Other", "Other"): 1}
     shown = {(r["category"], r["subcategory"]): r["members"] for r in specialties.shown(members.filter("npi in (2, 3)"), rules, "npi").collect()}
     assert shown == {("Doctors", "Heart"): 1, ("Other", "Other"): 1, ("Clinics", "Heart"): 1}
+
+
+def test_sets_are_dealt_out_once(spark):
+    from rosterlake.operators import bitsets
+
+    rows = spark.range(5000).selectExpr("id * 7 as id", "if(id % 2 = 0, 'a', 'b') as name").union(spark.range(700).selectExpr("id * 70 as id", "'b' as name")).union(spark.createDataFrame([(None, "a")], "id long, name string"))
+    sets = bitsets.bitmaps(rows, "name", "id")
+    both = bitsets.intersection(sets, "name", 2)
+    told = both._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange hashpartitioning") == 1  # ids once, no bitmap
+    assert bitsets.count(both).first()["members"] == 500 and bitsets.count(bitsets.union(sets)).first()["members"] == 5200
+
+
+def test_record_quality_takes_one_source_at_a_time(spark):
+    from rosterlake.plans import catalog
+    from tests.test_oracle import SF_DIR
+
+    # Put down apart, the sources leave few sorts to the tasks that label.
+    plan = catalog.QUERIES["record_quality"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 6 and "o_orderkey" not in plan
