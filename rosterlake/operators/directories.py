@@ -101,19 +101,21 @@ def distinctive_word(name: Column) -> Column:
 def similar_companies(companies: DataFrame, most: int) -> DataFrame:
     """(company_id, similar_id, similar_name, rank): other companies (company_id, name, amount) whose name has the company's distinctive word as a whole word.
 
-    Most money first, then the name, then the id; ``most`` of each.  An equi join
-    on words; a word is counted before it is joined, and companies that share
-    their word with all others take the same best ones, so a word's list is cut
-    to ``most`` + 1 before the join: no pairs of a common word are made.
+    Most money first, then the name, then the id; ``most`` of each.  Companies that
+    share their word with all others take the same best ones, so a word's list is
+    cut to ``most`` + 1 and is one row before the join: no pairs of a common word
+    are made, a company meets one row and is told apart from the list within it.
     """
     asked = companies.select("company_id", distinctive_word(F.col("name")).alias("word")).filter("word is not null")
     # A whole word begins and ends where letters, digits or underscores do.
     parts = F.array_distinct(F.transform(F.regexp_extract_all("name", F.lit(r"\w+"), F.lit(0)), F.upper))
     listed = companies.withColumn("word", F.explode(parts)).join(asked.select("word").distinct(), "word", "left_semi")
     order = [F.desc_nulls_last("amount"), F.asc("name"), F.asc("company_id")]
-    best = ranking.top_n(listed, ["word"], order, most + 1, "_rank").select("word", F.col("company_id").alias("similar_id"), F.col("name").alias("similar_name"), "_rank")
-    met = asked.join(best, "word").filter("company_id <> similar_id")
-    return ranking.top_n(met, ["company_id"], [F.asc("_rank")], most, "rank").select("company_id", "similar_id", "similar_name", "rank")
+    first = ranking.top_n(listed, ["word"], order, most + 1, "_rank").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("_rank", "company_id", "name"))).alias("_best"))
+    # A left join, as only the lists may be broadcast; every asked word has one.
+    met = asked.join(first, "word", "left")
+    others = F.slice(F.filter("_best", lambda b: b["company_id"] != F.col("company_id")), 1, most)
+    return met.select("company_id", F.posexplode(others).alias("_at", "_b")).select("company_id", F.col("_b.company_id").alias("similar_id"), F.col("_b.name").alias("similar_name"), (F.col("_at") + 1).alias("rank"))
 
 
 # --- prescribing ------------------------------------------------------------------------------------------------------

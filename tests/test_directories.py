@@ -123,3 +123,13 @@ def test_reasons_of_other_tables(spark):
     codes = spark.createDataFrame([("1", "X"), ("2", "Y"), ("2", "Z")], "npi string, taxonomy_code string")
     by_code = spark.createDataFrame([("X", "Doctors"), ("Y", "Clinics")], "code string, category string")
     assert {r["npi"] for r in quality.specialty_reasons(clinicians, codes, by_code, spark.createDataFrame([("HEART", "Doctors")], "specialty string, category string")).collect()} == {"2", "4"}
+
+
+def test_similar_companies_broadcast_only_lists(spark, tmp_path):
+    rows = [(i, f"Acme number{i % 50}", float(i % 90)) for i in range(400)]
+    spark.createDataFrame(rows, "company_id int, name string, amount double").write.parquet(str(tmp_path / "companies"))
+    found = directories.similar_companies(spark.read.parquet(str(tmp_path / "companies")), 3)
+    order = sorted(rows, key=lambda r: (-r[2], r[1], r[0]))
+    want = sorted((i, r[0], r[1], k + 1) for i, _, _ in rows for k, r in enumerate([r for r in order if r[0] != i][:3]))
+    assert sorted(map(tuple, found.collect())) == want
+    assert "BuildLeft" not in found._jdf.queryExecution().executedPlan().toString()
