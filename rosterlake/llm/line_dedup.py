@@ -9,7 +9,7 @@ are candidates:
   (a break counts as one), so that edits that are scattered over a line change few
   of its features.  A bit isn't set by more than half of the pairs, but by more
   than the line's language and script make likely: the few directions in which
-  lines of the corpus differ most are regressed out (``Hash.fitted``), else all
+  lines of the corpus differ most are regressed out (``Hash.shaped``), else all
   long lines of one language would be near each other.
 * Blocks of ``width`` bits are the keys of lists, in which lines meet (pigeonhole:
   few different bits leave one of the blocks alone).  The width grows with the
@@ -26,9 +26,8 @@ lie in different components are then paired with each other.  Every candidate is
 decided by an upper bound from equal words or by Myers' bit-parallel edit
 distance of what lies between the common ends; nothing else refuses it.
 
-The directions are those of at most STRATA lines, one for each value of a hash of
-the line's least word, so that a family of copies, however large, is a few of
-them.  They shape the hash alone; all lines are hashed, listed and compared.
+The directions are those of all lines, by sums of whole numbers that are added up
+in Spark; they shape the hash alone, and all lines are hashed, listed and compared.
 
 Of each connected group, the first occurrence (smallest doc_id, then line
 number) stays.  Defined cases: null text counts as empty; lines without letters
@@ -57,8 +56,10 @@ BITS = 128
 FIRST, TOTAL, SHORT_TOTAL, SHORT = 16, 24, 31, 64
 #: The share of equal bits for which the number of blocks is chosen, and what it is multiplied by.
 EQUAL, SPARE = 0.835, 1.12
-#: Classes of characters, classes of pairs in which lines' directions are sought, lines of the sample and directions at most.
-CODES, CLASSES, STRATA, DIRECTIONS = 64, 128, 1 << 12, 8
+#: Classes of characters, classes of pairs in which lines' directions are sought, and directions at most.
+CODES, CLASSES, DIRECTIONS = 64, 128, 8
+#: Sums over lines that shape the hash, and the unit that they are kept in.
+CELLS, UNIT = 1 + CLASSES + BITS + CLASSES * CLASSES + CLASSES * BITS, 1 << 16
 #: The low half of a row's place in the lists: its length.
 LENGTH = (1 << 32) - 1
 #: Rows of sorted lists that are looked through at once, besides those of the window that is open.
@@ -136,6 +137,17 @@ def counted(line: np.ndarray, pair: np.ndarray, lines: int) -> tuple[np.ndarray,
     return ones, classes
 
 
+def moments(texts: list[str | None]) -> np.ndarray:
+    """Sums over all lines: how many; pairs by class and by bit; and by two classes, and by class and bit, the products over the line's number of pairs; in UNITs."""
+    _, _, _, (data, starts, _, _, first, _) = read_lines(texts)
+    if not len(first):
+        return np.zeros(CELLS, np.int64)
+    ones, classes = (x.astype(np.float64) for x in counted(*character_pairs(data, starts, first), len(first)))
+    scaled = classes / np.maximum(classes.sum(axis=1), 1)[:, None]
+    sums = np.concatenate([classes.sum(axis=0), ones.sum(axis=0), (scaled.T @ classes).ravel(), (scaled.T @ ones).ravel()])
+    return np.concatenate([[len(first)], np.rint(sums * UNIT).astype(np.int64)])
+
+
 class Hash:
     """SimHashes of lines: bit k is set where more pairs set it than ``likely[:, k]`` makes of the pairs in each class."""
 
@@ -144,22 +156,28 @@ class Hash:
 
     @classmethod
     def fitted(cls, texts: list[str]) -> Hash:
-        """Regresses out the directions in which the sample's lines differ most: those of more than 4 times the variance that chance gives."""
-        found = [read_lines(part)[3] for _, part in groups_of(texts)]
-        parts = [counted(*character_pairs(data, starts, first), len(first)) for data, starts, _, _, first, _ in found if len(first)]
-        if not parts:
+        """The hash that the lines of these texts shape."""
+        return cls.shaped(sum((moments(part) for _, part in groups_of(texts)), np.zeros(CELLS, np.int64)))
+
+    @classmethod
+    def shaped(cls, sums: np.ndarray) -> Hash:
+        """Regresses out the directions in which lines differ most, by their ``moments``: those of more than 4 times the variance that chance gives."""
+        n = int(sums[0])
+        if not n:
             return cls()
-        ones, classes = (np.concatenate(x).astype(np.float64) for x in zip(*parts, strict=True))
-        size = classes.sum(axis=1)
-        share, bit = classes.sum(axis=0) / size.sum(), ones.sum(axis=0) / size.sum()
-        weight = 1 / np.sqrt(size)[:, None]
-        x, y = (classes - size[:, None] * share) * weight, (ones - size[:, None] * bit) * weight
-        values, vectors = np.linalg.eigh(x.T @ x / len(x))
-        noise = np.median(values) * (1 + math.sqrt(CLASSES / len(x))) ** 2  # what chance gives
+        parts = np.split(sums[1:] / UNIT, np.cumsum([CLASSES, BITS, CLASSES * CLASSES]))
+        classes, ones, within, across = *parts[:2], parts[2].reshape(CLASSES, CLASSES), parts[3].reshape(CLASSES, BITS)
+        size = classes.sum()
+        share, bit = classes / size, ones / size
+        # Of lines less what their length makes likely, each divided by the root of its length.
+        within = (within - size * np.outer(share, share)) / n
+        across = (across - size * np.outer(share, bit)) / n
+        values, vectors = np.linalg.eigh(within)
+        noise = np.median(values) * (1 + math.sqrt(CLASSES / n)) ** 2  # what chance gives
         # Few lines can't tell directions from chance, and there few are near each other anyway.
-        strong = np.flatnonzero(values > 4 * noise)[-DIRECTIONS:] if len(x) >= 8 * CLASSES else np.zeros(0, np.int64)
+        strong = np.flatnonzero(values > 4 * noise)[-DIRECTIONS:] if n >= 8 * CLASSES else np.zeros(0, np.int64)
         v = vectors[:, strong]
-        slope = np.linalg.lstsq(x @ v, y, rcond=None)[0] if len(strong) else np.zeros((0, BITS))
+        slope = v.T @ across / values[strong][:, None]
         return cls(np.ones((CLASSES, 1)) * bit + (np.eye(CLASSES) - np.outer(np.ones(CLASSES), share)) @ v @ slope)
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -177,27 +195,22 @@ class Hash:
         return a, b, length.astype(np.int32)
 
 
-def sample(base: DataFrame) -> list[str]:
-    """At most STRATA lines of SHORT characters or more: of all whose least word has one of so many hashes, the first in order."""
+def summed(base: DataFrame) -> np.ndarray:
+    """The ``moments`` of all lines of all documents: whole numbers, so that their order doesn't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, str] = {}
+        sums = np.zeros(CELLS, np.int64)
         for batch in batches:
             for _, texts in groups_of(batch.column("text").to_pylist()):
-                _, _, _, (data, starts, ends, words, first, counts) = read_lines(texts)
-                if not len(first):
-                    continue
-                last = first + counts - 1
-                edges = np.stack([first, last + 1], axis=1).ravel()
-                least = np.minimum.reduceat(np.append(words, np.uint64((1 << 64) - 1)), edges)[::2]
-                for i in np.flatnonzero(ends[last] - starts[first] >= SHORT).tolist():
-                    k = int(mix(least[i : i + 1])[0] % np.uint64(STRATA))
-                    line = data[starts[first[i]] : ends[last[i]]].tobytes().decode("utf-8", "replace")
-                    if k not in best or line < best[k]:
-                        best[k] = line
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.string())], ["k", "text"])
-
-    return [r["text"] for r in base.select("text").mapInArrow(run, "k int, text string").groupBy("k").agg(F.min("text").alias("text")).orderBy("k").collect()]
+                sums += moments(texts)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["cell", "value"])
+
+    out = np.zeros(CELLS, np.int64)
+    # One row for each of CELLS sums.
+    for r in base.select("text").mapInArrow(run, "cell int, value long").groupBy("cell").agg(F.sum("value").alias("value")).collect():
+        out[r["cell"]] = r["value"]
+    return out
 
 
 def lines(docs: DataFrame, how: Hash) -> DataFrame:
@@ -460,7 +473,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with the text that is left; n_lines and n_dropped are added."""
     # A row's key; rows equal in doc_id and text share it. The columns go along in a struct, so that no name clashes.
     base = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
-    every = written(lines(base, Hash.fitted(sample(base))))
+    every = written(lines(base, Hash.shaped(summed(base))))
     tree = line_groups(base, every)
     groups = every.groupBy("line").agg(F.count("*").alias("k")).filter("k > 1").select("line", F.col("line").alias("component"))
     if tree is not None:

@@ -41,7 +41,7 @@ def edited(kind: str, line: str, rnd: random.Random) -> str:
 
 def groups(spark, texts):
     base = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("xxhash64(doc_id, coalesce(text, '')) as row", "doc_id", "text")
-    tree = line_dedup.line_groups(base, line_dedup.cut(line_dedup.lines(base, line_dedup.Hash.fitted(line_dedup.sample(base)))))
+    tree = line_dedup.line_groups(base, line_dedup.cut(line_dedup.lines(base, line_dedup.Hash.shaped(line_dedup.summed(base)))))
     group = {} if tree is None else {r["line"]: r["component"] for r in tree.collect()}
 
     def of(key: str) -> int:

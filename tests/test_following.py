@@ -260,3 +260,18 @@ def test_postings_are_gathered_without_a_shuffle(spark):
     assert {(r["word"], r["id"]): r["places"] for r in found.collect()} == want and found.count() == len(want)
     assert all(r["n"] == len(r["places"]) for r in found.collect())
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_line_shapes_the_hash(spark):
+    import numpy as np
+
+    from rosterlake.llm import line_dedup
+
+    rnd = random.Random(8)
+    texts = ["\n".join(" ".join(rnd.choice(["red", "blue", "stone", "of", "größe", "x7"]) for _ in range(rnd.randrange(1, 30))) for _ in range(6)) for _ in range(60)] + [None, "", "12\n!"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    sums = line_dedup.summed(docs)
+    assert sums[0] == 360  # every line with letters, short ones and copies too
+    assert abs(sums - line_dedup.moments(texts)).max() <= 8
+    changed = line_dedup.summed(spark.createDataFrame([(t,) for t in [*texts, "one more line"]], "text string"))
+    assert changed[0] == 361 and not np.array_equal(changed[1:], sums[1:])
