@@ -13,6 +13,8 @@ from rosterlake.operators import temporal
 
 OUTPUT = "npi string, area string, month date, delta int"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys of the state; a stream's checkpoint holds them, so the number can't change between its runs.
+BUCKETS = 4096
 
 
 def area_deltas(versions: DataFrame, open_from: Column) -> DataFrame:
@@ -33,29 +35,28 @@ def area_deltas(versions: DataFrame, open_from: Column) -> DataFrame:
 
 
 class _Versions(StatefulProcessor):
-    """Of each provider: the newest version's period and areas."""
+    """Of each provider of a bucket: the newest version's period and areas."""
 
     def __init__(self, open_from: str):
         self.open_from = pd.Timestamp(open_from).date().replace(day=1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "period date, areas array<string>")
+        self.held = handle.getValueState("held", "held array<struct<npi:string,period:date,areas:array<string>>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.held.get() if self.held.exists() else None
-        period, areas = (held[0], set(held[1])) if held else (None, set())
+        held = {r[0]: (r[1], set(r[2])) for r in self.held.get()[0]} if self.held.exists() else {}
         out: list[tuple] = []
-        listed = [r for part in rows for r in part.itertuples(index=False)]  # a provider's new versions
+        listed = [r for part in rows for r in part[["npi", "from_period", "active", "areas"]].itertuples(index=False)]  # a bucket's new versions
         for version in sorted(listed, key=lambda r: pd.Timestamp(r.from_period)):
             day = pd.Timestamp(version.from_period).date()
+            period, areas = held.get(version.npi, (None, set()))
             if period is not None and day <= period:
                 continue  # a newer one has been counted
             now = {a for a in version.areas if a is not None} if version.active and version.areas is not None else set()
             month = max(day.replace(day=1), self.open_from)
-            out += [(key[0], a, month, -1) for a in sorted(areas - now)] + [(key[0], a, month, 1) for a in sorted(now - areas)]
-            period, areas = day, now
-        if period is not None:
-            self.held.update((period, sorted(areas)))
+            out += [(version.npi, a, month, -1) for a in sorted(areas - now)] + [(version.npi, a, month, 1) for a in sorted(now - areas)]
+            held[version.npi] = day, now
+        self.held.update(([(npi, period, sorted(areas)) for npi, (period, areas) in held.items()],))
         if out:
             yield pd.DataFrame(out, columns=["npi", "area", "month", "delta"])
 
@@ -66,7 +67,10 @@ class _Versions(StatefulProcessor):
 def area_delta_stream(versions: DataFrame, open_from: str) -> DataFrame:
     """``area_deltas`` of a stream, by keyed state; periods of a provider must arrive in order, an older or equal one is passed over.
 
-    State is one small row for each provider, kept in RocksDB, so it can outgrow
-    memory; the session must name PROVIDER as its state store before the query starts.
+    Providers are kept in BUCKETS by hash, as each key costs several calls between
+    Spark and Python, whatever its rows.  State is a list of small entries for each
+    bucket, kept in RocksDB, so it can outgrow memory; the session must name
+    PROVIDER as its state store before the query starts.
     """
-    return versions.groupBy("npi").transformWithStateInPandas(statefulProcessor=_Versions(open_from), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+    keyed = versions.withColumn("_bucket", F.pmod(F.xxhash64("npi"), F.lit(BUCKETS)).cast("int"))
+    return keyed.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=_Versions(open_from), outputStructType=OUTPUT, outputMode="append", timeMode="none")

@@ -275,3 +275,17 @@ def test_every_line_shapes_the_hash(spark):
     assert abs(sums - line_dedup.moments(texts)).max() <= 8
     changed = line_dedup.summed(spark.createDataFrame([(t,) for t in [*texts, "one more line"]], "text string"))
     assert changed[0] == 361 and not np.array_equal(changed[1:], sums[1:])
+
+
+def test_providers_of_one_bucket_keep_their_own_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(area_state, "BUCKETS", 1)
+    versions = spark.sql("select concat('N', id % 5) as npi, make_date(2023, int(1 + id div 5), 1) as from_period, id % 7 > 0 as active, array(concat('A', id % 3)) as areas from range(40)")
+    versions.write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", area_state.PROVIDER)
+    try:
+        stream = area_state.area_delta_stream(spark.readStream.schema(versions.schema).parquet(f"{tmp_path}/in"), "2023-02-01")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = area_state.area_deltas(versions, F.lit("2023-02-01").cast("date"))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
