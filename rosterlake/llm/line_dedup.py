@@ -22,9 +22,10 @@ are candidates:
 A list is sorted by length and streamed: a task holds the rows of one window of
 lengths, not a list.  A row is paired with the first near row before it, so a
 family of copies gives a star; the pairs are verified, and only rows that still
-lie in different components are then paired with each other.  Every candidate is
-decided by an upper bound from equal words or by Myers' bit-parallel edit
-distance of what lies between the common ends; nothing else refuses it.
+lie in different components are then paired with each other, each pair once, in
+the first list in which it meets.  Every candidate is decided by an upper bound
+from equal words, a lower bound from pairs of characters, or Myers' bit-parallel
+edit distance of what lies between the common ends; nothing else refuses it.
 
 The directions are those of all lines, by sums of whole numbers that are added up
 in Spark; they shape the hash alone, and all lines are hashed, listed and compared.
@@ -40,6 +41,7 @@ columns stay, whatever their names, but n_lines and n_dropped, which are set.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +73,8 @@ _LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 _LANE = np.uint64(0x0101010101010101)
 #: Letters, 0, the break (0), and classes for what isn't ASCII.
 _CODE = np.zeros(256, dtype=np.int32)
-_CODE[97:123], _CODE[48], _CODE[128:] = np.arange(1, 27), 27, 28 + np.arange(128) % 36
+DIGIT = 27
+_CODE[97:123], _CODE[48], _CODE[128:] = np.arange(1, 27), DIGIT, 28 + np.arange(128) % 36
 _PAIRS = mix(np.arange(1, CODES * CODES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TABLES = [mix(_PAIRS ^ np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) for k in (1, 2)]
 _LANES = [[((t >> np.uint64(k)) & _LANE).astype("<u8") for k in range(8)] for t in _TABLES]
@@ -103,10 +106,17 @@ def read_lines(texts: list[str | None]):
 
 
 def character_pairs(data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, pair): the neighbouring characters of each line that begins with word ``first``, in order; a run of signs is one break."""
+    """(line, pair): the neighbouring characters of each line that begins with word ``first``, in order; a run of signs is one break.
+
+    Neighbouring digits are all 0 and give no pair, and of a longer run of one
+    character only the first two do: else a number of sixteen digits outvotes the
+    words around it, and all lines with such numbers are near each other.
+    """
     codes = np.zeros(len(data) + 2, dtype=np.int32)
     codes[1:-1] = _CODE[data]
     at = np.flatnonzero(codes[:-1] | codes[1:])
+    own = codes[at]
+    at = at[(own != codes[at + 1]) | (own != DIGIT) & (own != codes[at - 1])]
     inside = np.where(codes[at] > 0, at - 1, at)  # the byte of a word
     number = np.cumsum(data == 10)
     place = np.full(int(number[-1]) + 1 if len(data) else 1, -1)
@@ -163,7 +173,8 @@ class Hash:
     def shaped(cls, sums: np.ndarray) -> Hash:
         """Regresses out the directions in which lines differ most, by their ``moments``: those of more than 4 times the variance that chance gives."""
         n = int(sums[0])
-        if not n:
+        # Few lines can't tell directions from chance, nor what is common from one family of copies; there few are near each other anyway.
+        if n < 8 * CLASSES:
             return cls()
         parts = np.split(sums[1:] / UNIT, np.cumsum([CLASSES, BITS, CLASSES * CLASSES]))
         classes, ones, within, across = *parts[:2], parts[2].reshape(CLASSES, CLASSES), parts[3].reshape(CLASSES, BITS)
@@ -174,8 +185,7 @@ class Hash:
         across = (across - size * np.outer(share, bit)) / n
         values, vectors = np.linalg.eigh(within)
         noise = np.median(values) * (1 + math.sqrt(CLASSES / n)) ** 2  # what chance gives
-        # Few lines can't tell directions from chance, and there few are near each other anyway.
-        strong = np.flatnonzero(values > 4 * noise)[-DIRECTIONS:] if n >= 8 * CLASSES else np.zeros(0, np.int64)
+        strong = np.flatnonzero(values > 4 * noise)[-DIRECTIONS:]
         v = vectors[:, strong]
         slope = v.T @ across / values[strong][:, None]
         return cls(np.ones((CLASSES, 1)) * bit + (np.eye(CLASSES) - np.outer(np.ones(CLASSES), share)) @ v @ slope)
@@ -311,9 +321,16 @@ def distance_bound(a: str, b: str, far: int) -> int:
     return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
 
 
+def distance_floor(a: str, b: str) -> int:
+    """A lower bound of the edit distance: an edit takes away at most two pairs of neighbouring characters and adds two."""
+    x, y = (Counter(map(str.__add__, t, t[1:])) for t in (a, b))
+    common = (x & y).total()
+    return -(-(x.total() + y.total() - 2 * common) // 4)
+
+
 def similar_texts(a: str, b: str) -> bool:
     far = int(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
-    return distance_bound(a, b, far) <= far or edit_distance(a, b, far) <= far
+    return distance_bound(a, b, far) <= far or distance_floor(a, b) <= far and edit_distance(a, b, far) <= far
 
 
 def blocks(lines: int) -> tuple[int, int]:
@@ -322,8 +339,14 @@ def blocks(lines: int) -> tuple[int, int]:
     return width, math.ceil(SPARE * math.log(0.1) / math.log(1 - EQUAL**width))
 
 
+def _starts(width: int, number: int) -> list[int]:
+    """The first bit of each block: those of all lines, then those of short ones, between the others."""
+    step = (BITS - width) / (number - 1)
+    return [round(k * step) for k in range(number)] + [min(BITS - width, round((2 * k + 0.5) * step)) for k in range(number // 2)]
+
+
 def _keys(width: int, number: int) -> Column:
-    """The keys of a SimHash (a, b): block number and bits. A short line has half as many blocks more, between the others."""
+    """The keys of a SimHash (a, b): block number and bits. A short line has half as many blocks more."""
     words = [F.col("a"), F.col("b")]
 
     def bits(at: int) -> Column:
@@ -333,10 +356,7 @@ def _keys(width: int, number: int) -> Column:
             out = out.bitwiseOR(F.shiftleft(words[word + 1], 64 - low))
         return out.bitwiseAND(F.lit((1 << width) - 1))
 
-    step = (BITS - width) / (number - 1)
-    starts = [round(k * step) for k in range(number)]
-    starts += [min(BITS - width, round((2 * k + 0.5) * step)) for k in range(number // 2)]
-    keys = [(F.lit(k << 16) + bits(at)).cast("int") for k, at in enumerate(starts)]
+    keys = [(F.lit(k << 16) + bits(at)).cast("int") for k, at in enumerate(_starts(width, number))]
     return F.when(F.col("n") < SHORT, F.array(*keys)).otherwise(F.array(*keys[:number]))
 
 
@@ -426,25 +446,44 @@ def _list() -> Column:
     return F.shiftright("place", 32)
 
 
-def open_pairs(listed: DataFrame) -> DataFrame:
-    """(a, b): near rows of one list in different components (place, a, b, line, component)."""
-    window = Lists(("component",))
+def met_before(x: np.ndarray, y: np.ndarray, block: np.ndarray, starts: list[int], width: int) -> np.ndarray:
+    """Which pairs share a block before ``block``, by the bits (x, y) in which they differ."""
+    out, mask = np.zeros(len(x), bool), np.uint64((1 << width) - 1)
+    for k, start in enumerate(starts):
+        word, low = divmod(start, 64)
+        bits = (x, y)[word] >> np.uint64(low)
+        if low + width > 64:
+            bits = bits | y << np.uint64(64 - low)
+        out |= (bits & mask == 0) & (k < block)
+    return out
+
+
+def open_pairs(listed: DataFrame, width: int, number: int) -> DataFrame:
+    """(a, b): near rows of one list in different components (place, a, b, line, other, component), each from the first list in which they meet.
+
+    A row and the one that ``near_rows`` named as its other have been judged already.
+    """
+    window, starts = Lists(("other", "component")), _starts(width, number)
 
     def look(rows, state, old, closed):
         out = []
         for i, j in window.near(rows, old):
-            apart = rows["component"][i] != rows["component"][j]
-            x, y = rows["line"][i[apart]], rows["line"][j[apart]]
+            apart = (rows["component"][i] != rows["component"][j]) & (rows["line"][i] != rows["other"][j])
+            i, j = i[apart], j[apart]
+            differ = [(rows[c][i] ^ rows[c][j]).view(np.uint64) for c in ("a", "b")]
+            once = ~met_before(*differ, rows["place"][i] >> 48, starts, width)
+            x, y = rows["line"][i[once]], rows["line"][j[once]]
             out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"]))
         return {}, out
 
-    return listed.repartition(_list()).sortWithinPartitions("place").mapInArrow(lambda b: window.stream(b, look), "a long, b long").distinct()
+    return listed.repartition(_list()).sortWithinPartitions("place").mapInArrow(lambda b: window.stream(b, look), "a long, b long")
 
 
 def line_groups(docs: DataFrame, every: DataFrame) -> DataFrame | None:
     """(line, component) of the distinct lines of ``every`` that verified links join to others; None if there are none."""
     distinct = every.groupBy("line").agg(*(F.first(c).alias(c) for c in ("a", "b", "n")))
-    listed = written(near_rows(distinct, *blocks(every.count())))
+    shape = blocks(every.count())
+    listed = written(near_rows(distinct, *shape))
     if listed.isEmpty():
         return None
     texts = cut(normalised(docs, every, cut(listed.select("line").distinct())))
@@ -461,12 +500,21 @@ def line_groups(docs: DataFrame, every: DataFrame) -> DataFrame | None:
     first = cut(listed.filter("other is not null").select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct())
     tree = components(verified(first)).withColumnRenamed("id", "line")
     by_key = Window.partitionBy(_list())
-    named = listed.drop("other").join(tree, "line", "left").withColumn("component", F.coalesce("component", "line"))
+    named = listed.withColumn("other", F.coalesce("other", "line")).join(tree, "line", "left").withColumn("component", F.coalesce("component", "line"))
     named = named.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).filter("lo <> hi").drop("lo", "hi")
-    more = verified(open_pairs(named).join(first, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        tree = components(tree.select(F.col("line").alias("a"), F.col("component").alias("b")).unionByName(more)).withColumnRenamed("id", "line")
-    return tree
+    more = verified(open_pairs(named, *shape).join(first, ["a", "b"], "left_anti"))
+    return tree if more.isEmpty() else merged(cut(tree), more)
+
+
+def merged(tree: DataFrame, more: DataFrame) -> DataFrame:
+    """``tree`` (line, component) with the links ``more`` (a, b): only components that they join are named anew."""
+    for c in ("a", "b"):
+        named = tree.select(F.col("line").alias(c), F.col("component").alias("at"))
+        more = more.join(named, c, "left").withColumn(c, F.coalesce("at", c)).drop("at")
+    step = cut(components(more))
+    moved = join_counted(tree, step.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left", F.col("line"))
+    alone = step.withColumnRenamed("id", "line").join(tree, "line", "left_anti")
+    return moved.select("line", F.coalesce("to", "component").alias("component")).unionByName(alone)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

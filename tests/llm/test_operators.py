@@ -289,6 +289,45 @@ def test_counts_of_pairs_match_a_plain_count():
         assert classes[k].sum() == len(own)
 
 
+def test_digits_do_not_outvote_words():
+    rnd = np.random.default_rng(3)
+    lines = [f"{sentence(rnd, 7)} 4111111111111111 {sentence(rnd, 7)}" for _ in range(60)]
+    _, _, _, (data, starts, ends, words, first, counts) = line_dedup.read_lines(lines)
+    a, b, _ = line_dedup.Hash().of(data, starts, ends, words, first, counts)
+    differ = [int(np.bitwise_count(a[i] ^ a[j])) + int(np.bitwise_count(b[i] ^ b[j])) for i in range(60) for j in range(i)]
+    assert sum(d <= line_dedup.TOTAL for d in differ) == 0, sorted(differ)[:20]
+
+
+def test_open_pairs_are_made_once(spark):
+    width, number = 8, 10
+    a, other = 0x1234567890ABCDEF, 0x1234567890ABCDEE
+    rows = [(a, 7, 1), (other, 7, 2), (a, 6, 3)]  # near in most of the lists
+    frame = spark.createDataFrame([(x, y, line, 100) for x, y, line in rows], "a long, b long, line long, n int")
+    listed = line_dedup.near_rows(frame, width, number)
+    named = listed.withColumn("other", F.coalesce("other", "line")).withColumn("component", F.col("line"))
+    assert named.count() > 20
+    got = [tuple(r) for r in line_dedup.open_pairs(named, width, number).collect()]
+    judged = {(min(r), max(r)) for r in map(tuple, listed.filter("other is not null").select("line", "other").collect())}
+    assert len(got) == len(set(got)) and set(got) | judged == {(1, 2), (1, 3), (2, 3)}
+    got = [tuple(r) for r in line_dedup.open_pairs(named.withColumn("other", F.col("line")), width, number).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_distance_floor_is_a_lower_bound():
+    rnd = np.random.default_rng(12)
+    for _ in range(300):
+        a, b = ("".join(rnd.choice(list("abé😀"), rnd.integers(0, 12))) for _ in range(2))
+        assert line_dedup.distance_floor(a, b) <= line_dedup.edit_distance(a, b)
+    assert line_dedup.distance_floor("abcdefgh", "stuvwxyz") == 4
+
+
+def test_links_join_components(spark):
+    tree = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (6, 2), (3, 3), (7, 3)], "line long, component long")
+    more = spark.createDataFrame([(5, 6), (8, 9), (6, 8), (10, 11)], "a long, b long")
+    got = {tuple(r) for r in line_dedup.merged(tree, more).select("line", "component").collect()}
+    assert got == {(n, 1) for n in (1, 2, 5, 6, 8, 9)} | {(3, 3), (7, 3), (10, 10), (11, 10)}
+
+
 # --- 3: chat ----------------------------------------------------------------------------------------------------------
 
 
