@@ -18,11 +18,16 @@ def areas(locations: DataFrame, zip_county: DataFrame) -> DataFrame:
 
     Rows without a state lie nowhere; ids of more than five characters don't count; a ZIP code of several counties counts in each.
     """
-    located = locations.filter("state is not null").select("npi", "state", "zip5").distinct()
-    counties = located.join(zip_county.select("zip5", F.col("county_fips").alias("county")), "zip5")
-    own = located.select("npi", F.explode(F.array(F.struct(F.lit("us").alias("t"), F.lit("US").alias("i")), F.struct(F.lit("state").alias("t"), F.col("state").alias("i")))).alias("a"))
-    every = own.select("npi", F.col("a.t").alias("area_type"), F.col("a.i").alias("area_id")).unionByName(counties.select("npi", F.lit("county").alias("area_type"), F.col("county").alias("area_id")))
-    return every.filter(F.length("area_id") <= 5).distinct()
+    return _held(locations, zip_county).select("npi", F.explode("held").alias("a")).select("npi", "a.*")
+
+
+def _held(locations: DataFrame, zip_county: DataFrame) -> DataFrame:
+    """(npi, held): each provider's areas as one array, so that they are shuffled once, by provider."""
+    counties = zip_county.select("zip5", F.col("county_fips").alias("county"))
+    located = locations.filter("state is not null").select("npi", "state", "zip5").join(counties, "zip5", "left")
+    area = lambda kind, id_: F.struct(F.lit(kind).alias("area_type"), id_.alias("area_id"))
+    own = located.select("npi", F.explode(F.array(area("us", F.lit("US")), area("state", F.col("state")), area("county", F.col("county")))).alias("a"))
+    return own.filter(F.length("a.area_id") <= 5).groupBy("npi").agg(F.collect_set("a").alias("held"))
 
 
 def contributions(locations: DataFrame, taxonomies: DataFrame, zip_county: DataFrame, categories: DataFrame) -> DataFrame:
@@ -30,13 +35,15 @@ def contributions(locations: DataFrame, taxonomies: DataFrame, zip_county: DataF
 
     In all (category ''), and for each of its codes' categories and their
     subcategories; a category's own cell has subcategory ''.  ``categories``: code, category, subcategory.
+    A provider's areas and kinds are sets beside each other, so no cell comes twice and none is shuffled.
     """
-    at = areas(locations, zip_county)
-    kinds = taxonomies.join(categories.withColumnRenamed("code", "taxonomy_code"), "taxonomy_code")
-    level = F.explode(F.array(F.struct("category", F.lit("").alias("subcategory")), F.struct("category", "subcategory")))
-    kinds = kinds.select("npi", level.alias("k")).select("npi", "k.*").distinct()
-    everyone = at.select(*AREA, F.lit("").alias("category"), F.lit("").alias("subcategory"), "npi")
-    return everyone.unionByName(at.join(kinds, "npi").select(*CELL, "npi")).distinct()
+    blank = F.lit("").alias("subcategory")
+    level = F.explode(F.array(F.struct("category", blank), F.struct("category", "subcategory")))
+    kinds = taxonomies.join(categories.withColumnRenamed("code", "taxonomy_code"), "taxonomy_code").select("npi", level.alias("k"))
+    kinds = kinds.groupBy("npi").agg(F.collect_set("k").alias("kinds"))
+    everyone = F.array(F.struct(F.lit("").alias("category"), blank))
+    both = _held(locations, zip_county).join(kinds, "npi", "left").select("npi", "held", F.when(F.col("kinds").isNull(), everyone).otherwise(F.array_union(everyone, "kinds")).alias("kinds"))
+    return both.select("npi", "kinds", F.explode("held").alias("a")).select("npi", "a.*", F.explode("kinds").alias("k")).select(*AREA, "k.*", "npi")
 
 
 def counted(cells: DataFrame, keys: list[str] = CELL) -> DataFrame:

@@ -57,8 +57,8 @@ def queued_area_counts(spark, sf_dir):
     def cells(locations):
         return area_counts.contributions(locations, codes, crossing, kinds)
 
-    for consumer in ("often", "seldom"):
-        area_counts.counted(cells(before)).write.parquet(f"{root}/{consumer}/0")
+    area_counts.counted(cells(before)).write.parquet(f"{root}/often/0")
+    spark.read.parquet(f"{root}/often/0").write.parquet(f"{root}/seldom/0")  # both consumers begin with the same counts
 
     def follow(consumer, now):
         """The consumer's counts after what it takes: its old and new cells of the changed keys only."""

@@ -289,3 +289,15 @@ def test_providers_of_one_bucket_keep_their_own_state(spark, tmp_path, monkeypat
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     want = area_state.area_deltas(versions, F.lit("2023-02-01").cast("date"))
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_cells_are_not_shuffled(spark):
+    at = spark.createDataFrame([("N1", "NY", "00001"), ("N1", "NY", "00002"), ("N1", "NY", "00001"), ("N2", None, "00001"), ("N3", "CA", None)], "npi string, state string, zip5 string")
+    codes = spark.createDataFrame([("N1", "a"), ("N1", "b"), ("N1", "a"), ("N2", "a")], "npi string, taxonomy_code string")
+    crossing = spark.createDataFrame([("00001", "C1"), ("00002", "C1"), ("00002", "TOOLONG")], "zip5 string, county_fips string")
+    kinds = spark.createDataFrame([("a", "X", "x"), ("b", "X", "y")], "code string, category string, subcategory string")
+    cells = area_counts.contributions(at, codes, crossing, kinds)
+    own = [("", ""), ("X", ""), ("X", "x"), ("X", "y")]
+    want = [(t, i, c, s, "N1") for t, i in (("us", "US"), ("state", "NY"), ("county", "C1")) for c, s in own] + [("us", "US", "", "", "N3"), ("state", "CA", "", "", "N3")]
+    assert sorted(map(tuple, cells.collect())) == sorted(want)
+    assert "hashpartitioning(area_type" not in cells._jdf.queryExecution().executedPlan().toString()
