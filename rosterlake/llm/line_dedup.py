@@ -23,9 +23,10 @@ A list is sorted by length and streamed: a task holds the rows of one window of
 lengths, not a list.  A row is paired with the first near row before it, so a
 family of copies gives a star; the pairs are verified, and only rows that still
 lie in different components are then paired with each other, each pair once, in
-the first list in which it meets.  Every candidate is decided by an upper bound
-from equal words, a lower bound from pairs of characters, or Myers' bit-parallel
-edit distance of what lies between the common ends; nothing else refuses it.
+the first list in which it meets.  Every candidate is decided by a lower bound
+from pairs of characters, an upper bound from equal words, or the edit distance
+of what lies between the common ends, that of many pairs at once along the
+diagonals of a band (of long lines by Myers' bit vectors); nothing else refuses it.
 
 The directions are those of all lines, by sums of whole numbers that are added up
 in Spark; they shape the hash alone, and all lines are hashed, listed and compared.
@@ -49,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.llm.common import NOT_ALNUM, bit_of, bitmap, components, cut, groups_of, join_counted, lowered, mix, powers, unpacked, word_hashes, word_spans, written
+from rosterlake.llm.common import NOT_ALNUM, bit_of, bitmap, components, cut, groups_of, join_counted, join_dealt, mix, powers, unpacked, word_hashes, word_spans, written
 
 SIMILARITY = 0.8
 #: Bits of a SimHash, in two columns.
@@ -66,38 +67,53 @@ CELLS, UNIT = 1 + CLASSES + BITS + CLASSES * CLASSES + CLASSES * BITS, 1 << 16
 LENGTH = (1 << 32) - 1
 #: Rows of sorted lists that are looked through at once, besides those of the window that is open.
 RUN = 1 << 17
-
-_DIGITS = np.arange(256, dtype=np.uint8)
-_DIGITS[48:58] = 48
-_LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
-_LANE = np.uint64(0x0101010101010101)
+#: Rows of a list that are held against so many at once.
+TILE, ACROSS = 128, 1024
+
+#: Tables for bytes.translate: normalised bytes, and of those which lie between words and which are letters.
+_FOLDED = bytes(48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in range(256))
+_GAP = bytes(NOT_ALNUM.astype(np.uint8))
+_SPACED = bytes(32 if NOT_ALNUM[c] else c for c in range(256))
+_LETTER = bytes(c >= 128 or chr(c).isalpha() for c in range(256))
 #: Letters, 0, the break (0), and classes for what isn't ASCII.
 _CODE = np.zeros(256, dtype=np.int32)
 DIGIT = 27
 _CODE[97:123], _CODE[48], _CODE[128:] = np.arange(1, 27), DIGIT, 28 + np.arange(128) % 36
+_CODED = bytes(_CODE.astype(np.uint8))
 _PAIRS = mix(np.arange(1, CODES * CODES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TABLES = [mix(_PAIRS ^ np.uint64(k * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) for k in (1, 2)]
-_LANES = [[((t >> np.uint64(k)) & _LANE).astype("<u8") for k in range(8)] for t in _TABLES]
+#: For each pair, whether it sets each bit (k of the first table, then of the second).
+_SETS = np.unpackbits(np.stack(_TABLES, axis=1).astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.float32)
 _CLASS = (mix(_PAIRS + np.uint64(5)) % np.uint64(CLASSES)).astype(np.int64)
 
 
-def read_lines(texts: list[str | None]):
+def folded(texts: list[str | bytes | None]):
+    """The normalised bytes of texts, joined by line ends; the texts' first bytes, the line ends, word starts and ends, and first words and word counts of the lines with letters."""
+    raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join(raw).translate(_FOLDED)
+    data = np.frombuffer(joined, dtype=np.uint8)
+    gap = np.ones(len(data) + 2, dtype=bool)
+    gap[1:-1] = np.frombuffer(joined.translate(_GAP), dtype=bool)
+    turn = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = turn[0::2], turn[1::2]
+    breaks = np.flatnonzero(data == 10)
+    bounds = np.searchsorted(starts, np.concatenate([[0], breaks]))  # words before each line
+    counts = np.diff(np.concatenate([bounds, [len(starts)]]))
+    first, counts = bounds[counts > 0], counts[counts > 0]
+    if len(first):
+        letters = np.add.reduceat(np.frombuffer(joined.translate(_LETTER), dtype=np.uint8), starts[first], dtype=np.int32)
+        first, counts = first[letters > 0], counts[letters > 0]
+    begin = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+    return begin, breaks, (data, starts, ends, first, counts)
+
+
+def read_lines(texts: list[str | bytes | None]):
     """Of the lines with letters: document, line number, hash of the normalised line; and the data, word starts, ends, word hashes, first words and word counts."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = _DIGITS[lowered(b"\n".join(raw))]
-    starts, ends = word_spans(data, NOT_ALNUM)
+    begin, breaks, (data, starts, ends, first, counts) = folded(texts)
     words = word_hashes(data, starts, ends)
-    breaks = np.flatnonzero(data == 10)
-    line = np.searchsorted(breaks, starts)
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([first, [len(words)]])).astype(np.int64)
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    lettered = letters[ends[first + counts - 1]] > letters[starts[first]] if len(first) else np.zeros(0, bool)
-    first, counts = first[lettered], counts[lettered]
-    begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])[:-1]
     head = np.searchsorted(breaks, begin)  # lines before each document
     owner = np.searchsorted(begin, starts[first], "right") - 1
-    number = line[first] - head[owner]
+    number = np.searchsorted(breaks, starts[first]) - head[owner]
     with np.errstate(over="ignore"):
         up, down = powers(len(words) + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)])])
@@ -112,44 +128,43 @@ def character_pairs(data: np.ndarray, starts: np.ndarray, first: np.ndarray) ->
     character only the first two do: else a number of sixteen digits outvotes the
     words around it, and all lines with such numbers are near each other.
     """
-    codes = np.zeros(len(data) + 2, dtype=np.int32)
-    codes[1:-1] = _CODE[data]
-    at = np.flatnonzero(codes[:-1] | codes[1:])
-    own = codes[at]
-    at = at[(own != codes[at + 1]) | (own != DIGIT) & (own != codes[at - 1])]
-    inside = np.where(codes[at] > 0, at - 1, at)  # the byte of a word
-    number = np.cumsum(data == 10)
-    place = np.full(int(number[-1]) + 1 if len(data) else 1, -1)
-    place[number[starts[first]]] = np.arange(len(first))
-    line = place[number[inside]]
-    keep = np.flatnonzero(line >= 0)
-    return line[keep], (codes[at[keep]] * CODES + codes[at[keep] + 1]).astype(np.int64)
+    codes = np.zeros(len(data) + 2, dtype=np.uint16)
+    codes[1:-1] = np.frombuffer(data.tobytes().translate(_CODED), dtype=np.uint8)
+    pairs = codes[:-1] * np.uint16(CODES) + codes[1:]
+    pairs[pairs == DIGIT * (CODES + 1)] = 0
+    same = codes[1:] == codes[:-1]
+    thrice = np.flatnonzero(same[1:] & same[:-1]) + 1
+    pairs[thrice] = 0
+    # A pair belongs to the line of its first character, and the line end before a line to that line.
+    edges = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(pairs)]])
+    place = np.full(len(edges) - 1, -1, dtype=np.int32)
+    place[np.searchsorted(edges, starts[first], "right") - 1] = np.arange(len(first))
+    line = np.repeat(place, np.diff(edges))
+    keep = np.flatnonzero((pairs > 0) & (line >= 0))
+    return line[keep], pairs[keep]
+
+
+def tallied(line: np.ndarray, pair: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that there are, and how often each line has each of them."""
+    kinds = np.flatnonzero(np.bincount(pair, minlength=1))
+    if not len(kinds):
+        return kinds, np.zeros((lines, 0), np.float32)
+    at = np.zeros(kinds[-1] + 1, dtype=np.int64)
+    at[kinds] = np.arange(len(kinds))
+    tally = np.bincount(at.take(pair) + line * np.int64(len(kinds)), minlength=lines * len(kinds))
+    return kinds, tally.reshape(lines, len(kinds)).astype(np.float32)
 
 
 def counted(line: np.ndarray, pair: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each line: how many pairs set each bit, and how many lie in each class."""
-    ones = np.zeros((lines, BITS), dtype=np.float32)
-    if not len(line):
-        return ones, np.zeros((lines, CLASSES), dtype=np.float32)
-    size = np.bincount(line, minlength=lines)
-    begin = np.cumsum(size) - size
-    # Eight 8-bit counters at once hold 255 pairs; a longer line has several parts.
-    parts = np.flatnonzero((np.arange(len(line)) - begin[line]) % 255 == 0)
-    owner = line[parts]
-    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    filled = owner[heads]
-    for t, lanes in enumerate(_LANES):
-        for shift, lane in enumerate(lanes):
-            each = np.add.reduceat(lane.take(pair), parts).view(np.uint8).reshape(-1, 8)
-            sums = np.add.reduceat(each, heads, axis=0, dtype=np.float32) if len(heads) < len(parts) else each
-            ones[filled, 64 * t + shift : 64 * t + 64 : 8] = sums
-    classes = np.bincount(line * CLASSES + _CLASS[pair], minlength=lines * CLASSES).reshape(lines, CLASSES).astype(np.float32)
-    return ones, classes
-
-
-def moments(texts: list[str | None]) -> np.ndarray:
+    kinds, tally = tallied(line, pair, lines)
+    told = tally @ np.hstack([_SETS[kinds], np.eye(CLASSES, dtype=np.float32)[_CLASS[kinds]]])
+    return told[:, :BITS], told[:, BITS:]
+
+
+def moments(texts: list[str | bytes | None]) -> np.ndarray:
     """Sums over all lines: how many; pairs by class and by bit; and by two classes, and by class and bit, the products over the line's number of pairs; in UNITs."""
-    _, _, _, (data, starts, _, _, first, _) = read_lines(texts)
+    _, _, (data, starts, _, first, _) = folded(texts)
     if not len(first):
         return np.zeros(CELLS, np.int64)
     ones, classes = (x.astype(np.float64) for x in counted(*character_pairs(data, starts, first), len(first)))
@@ -194,11 +209,11 @@ class Hash:
         """Each line's SimHash in two parts and its length in code points."""
         if not len(first):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        ones, classes = counted(*character_pairs(data, starts, first), len(first))
-        bits = np.packbits(ones > classes @ self.likely, axis=1, bitorder="little")
-        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        own = np.zeros(len(words), dtype=np.int64)
-        own[:] = points[ends] - points[starts]
+        kinds, tally = tallied(*character_pairs(data, starts, first), len(first))
+        bits = np.packbits(tally @ (_SETS[kinds] - self.likely[_CLASS[kinds]]) > 0, axis=1, bitorder="little")
+        own = ends - starts
+        if len(more := np.flatnonzero((data & 0xC0) == 0x80)):  # bytes that begin no character
+            own = own - np.searchsorted(more, ends) + np.searchsorted(more, starts)
         sums = np.concatenate([[0], np.cumsum(own)])
         length = sums[first + counts] - sums[first] + counts - 1
         a, b = (np.ascontiguousarray(bits[:, low : low + 8]).view("<i8")[:, 0] for low in (0, 8))
@@ -211,7 +226,7 @@ def summed(base: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CELLS, np.int64)
         for batch in batches:
-            for _, texts in groups_of(batch.column("text").to_pylist()):
+            for _, texts in groups_of(batch.column("text").cast(pa.binary()).to_pylist()):
                 sums += moments(texts)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["cell", "value"])
@@ -230,7 +245,7 @@ def lines(docs: DataFrame, how: Hash) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in groups_of(batch.column("text").to_pylist()):
+            for start, texts in groups_of(batch.column("text").cast(pa.binary()).to_pylist()):
                 owner, number, hashes, rest = read_lines(texts)
                 at = pa.array(owner + start)
                 yield pa.RecordBatch.from_arrays(
@@ -252,7 +267,7 @@ def normalised(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFram
         done: set[int] = set()
         for batch in batches:
             some = pa.array(np.flatnonzero(rows[bit_of(batch.column("row").to_numpy())]))
-            for _, texts in groups_of(batch.column("text").take(some).to_pylist()):
+            for _, texts in groups_of(batch.column("text").take(some).cast(pa.binary()).to_pylist()):
                 _, _, hashes, (data, starts, ends, _, first, counts) = read_lines(texts)
                 ids, found = [], []
                 for i in np.flatnonzero(bits[bit_of(hashes)]).tolist():
@@ -260,7 +275,7 @@ def normalised(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFram
                     if h not in done:
                         done.add(h)
                         ids.append(h)
-                        found.append(b" ".join(data[starts[w] : ends[w]].tobytes() for w in range(first[i], first[i] + counts[i])).decode("utf-8", "replace"))
+                        found.append(b" ".join(data[starts[first[i]] : ends[first[i] + counts[i] - 1]].tobytes().translate(_SPACED).split()).decode("utf-8", "replace"))
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["line", "text"])
 
@@ -333,6 +348,130 @@ def similar_texts(a: str, b: str) -> bool:
     return distance_bound(a, b, far) <= far or distance_floor(a, b) <= far and edit_distance(a, b, far) <= far
 
 
+#: Texts up to this length are compared many pairs at a time, and so many cells of a band at most are filled at once.
+LONG, CELLS_AT_ONCE = 4_000, 1 << 16
+
+
+def similar_pairs(x: list[str], y: list[str]) -> np.ndarray:
+    """``similar_texts`` of each pair, for many pairs: the lower bound and the edit distance are those of all of them at once."""
+    out = np.zeros(len(x), bool)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], dtype=np.int64).reshape(-1, 2)
+    longest = sizes.max(axis=1, initial=0)
+    for i in np.flatnonzero(longest > LONG).tolist():
+        out[i] = similar_texts(x[i], y[i])
+    far = (longest * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    some = np.flatnonzero((longest <= LONG) & (abs(sizes[:, 0] - sizes[:, 1]) <= far))
+    some = some[np.argsort(longest[some], kind="stable")]
+    rest = []
+    for part in shares(some, 256):
+        n, m = sizes[part].T
+        near = part[floors(*joined(x, y, part), n, m) <= far[part]]
+        close = np.array([distance_bound(x[i], y[i], f) <= f for i, f in zip(near.tolist(), far[near].tolist(), strict=True)], dtype=bool)
+        out[near[close]] = True
+        rest.append(near[~close])
+    for part in shares(np.concatenate([*rest, some[:0]]), 1024):
+        points, begin = joined(x, y, part)
+        out[part] = within(points, begin[::2], begin[1::2], *sizes[part].T, far[part])
+    return out
+
+
+def shares(rows: np.ndarray, most: int) -> list[np.ndarray]:
+    return [rows[k : k + most] for k in range(0, len(rows), most)]
+
+
+def joined(x: list[str], y: list[str], part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the texts x, y, x, y ... of the pairs in ``part``, and where each begins."""
+    texts = [t for i in part.tolist() for t in (x[i], y[i])]
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    return points, np.cumsum([0, *map(len, texts[:-1])])
+
+
+def floors(points: np.ndarray, begin: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A lower bound of each pair's edit distance, as ``distance_floor``; ``points`` are the texts x, y, x, y ... from ``begin`` on. Pairs of characters share 1,024 cells, which only lowers it."""
+    owner = np.repeat(np.arange(len(begin)), np.stack([n, m], axis=1).ravel())
+    if len(points) < 2:
+        return np.zeros(len(n), np.int64)
+    mixed = points.astype(np.uint32) * np.uint32(0x9E3779B1)
+    cell = ((mixed[:-1] ^ (mixed[1:] >> np.uint32(7)) * np.uint32(0x85EBCA6B)) >> np.uint32(22)).astype(np.int64)
+    inside = owner[:-1] == owner[1:]
+    tally = np.bincount((owner[:-1] * 1024 + cell)[inside], minlength=len(begin) * 1024).reshape(len(n), 2, 1024)
+    return -(-abs(tally[:, 0] - tally[:, 1]).sum(axis=1) // 4)
+
+
+def within(points: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which pairs of texts (n points from x, m from y) have an edit distance of ``far`` or less: what common ends leave, all pairs together along the diagonals of a band."""
+    for back in (False, True):
+        # The common start, then the common end.
+        k = np.arange(int(np.minimum(n, m).max(initial=0)))[None, :]
+        at = [np.minimum((p + c - 1)[:, None] - k if back else p[:, None] + k, len(points) - 1) for p, c in ((x, n), (y, m))]
+        differ = (points[at[0]] != points[at[1]]) | (k >= np.minimum(n, m)[:, None])
+        common = np.where(differ.any(axis=1), differ.argmax(axis=1), np.minimum(n, m)) if k.size else np.zeros(len(n), np.int64)
+        n, m = n - common, m - common
+        if not back:
+            x, y = x + common, y + common
+    out = np.maximum(n, m) <= far
+    # Where one text is over, or the longer one alone is near enough, that decides.
+    left = np.flatnonzero(~out & (np.minimum(n, m) > 0))
+    left = left[np.argsort((n + m)[left], kind="stable")]
+    start = 0
+    while start < len(left):
+        stop = start + 1
+        while stop < len(left) and (stop - start) * (int(far[left[start : stop + 1]].max()) + 2) <= CELLS_AT_ONCE:
+            stop += 1
+        part = left[start:stop]
+        out[part] = banded(points, x[part], y[part], n[part], m[part], far[part]) <= far[part]
+        start = stop
+    return out
+
+
+def banded(points: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """Edit distances up to each pair's limit, of all pairs at once; any number above it where they are above.
+
+    Cell (i, j) of the table lies on diagonal d = i + j; on each, only cells through which a way within the limit can lead count.
+    A diagonal's cells are rows, so that one step is a few operations over whole arrays.
+    Pairs that have no cell within their limit on two diagonals are left off.
+    """
+    none, pairs = np.int16(LONG * 2 + 1), np.arange(len(n))
+    # What is left of a way through (i, j) costs |n - m - (i - j)| at least.
+    least, greatest = int(((n - m - limits) // 2).min()), int(((n - m + limits + 1) // 2).max())
+    rows, columns = int(n.max()), int(m.max())
+    # Signs that equal nothing stand beyond the ends.
+    a = np.where(np.arange(rows)[:, None] < n, points[np.minimum(x + np.arange(rows)[:, None], len(points) - 1)], -1)
+    b = np.where(np.arange(columns)[:, None] < m, points[np.minimum(y + np.arange(columns)[:, None], len(points) - 1)], -2)[::-1]
+    ends, out = n + m, np.full(len(n), none, dtype=np.int16)
+    # Of the two diagonals before: cells by i + 1, so that i - 1 is there.
+    before, last = (np.full((rows + 2, len(n)), none, dtype=np.int16) for _ in range(2))
+    last[1] = 0
+    out[ends == 0] = 0
+    spare = np.full_like(last, none)
+    for d in range(1, int(ends.max()) + 1):
+        low, high = max(0, d - columns, (d + least + 1) // 2), min(rows, d, (d + greatest) // 2)
+        now = spare
+        inner, outer = max(low, 1), min(high, d - 1)  # cells with a row and a column before them
+        step = np.minimum(last[low : high + 1], last[low + 1 : high + 2]) + np.int16(1)
+        now[low + 1 : high + 2] = step
+        if inner <= outer:
+            # b is turned round: column j - 1 = d - i - 1 is its row columns - d + i.
+            cost = before[inner : outer + 1] + (a[inner - 1 : outer] != b[columns - d + inner : columns - d + outer + 1])
+            np.minimum(now[inner + 1 : outer + 2], cost, out=now[inner + 1 : outer + 2])
+        now[low], now[min(high + 2, rows + 1)] = none, none if high < rows else now[rows + 1]
+        over = np.flatnonzero(ends == d)
+        if len(over):
+            at = n[over]
+            held = (at >= low) & (at <= high)
+            out[pairs[over[held]]] = now[at[held] + 1, over[held]]
+        spare, before, last = before, last, now
+        if d % 32 == 0:
+            cells = slice(max(low - 1, 0), high + 3)
+            live = np.flatnonzero((np.minimum(before[cells].min(axis=0), last[cells].min(axis=0)) <= limits) & (ends > d))
+            if len(live) < 0.8 * len(pairs):
+                if not len(live):
+                    break
+                a, b, spare, before, last = (np.ascontiguousarray(t[:, live]) for t in (a, b, spare, before, last))
+                n, ends, limits, pairs = n[live], ends[live], limits[live], pairs[live]
+    return out
+
+
 def blocks(lines: int) -> tuple[int, int]:
     """Bits of a block and number of blocks for so many lines: lists of some thousand rows, and as many as leave a pair with EQUAL bits one in common."""
     width = min(16, max(8, round(math.log2(max(lines, 1))) - 12))
@@ -396,26 +535,36 @@ class Lists:
             yield from out
 
     def near(self, rows: dict[str, np.ndarray], old: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (i before j) of near rows, j not among the first ``old``, nearest places first."""
+        """Pairs of places (i before j) of near rows, j not among the first ``old``, in the order of i: TILE rows against all that their windows reach."""
         place = rows["place"]
         size, n = len(place), place & LENGTH
-        reach = np.searchsorted(place, place - n + np.floor(n / SIMILARITY + 1e-9).astype(np.int64), "right") - np.arange(size) - 1
-        order = np.argsort(-reach, kind="stable")
-        left = np.sort(reach)
+        reach = np.searchsorted(place, place - n + np.floor(n / SIMILARITY + 1e-9).astype(np.int64), "right")
         a, b = rows["a"].view(np.uint64), rows["b"].view(np.uint64)
         first, total, short_total, short = self.limits
         most = np.where(n < short, short_total, total)
-        for step in range(1, int(left[-1]) + 1 if size else 0):
-            i = order[: size - int(np.searchsorted(left, step))]
-            if old:
-                i = i[i + step >= old]
-            differ = np.bitwise_count(a[i] ^ a[i + step])
-            some = differ <= first
-            i, differ = i[some], differ[some].astype(np.int64)
-            differ += np.bitwise_count(b[i] ^ b[i + step])
-            i = i[differ <= most[i]]
-            if len(i):
-                yield i, i + step
+        # Used again and again; few cells are near, so they are first looked through eight at a time.
+        differ, ones, few = (np.empty(TILE * ACROSS + 8, kind) for kind in (np.uint64, np.uint8, bool))
+        low = 0
+        while low < size:
+            high = min(low + TILE, size)
+            begin = max(low + 1, old)
+            for start in range(begin, int(reach[high - 1]), ACROSS):
+                stop = min(start + ACROSS, int(reach[high - 1]))
+                cells = (high - low) * (stop - start)
+                np.bitwise_xor(a[low:high, None], a[None, start:stop], out=differ[:cells].reshape(high - low, -1))
+                np.less_equal(np.bitwise_count(differ[:cells], out=ones[:cells]), first, out=few[:cells])
+                few[cells : cells + 8] = False
+                eights = few[: cells + 7 & ~7].reshape(-1, 8)
+                some = np.flatnonzero(eights.view(np.uint64))
+                eight, at = np.nonzero(eights[some])
+                i, j = np.divmod(some[eight] * 8 + at, stop - start)
+                i, j = i + low, j + start
+                keep = (i < j) & (j < reach[i])
+                i, j = i[keep], j[keep]
+                keep = np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j]) <= most[i]
+                if keep.any():
+                    yield i[keep], j[keep]
+            low = high
 
 
 def near_rows(distinct: DataFrame, width: int, number: int) -> DataFrame:
@@ -430,7 +579,8 @@ def near_rows(distinct: DataFrame, width: int, number: int) -> DataFrame:
             near[:old], has[:old], first[:old] = state["near"], state["has"], state["first"]
         for i, j in window.near(rows, old):
             near[i] = near[j] = True
-            other[j] = i  # steps grow, so the first row stays
+            fresh = other[j] < 0
+            other[j[fresh][::-1]] = i[fresh][::-1]  # in the order of i, so the first row stays
         found = other >= 0
         first[found], has[found] = rows["line"][other[found]], True
         keep = np.flatnonzero(near[:closed])
@@ -490,8 +640,8 @@ def line_groups(docs: DataFrame, every: DataFrame) -> DataFrame | None:
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            close = [similar_texts(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+            close = similar_pairs(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array(close))
 
     def verified(pairs: DataFrame) -> DataFrame:
         two = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
@@ -517,22 +667,30 @@ def merged(tree: DataFrame, more: DataFrame) -> DataFrame:
     return moved.select("line", F.coalesce("to", "component").alias("component")).unionByName(alone)
 
 
+def total(counted: DataFrame) -> int:
+    """The sum of the counts ``k``."""
+    return counted.agg(F.sum("k")).first()[0] or 0
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with the text that is left; n_lines and n_dropped are added."""
     # A row's key; rows equal in doc_id and text share it. The columns go along in a struct, so that no name clashes.
     base = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row"), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("given"))
     every = written(lines(base, Hash.shaped(summed(base))))
     tree = line_groups(base, every)
-    groups = every.groupBy("line").agg(F.count("*").alias("k")).filter("k > 1").select("line", F.col("line").alias("component"))
-    if tree is not None:
-        tree = cut(tree)
-        groups = groups.join(tree, "line", "left_anti").unionByName(tree)
-    told = written(join_counted(every.select("row", "doc_id", "number", "line"), cut(groups), "line", "inner", F.col("row"), salts=4))
+    groups = every.groupBy("line").agg(F.count("*").alias("k")).filter("k > 1")
+    if tree is None:
+        groups = groups.withColumn("component", F.col("line"))
+    else:
+        groups = groups.join(cut(tree), "line", "full").select("line", F.coalesce("k", F.lit(1)).alias("k"), F.coalesce("component", "line").alias("component"))
+    groups = cut(groups)
+    # One row for each line on the right, so its share of a task is small; the many rows on the left needn't be sorted.
+    told = written(join_dealt(every.select("row", "doc_id", "number", "line"), groups.hint("shuffle_hash"), ["line"], total(groups), ["row"]).drop("line"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "number")
-    kept = told.groupBy("component").agg(F.min(place).alias("kept"))
-    told = join_counted(told.select("row", "number", "component"), cut(kept), "component", "inner", F.col("row"), salts=4)
+    kept = cut(told.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("k")))
+    told = join_dealt(told.select("row", "number", "component"), kept.hint("shuffle_hash"), ["component"], total(kept), ["row"])
     gone = told.filter((F.col("row") != F.col("kept.row")) | (F.col("number") != F.col("kept.number"))).groupBy("row").agg(F.collect_set("number").alias("drops"))
-    out = join_counted(base.select("row", "given"), cut(gone), "row", "left", F.col("row"))
+    out = join_counted(base.select("row", "given"), cut(gone).hint("shuffle_hash"), "row", "left", F.col("row"), salts=1)
     text = F.col("given.text")
     pieces = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     numbers = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("drops"))
@@ -540,4 +698,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rest = F.array_join(F.transform(both, lambda s: F.transform(s["numbers"], lambda i: s["pieces"][i]))[0], "\n")
     left = F.when(F.col("drops").isNull(), text).otherwise(rest)
     stay = [(left if c == "text" else F.col("given")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*stay, F.size(pieces).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    whole = F.coalesce(text, F.lit(""))
+    ends = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit("")))  # dearer pieces are made only where lines go
+    return out.select(*stay, (ends + 1).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))

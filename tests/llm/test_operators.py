@@ -321,6 +321,27 @@ def test_distance_floor_is_a_lower_bound():
     assert line_dedup.distance_floor("abcdefgh", "stuvwxyz") == 4
 
 
+def test_pairs_are_judged_many_at_a_time(monkeypatch):
+    rnd = np.random.default_rng(14)
+    pairs = [("", ""), ("", "a"), ("abc", "xyz")]
+    for n in (1, 3, 9, 40, 300):
+        for _ in range(60):
+            a = "".join(rnd.choice(list("abé😀 "), n))
+            b = list(a)
+            for _ in range(int(rnd.integers(0, 2 + n // 3))):
+                at = int(rnd.integers(0, len(b) + 1))
+                b[at : at + int(rnd.integers(0, 2))] = rnd.choice(list("abc"), int(rnd.integers(0, 2))).tolist()
+            pairs.append((a, "".join(b)))
+    x, y = [p[0] for p in pairs] + [sentence(rnd, 900)], [p[1] for p in pairs] + [sentence(rnd, 900)]
+    want = [line_dedup.edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9) for a, b in zip(x, y)]
+    assert 50 < sum(want) < len(want) - 50
+    assert line_dedup.similar_pairs(x, y).tolist() == want and line_dedup.similar_pairs([], []).tolist() == []
+    monkeypatch.setattr(line_dedup, "edit_distance", None)  # pairs of common length aren't judged one by one
+    assert line_dedup.similar_pairs(x[:-1], y[:-1]).tolist() == want[:-1]
+    monkeypatch.setattr(line_dedup, "CELLS_AT_ONCE", 50)
+    assert line_dedup.similar_pairs(x[:-1], y[:-1]).tolist() == want[:-1]
+
+
 def test_links_join_components(spark):
     tree = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (6, 2), (3, 3), (7, 3)], "line long, component long")
     more = spark.createDataFrame([(5, 6), (8, 9), (6, 8), (10, 11)], "a long, b long")
